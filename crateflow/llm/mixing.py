@@ -66,9 +66,13 @@ def periods(quota: DataFrame) -> DataFrame:
                 F.struct(_deadline(acc["done"][i], s["quota"], F.col("period")).alias("d"), i.alias("i")),
             ),
         )
-        pick = F.array_min(ready)["i"]
-        done = F.transform(acc["done"], lambda d, i: F.when(i == pick, d + 1).otherwise(d))
-        return F.struct(done.alias("done"), F.array_append(acc["order"], pick).alias("order"))
+
+        def taken(pick: Column) -> Column:
+            done = F.transform(acc["done"], lambda d, i: F.when(i == pick, d + 1).otherwise(d))
+            return F.struct(done.alias("done"), F.array_append(acc["order"], pick).alias("order"))
+
+        # An array of one binds the pick, which is then worked out once.
+        return F.transform(F.array(F.array_min(ready)["i"]), taken)[0]
 
     order = F.aggregate(F.expr("sequence(0L, period - 1)"), state, step)["order"]
     run = sources.where("period > 0").select("all", "period", F.posexplode(order).alias("t", "pick"))
