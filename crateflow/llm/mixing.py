@@ -47,10 +47,10 @@ def quotas(counts: DataFrame, weights: dict[str, int] | None, period: int) -> Da
     else:
         given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (f"={k}", int(v))]) if weights else None
         weight = F.coalesce(given[F.col("skey")], F.lit(1)).cast("long") if weights else F.lit(1).cast("long")
-    weighed = counts.select("skey", weight.alias("w"))
-    total = weighed.agg(F.sum("w").alias("all"))
+    # One row a source: a window over all of them stays small.
+    weighed = counts.select("skey", weight.alias("w")).withColumn("all", F.sum("w").over(Window.partitionBy(F.lit(0))))
     half_up = F.floor((F.col("w") * F.lit(2 * period) + F.col("all")) / (2 * F.col("all"))).cast("long")
-    return weighed.join(F.broadcast(total), F.lit(True)).select("skey", F.greatest(F.lit(1).cast("long"), half_up).alias("quota"))
+    return weighed.select("skey", F.greatest(F.lit(1).cast("long"), half_up).alias("quota"))
 
 
 def periods(quota: DataFrame) -> DataFrame:

@@ -5,7 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, mixing, repair, topk
+from . import bpe, common, fingerprints, language, licenses, mixing, quality, repair, sampling, topk, toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", (sampling.fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).select(
+        "doc_id", (sampling.fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_documents(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("detections").alias("n_detections"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +37,15 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.table(spark, sf_dir, "embeddings"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(common.table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs)).select("doc_id", (sampling.fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(repair.write(common.table(spark, sf_dir, "documents")))
 
@@ -24,5 +54,5 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op6_exact_topk, op9_token_ids, op10_pfair_mix)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_licenses, op5_byte_bpe, op6_exact_topk, op7_fingerprints, op8_language, op9_token_ids, op10_pfair_mix)}
 SQL = {"op6_exact_topk": topk.SQL, "op10_pfair_mix": mixing.SQL}
