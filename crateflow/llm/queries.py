@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fingerprints, language, licenses, mixing, quality, repair, sampling, topk, toxicity
+from . import bpe, common, fingerprints, language, licenses, mixing, ngram_join, quality, repair, sampling, topk, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_classes(common.table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
@@ -54,5 +58,5 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_licenses, op5_byte_bpe, op6_exact_topk, op7_fingerprints, op8_language, op9_token_ids, op10_pfair_mix)}
-SQL = {"op6_exact_topk": topk.SQL, "op10_pfair_mix": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_quality, op4_licenses, op5_byte_bpe, op6_exact_topk, op7_fingerprints, op8_language, op9_token_ids, op10_pfair_mix)}
+SQL = {"op2_ngram_join": ngram_join.SQL, "op6_exact_topk": topk.SQL, "op10_pfair_mix": mixing.SQL}

@@ -38,7 +38,7 @@ from . import common, sampling, units
 LABELLED, UNLABELLED, ENTRIES, MINED_VOTERS = 6000, 3000, 1024, 16
 #: A mined entry has at most one clean text in this many toxic ones, and the chance that as many
 #: texts were all toxic by accident is below this.
-PURITY, ACCIDENT = 100, 1e-8
+PURITY, ACCIDENT = 100, 1e-7
 #: A mined entry of this many toxic texts and no clean one goes to the strong voters.
 STRONG = 10
 EPOCHS, STEP, DECAY = 300, 0.1, 1e-3
