@@ -184,31 +184,38 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, digests: bool = False) -> DataFrame:
+_OUTPUTS = {
+    "ids": ("binary", lambda ids, raw: ids.tobytes()),
+    "decoded": ("binary", lambda ids, raw: raw),
+    "ids_sha256": ("string", lambda ids, raw: hashlib.sha256(ids.tobytes()).hexdigest()),
+    "decoded_sha256": ("string", lambda ids, raw: hashlib.sha256(raw).hexdigest()),
+}
+
+
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Encode and decode every text of ``docs`` (doc_id, text).
 
-    Returns doc_id, n_tokens, ``ids`` (little-endian unsigned 32-bit) and ``decoded`` (the
-    bytes the ids stand for). With ``digests``, ids and bytes are replaced by their SHA-256
-    (ids_sha256, decoded_sha256), so that they never leave the worker.
+    Returns doc_id, n_tokens and ``outputs``: ``ids`` (little-endian unsigned 32-bit),
+    ``decoded`` (the bytes the ids stand for) or the SHA-256 of either (``ids_sha256``,
+    ``decoded_sha256``), so that the long columns need not leave the worker.
     """
     import public_tokenizers
 
     path = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
-    kind = pa.string() if digests else pa.binary()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), (names[2], kind), (names[3], kind)])
+    names = ["doc_id", "n_tokens", *outputs]
+    kinds = [pa.int64(), pa.int64(), *(pa.binary() if _OUTPUTS[o][0] == "binary" else pa.string() for o in outputs)]
+    decodes = any(o.startswith("decoded") for o in outputs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for ids, texts in common.slices(batches):
-            rows: list[list] = [[], [], [], []]
+            rows = []
             for i, t in zip(ids, texts, strict=True):
                 tokens = own.encode(t)
-                raw, back = tokens.tobytes(), own.decode(tokens)
-                for column, x in zip(rows, (i, len(tokens), hashlib.sha256(raw).hexdigest() if digests else raw, hashlib.sha256(back).hexdigest() if digests else back), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+                raw = own.decode(tokens) if decodes else b""
+                rows.append((i, len(tokens), *(_OUTPUTS[o][1](tokens, raw) for o in outputs)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     common.small_batches(docs.sparkSession)
-    return common.texts_of(docs).mapInArrow(work, f"doc_id long, n_tokens long, {names[2]} {'string' if digests else 'binary'}, {names[3]} {'string' if digests else 'binary'}")
+    return common.texts_of(docs).mapInArrow(work, ", ".join(["doc_id long", "n_tokens long", *(f"{o} {_OUTPUTS[o][0]}" for o in outputs)]))

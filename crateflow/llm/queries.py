@@ -34,7 +34,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(common.table(spark, sf_dir, "documents"), digests=True)
+    return bpe.encode_documents(common.table(spark, sf_dir, "documents"), outputs=("ids_sha256", "decoded_sha256"))
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
