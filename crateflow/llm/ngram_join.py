@@ -7,16 +7,19 @@ least ``least`` percent. Equal sets form a class, and one set of each class is j
    the first n - ceil(0.8 n) + k of both share at least k ("k-prefix"). In hash order every
    set hands out its k-prefix with k a tenth of its size; sets of which fewer than k prefix
    shingles occur anywhere else cannot link and are done.
-2. For the others, prefix shingles are put in ascending order of how many of these sets hold
+2. For the others, all shingles are put in ascending order of how many of these sets hold
    them. Each set then picks its own match count: from one up, the prefix is lengthened by a
    shingle and one more shared shingle is required, as long as the estimated cost falls. The
    cost of k is the number of occurrences its prefix meets, plus ``VERIFY`` times as many
    candidates as those occurrences can give (one for every k).
 3. Each shingle's list is first compared with one of its sets only (``PIVOTS`` rounds, each
-   with another one), which settles groups of near copies without listing their pairs. Only
-   where sets of different components still meet in a list are pairs made, if they share as
-   many prefix shingles as the smaller of their match counts. Every pair of sets that link is
-   in one component after that: it was compared, or its sets were in one component before.
+   with another one): the most central one, whose shingles are the most widely held, which
+   for near copies is the text they were made from. That settles groups of near copies
+   without listing their pairs. Only where sets of different components still meet in a list
+   are pairs made, if what follows the shared shingle in both leaves room for the overlap that
+   their sizes ask for, and if they share as many prefix shingles as the smaller of their
+   match counts. Every pair of sets that link is in one component after that: it was
+   compared, or its sets were in one component before.
 4. All comparisons are exact, on whole sets.
 
 Null texts are empty. Sets without shingles link with nothing, each document being its own
@@ -34,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common, components, shingles
+from . import bitmap, common, components, shingles
 
 LEAST, WIDTH = 80, 5
 #: Rounds of comparing lists with one of their sets; cost of a comparison in list entries; most matches asked for.
-PIVOTS, VERIFY, MATCHES = 2, 16, 8
+PIVOTS, VERIFY, MATCHES = 2, 8, 4
 
 
 def _floor_size(n: Column) -> Column:
@@ -46,29 +49,22 @@ def _floor_size(n: Column) -> Column:
     return F.ceil(n * LEAST / 100).cast("long")
 
 
-def _first_matches(n):
-    """The match count of the first prefix."""
-    return np.maximum(1, n // 10)
-
-
-def _sets(docs: DataFrame, prefixes: bool) -> DataFrame:
+def _prefixes(docs: DataFrame) -> DataFrame:
     """doc_id, n, hi, lo (128-bit digest of the set) and tokens: the first prefix in hash order,
-    once for each digest and task (``prefixes``), or the whole set."""
+    once for each digest and task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for ids, texts in common.slices(batches):
             n, hi, lo, tokens = [], [], [], []
             for s in shingles.distinct_sets(texts, WIDTH):
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                digest = _digest(s)
                 n.append(len(s))
                 hi.append(int.from_bytes(digest[:8], "little", signed=True))
                 lo.append(int.from_bytes(digest[8:], "little", signed=True))
-                if not prefixes:
-                    tokens.append(s.view(np.int64))
-                elif len(s) and digest not in seen:
+                if len(s) and digest not in seen:
                     seen.add(digest)
-                    tokens.append(s[: len(s) - -(-len(s) * LEAST // 100) + int(_first_matches(len(s)))].view(np.int64))
+                    tokens.append(s[: len(s) - -(-len(s) * LEAST // 100) + max(1, len(s) // 10)].view(np.int64))
                 else:
                     tokens.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "tokens"])
@@ -77,34 +73,67 @@ def _sets(docs: DataFrame, prefixes: bool) -> DataFrame:
     return common.texts_of(docs).mapInArrow(work, "doc_id long, n long, hi long, lo long, tokens array<long>")
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _survivors(sets: DataFrame) -> DataFrame:
-    """set, n, token: prefix shingles that several sets hold, of sets that have enough of them."""
-    prefix = sets.where("tokens is not null").select(F.col("lo").alias("set"), "n", F.explode("tokens").alias("token"))
-    held = prefix.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    shared = prefix.join(held, "token").dropDuplicates(["token", "set"])
-    shared = common.stored(shared, "shared")
+    """set (lo) of the sets whose first prefix holds enough shingles that other prefixes hold."""
+    prefix = sets.where("tokens is not null").select(F.col("lo").alias("set"), "n", "tokens")
+    held = prefix.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    held = common.stored(held, "held")
+    filter_ = sets.sparkSession.sparkContext.broadcast(bitmap.bitmap(held, "token"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = batch.column(2)
+            flat = arrays.flatten().to_numpy(zero_copy_only=False)
+            keep = filter_.value.holds(flat) if len(flat) else np.zeros(0, bool)
+            own = np.repeat(np.arange(batch.num_rows), arrays.value_lengths().to_numpy(zero_copy_only=False))[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(flat[keep])], names=["set", "n", "token"])
+
+    few = prefix.mapInArrow(work, "set long, n long, token long")
+    shared = few.join(held, "token").dropDuplicates(["token", "set"])
     needed = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / 10).cast("long"))
-    enough = shared.groupBy("set").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(F.col("k") >= needed).select("set")
-    return shared.join(enough, "set")
+    return shared.groupBy("set").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(F.col("k") >= needed).select("set")
+
 
+def _whole(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set, rep, tokens of the documents ``wanted`` (doc_id), and of few others: a set may come
+    more than once, under ids of its own class, which adds comparisons and no link."""
+    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap.bitmap(wanted, "doc_id"))
 
-def _adaptive(shared: DataFrame) -> DataFrame:
-    """set, n, need, token: every set's adaptive prefix and match count."""
-    df = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    known = shared.join(df, "token").groupBy("set").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
-    first = lambda n: F.greatest(F.lit(1).cast("long"), F.floor(n / 10).cast("long"))
-    size = F.col("n") - _floor_size(F.col("n")) + first(F.col("n"))  # of the first prefix
-    partner = first(_floor_size(F.col("n")))  # what any partner's first prefix surely shares with it
-    # Shingles no other set holds stand in front.
-    length = lambda k: F.greatest(F.lit(0).cast("long"), size - partner + k - (size - F.size("own")))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = filter_.value.holds(batch.column(0).to_numpy(zero_copy_only=False))
+            for ids, texts in common.slices(iter([batch.filter(pa.array(keep))])):
+                own = [(i, s) for i, s in zip(ids, shingles.distinct_sets(texts, WIDTH), strict=True) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(_digest(s)[8:], "little", signed=True) for _, s in own], pa.int64()), pa.array([i for i, _ in own], pa.int64()), pa.array([s.view(np.int64) for _, s in own], pa.list_(pa.int64()))], names=["set", "rep", "tokens"])
+
+    return common.texts_of(docs).where("doc_id is not null").mapInArrow(work, "set long, rep long, tokens array<long>")
+
+
+def _adaptive(full: DataFrame) -> DataFrame:
+    """set, n, need, centre, room, token: every set's adaptive prefix and match count, how widely
+    its shingles are held, and how many of its shingles do not stand before the token."""
+    every = full.select("set", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    df = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    known = every.join(df, "token").groupBy("set").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    # Shingles that no other set holds stand in front.
+    alone = F.col("n") - F.size("own")
+    length = lambda k: F.greatest(F.lit(0).cast("long"), F.col("n") - _floor_size(F.col("n")) + k - alone).cast("int")
 
     def cost(k: Column) -> Column:
-        met = F.aggregate(F.slice("own", 1, length(k).cast("int")), F.lit(0).cast("long"), lambda a, t: a + t["df"] - 1)
+        met = F.aggregate(F.slice("own", 1, length(k)), F.lit(0).cast("long"), lambda a, t: a + t["df"] - 1)
         return F.struct((met * (1 + VERIFY / k)).alias("cost"), k.alias("k"))
 
-    choices = F.transform(F.sequence(F.lit(1).cast("long"), F.least(partner, F.lit(MATCHES).cast("long"))), cost)
-    picked = known.withColumn("need", F.array_min(choices)["k"])
-    return picked.select("set", "n", "need", F.explode(F.slice("own", 1, length(F.col("need")).cast("int"))).alias("t")).select("set", "n", "need", F.col("t.token").alias("token"))
+    choices = F.transform(F.sequence(F.lit(1).cast("long"), F.least(_floor_size(F.col("n")), F.lit(MATCHES).cast("long"))), cost)
+    centre = F.aggregate("own", F.lit(0).cast("long"), lambda a, t: a + t["df"]) / F.col("n")
+    picked = known.select("set", "n", "own", centre.alias("centre"), alone.alias("alone"), F.array_min(choices)["k"].alias("need"))
+    taken = picked.withColumn("len", F.greatest(F.lit(0).cast("long"), F.col("n") - _floor_size(F.col("n")) + F.col("need") - F.col("alone")).cast("int")).select(
+        "set", "n", "need", "centre", "alone", F.posexplode(F.slice("own", 1, F.col("len"))).alias("k", "t")
+    )
+    return taken.select("set", "n", "need", "centre", (F.col("n") - F.col("alone") - F.col("k")).alias("room"), F.col("t.token").alias("token"))
 
 
 def _linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -115,29 +144,33 @@ def _linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= LEAST * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
+def _overlap(n: Column, m: Column) -> Column:
+    """Least overlap of linked sets of these sizes."""
+    return F.ceil((n + m) * LEAST / (100 + LEAST)).cast("long")
+
+
 def _alike(n: Column, m: Column) -> Column:
     return (n >= _floor_size(m)) & (m >= _floor_size(n))
 
 
 def link_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    sets = common.stored(_sets(docs, prefixes=True), "prefixes")
+    sets = common.stored(_prefixes(docs), "prefixes")
     classes = common.stored(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
-    lists = common.stored(_adaptive(_survivors(sets)), "lists")
 
-    # The whole sets of the representatives that are in any list.
-    wanted = classes.join(lists.select(F.col("set").alias("lo")).distinct(), "lo").where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    texts = common.texts_of(docs).join(wanted, "doc_id")
-    full = _sets(texts, prefixes=False).join(classes, ["hi", "lo"]).where("doc_id = rep").select(F.col("lo").alias("set"), "rep", "tokens").dropDuplicates(["set", "rep"])
-    full = common.stored(full, "sets")
+    # The whole sets of the representatives that may link.
+    wanted = common.stored(classes.join(_survivors(sets).withColumnRenamed("set", "lo"), "lo").where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    full = common.stored(_whole(docs, wanted), "sets")
+    lists = common.stored(_adaptive(full), "lists")
     names = full.select("set", "rep")
 
     links = None
     roots = names.select("set", "rep", F.col("rep").alias("root"))
     for k in range(PIVOTS):
         own = lists.join(roots.groupBy("set").agg(F.min("root").alias("root")), "set")
-        order = F.struct(F.xxhash64("set", F.lit(k)).alias("h"), "set", "n", "root")
-        pivot = own.groupBy("token").agg(F.min(order).alias("p"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token", "p")
+        # First the most central set of a list, then that of any of its components.
+        order = F.struct((F.xxhash64("root", F.lit(k)) if k else F.lit(0)).alias("h"), "centre", "set", "n", "root")
+        pivot = own.groupBy("token").agg(F.max(order).alias("p"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token", "p")
         pairs = own.join(pivot, "token").where((F.col("root") != F.col("p.root")) & _alike(F.col("n"), F.col("p.n"))).select(F.col("set").alias("a"), F.col("p.set").alias("b")).distinct()
         found = _linked(pairs, full)
         links = common.stored(found if links is None else found.union(links), "links")
@@ -149,6 +182,9 @@ def link_classes(docs: DataFrame) -> DataFrame:
     own = own.join(mixed, "token")
     a, b = own.alias("a"), own.alias("b")
     meets = (F.col("a.token") == F.col("b.token")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.root") != F.col("b.root")) & _alike(F.col("a.n"), F.col("b.n"))
+    # At the k-th match the overlap is at most k - 1 plus the room behind it on either side; so
+    # the first matches, as many as are asked for, all pass.
+    meets &= F.least("a.room", "b.room") + F.least("a.need", "b.need") - 1 >= _overlap(F.col("a.n"), F.col("b.n"))
     pairs = (
         a.join(b, meets)
         .select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.least("a.need", "b.need").alias("need"))
