@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about this many characters, which bounds a worker's memory.
 SLICE_CHARS = 1_000_000
+#: Least partitions of a step over few rows, and rows that are worth another one.
+LEAST_PARTS, ROWS_A_PART = 12, 4000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage
-    durably, so a lost executor costs no recomputation of what came before."""
+def parts_for(rows: int) -> int:
+    """Partitions that so many rows are worth. As a bound for ``coalesce`` it only ever lowers the
+    number that the session sets, where most of those partitions would be nearly empty."""
+    return max(LEAST_PARTS, rows // ROWS_A_PART)
+
+
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, in at most ``parts`` partitions, and read it
+    back: cuts the lineage durably, so a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/crateflow-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

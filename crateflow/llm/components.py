@@ -30,9 +30,11 @@ def components(links: DataFrame) -> DataFrame:
     written to the shared folder, and only its counts come to the driver. Links of a node to
     itself do not count; without links the result is empty."""
     edges = common.stored(links.where("u <> v").select("u", "v").distinct(), "links")
+    parts = common.parts_for(edges.count())
     before = None
     while True:
-        edges = common.stored(_small_star(_large_star(edges)).where("u <> v").distinct(), "stars")
+        large = common.stored(_large_star(edges), "large", parts)
+        edges = common.stored(_small_star(large).where("u <> v").coalesce(parts).distinct(), "stars", parts)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break

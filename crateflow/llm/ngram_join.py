@@ -77,11 +77,11 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _survivors(sets: DataFrame) -> DataFrame:
+def _survivors(sets: DataFrame, parts: int) -> DataFrame:
     """set (lo) of the sets whose first prefix holds enough shingles that other prefixes hold."""
     prefix = sets.where("tokens is not null").select(F.col("lo").alias("set"), "n", "tokens")
     held = prefix.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    held = common.stored(held, "held")
+    held = common.stored(held, "held", parts)
     filter_ = sets.sparkSession.sparkContext.broadcast(bitmap.bitmap(held, "token"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +93,7 @@ def _survivors(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(flat[keep])], names=["set", "n", "token"])
 
     few = prefix.mapInArrow(work, "set long, n long, token long")
-    shared = few.join(held, "token").dropDuplicates(["token", "set"])
+    shared = few.join(held, "token").dropDuplicates(["token", "set"]).coalesce(parts)
     needed = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / 10).cast("long"))
     return shared.groupBy("set").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(F.col("k") >= needed).select("set")
 
@@ -113,12 +113,12 @@ def _whole(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return common.texts_of(docs).where("doc_id is not null").mapInArrow(work, "set long, rep long, tokens array<long>")
 
 
-def _adaptive(full: DataFrame) -> DataFrame:
+def _adaptive(full: DataFrame, parts: int) -> DataFrame:
     """set, n, need, centre, room, token: every set's adaptive prefix and match count, how widely
     its shingles are held, and how many of its shingles do not stand before the token."""
     every = full.select("set", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
     df = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    known = every.join(df, "token").groupBy("set").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    known = every.join(df, "token").coalesce(parts).groupBy("set").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
     # Shingles that no other set holds stand in front.
     alone = F.col("n") - F.size("own")
     length = lambda k: F.greatest(F.lit(0).cast("long"), F.col("n") - _floor_size(F.col("n")) + k - alone).cast("int")
@@ -136,12 +136,22 @@ def _adaptive(full: DataFrame) -> DataFrame:
     return taken.select("set", "n", "need", "centre", (F.col("n") - F.col("alone") - F.col("k")).alias("room"), F.col("t.token").alias("token"))
 
 
-def _linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, full: DataFrame, parts: int) -> DataFrame:
     """u, v (representatives' ids) of the pairs (a, b) of sets that link."""
     left = full.select(F.col("set").alias("a"), F.col("rep").alias("u"), F.col("tokens").alias("x"))
     right = full.select(F.col("set").alias("b"), F.col("rep").alias("v"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= LEAST * (F.size("x") + F.size("y") - both)).select("u", "v")
+    return pairs.coalesce(parts).join(left, "a").coalesce(parts).join(right, "b").where(100 * both >= LEAST * (F.size("x") + F.size("y") - both)).select("u", "v")
+
+
+def _grown(tree: DataFrame | None, found: DataFrame, parts: int) -> DataFrame:
+    """The components' stars (node, root) after the links ``found`` have been added to them."""
+    found = common.stored(found, "found", parts)
+    if tree is None:
+        return components.components(found)
+    if found.isEmpty():
+        return tree
+    return components.components(tree.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
 
 
 def _overlap(n: Column, m: Column) -> Column:
@@ -156,30 +166,30 @@ def _alike(n: Column, m: Column) -> Column:
 def link_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     sets = common.stored(_prefixes(docs), "prefixes")
-    classes = common.stored(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
+    parts = common.parts_for(sets.count())
+    classes = common.stored(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes", parts)
 
     # The whole sets of the representatives that may link.
-    wanted = common.stored(classes.join(_survivors(sets).withColumnRenamed("set", "lo"), "lo").where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    wanted = common.stored(classes.join(_survivors(sets, parts).withColumnRenamed("set", "lo"), "lo").where("rep is not null").select(F.col("rep").alias("doc_id")).coalesce(parts).distinct(), "wanted", parts)
     full = common.stored(_whole(docs, wanted), "sets")
-    lists = common.stored(_adaptive(full), "lists")
+    lists = common.stored(_adaptive(full, parts), "lists", parts)
     names = full.select("set", "rep")
 
-    links = None
+    tree = None
     roots = names.select("set", "rep", F.col("rep").alias("root"))
     for k in range(PIVOTS):
         own = lists.join(roots.groupBy("set").agg(F.min("root").alias("root")), "set")
         # First the most central set of a list, then that of any of its components.
         order = F.struct((F.xxhash64("root", F.lit(k)) if k else F.lit(0)).alias("h"), "centre", "set", "n", "root")
+        own = common.stored(own, "own", parts)
         pivot = own.groupBy("token").agg(F.max(order).alias("p"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token", "p")
-        pairs = own.join(pivot, "token").where((F.col("root") != F.col("p.root")) & _alike(F.col("n"), F.col("p.n"))).select(F.col("set").alias("a"), F.col("p.set").alias("b")).distinct()
-        found = _linked(pairs, full)
-        links = common.stored(found if links is None else found.union(links), "links")
-        tree = components.components(links)
-        roots = common.stored(names.join(tree, names["rep"] == tree["node"], "left").select("set", "rep", F.coalesce("root", "rep").alias("root")), "roots")
+        pairs = own.join(pivot, "token").where((F.col("root") != F.col("p.root")) & _alike(F.col("n"), F.col("p.n"))).select(F.col("set").alias("a"), F.col("p.set").alias("b")).coalesce(parts).distinct()
+        tree = _grown(tree, _linked(pairs, full, parts), parts)
+        roots = common.stored(names.join(tree, names["rep"] == tree["node"], "left").select("set", "rep", F.coalesce("root", "rep").alias("root")), "roots", parts)
 
-    own = lists.join(roots.groupBy("set").agg(F.min("root").alias("root")), "set")
+    own = common.stored(lists.join(roots.groupBy("set").agg(F.min("root").alias("root")), "set"), "own", parts)
     mixed = own.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token")
-    own = own.join(mixed, "token")
+    own = common.stored(own.join(mixed, "token"), "mixed", parts)
     a, b = own.alias("a"), own.alias("b")
     meets = (F.col("a.token") == F.col("b.token")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.root") != F.col("b.root")) & _alike(F.col("a.n"), F.col("b.n"))
     # At the k-th match the overlap is at most k - 1 plus the room behind it on either side; so
@@ -188,10 +198,11 @@ def link_classes(docs: DataFrame) -> DataFrame:
     pairs = (
         a.join(b, meets)
         .select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.least("a.need", "b.need").alias("need"))
+        .coalesce(parts)
         .groupBy("a", "b", "need").agg(F.count("*").alias("shared"))
         .where("shared >= need").select("a", "b")
     )
-    tree = components.components(links.union(_linked(pairs, full)))
+    tree = _grown(tree, _linked(pairs, full, parts), parts)
     labels = classes.join(tree, classes["rep"] == tree["node"], "left").select("hi", "lo", F.coalesce("root", "rep").alias("component"))
     return sets.select("doc_id", "n", "hi", "lo").join(labels, ["hi", "lo"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
