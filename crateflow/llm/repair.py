@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,17 @@ _SYMBOLS = 1 << 16
 _HASH_BITS = 20
 
 
+def _slot(pair: np.ndarray) -> np.ndarray:
+    """A hash of ``_HASH_BITS`` bits of 32-bit pairs."""
+    return ((pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - _HASH_BITS)).astype(np.intp)
+
+
+def _marked(slots: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << _HASH_BITS, dtype=bool)
+    out[slots] = True
+    return out
+
+
 def compress(ids: np.ndarray, terminals: int, least: int = LEAST, at_once: int = AT_ONCE, passes: int = PASSES):
     """(rules, lengths, sequence) of a Re-Pair grammar for ``ids`` < ``terminals``."""
     seq = ids.astype(np.uint32)
@@ -52,28 +64,29 @@ def compress(ids: np.ndarray, terminals: int, least: int = LEAST, at_once: int =
         room = min(at_once, _SYMBOLS - terminals - len(rules))
         if room <= 0 or len(seq) < 2:
             break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(16)) | seq[1:]
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+        pair = (seq[:-1] << np.uint32(16)) | seq[1:]
+        slot = _slot(pair)
         count = np.bincount(slot, minlength=1 << _HASH_BITS)
         many = np.flatnonzero(count >= least)
         if len(many) > 2 * room:
             many = many[np.argpartition(count[many], -2 * room)[-2 * room :]]
-        hot = np.zeros(1 << _HASH_BITS, dtype=bool)
-        hot[many] = True
-        found, times = np.unique(pair[hot[slot]], return_counts=True)
+        found, times = np.unique(pair[_marked(many)[slot]], return_counts=True)
         order = np.argsort(-times, kind="stable")[:room]
         chosen = np.sort(found[order[times[order] >= least]])
         if not len(chosen):
             break
-        place = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-        at = np.flatnonzero(chosen[place] == pair)
+        near = np.flatnonzero(_marked(_slot(chosen))[slot])  # the only places where a chosen pair can stand
+        place = np.minimum(np.searchsorted(chosen, pair[near]), len(chosen) - 1)
+        fits = chosen[place] == pair[near]
+        at, place = near[fits], place[fits]
         # Of places that follow each other, every other one is taken, so that no two overlap.
         run = np.diff(at, prepend=-2) != 1
         first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - first) % 2 == 0]
+        other = (np.arange(len(at)) - first) % 2 == 0
+        at, place = at[other], place[other]
         base = terminals + len(rules)
-        new = np.stack([chosen >> np.uint64(16), chosen & np.uint64(0xFFFF)], axis=1).astype(np.uint32)
-        seq[at] = (base + place[at]).astype(np.uint32)
+        new = np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1)
+        seq[at] = (base + place).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq = seq[keep]
@@ -118,18 +131,19 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [units.cut(t) if t else [] for t in texts]
-        get = self.known.get
-        lacking = list({u for own in cut for u in own if get(u) is None})
-        fresh = {}
+        self.known.turn()
+        known, old = self.known.young, self.known.old
+        lacking = set().union(*cut).difference(known)
+        known.update((u, old[u]) for u in lacking & old.keys())
+        lacking = list(lacking.difference(old))
         for k in range(0, len(lacking), 10_000):
             part = lacking[k : k + 10_000]
-            for u, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                fresh[u] = np.array(e.ids, dtype="<u4").tobytes()
-        young = self.known.young
-        out = [b"".join([young.get(u) or fresh.get(u) or get(u) for u in own]) for own in cut]
-        for u, ids in fresh.items():
-            if len(u) <= 64:
-                self.known.put(u, ids)
+            encoded = self.library.encode_batch(part, add_special_tokens=False)
+            known.update((u, array("I", e.ids).tobytes()) for u, e in zip(part, encoded, strict=True))
+        out = [b"".join(map(known.__getitem__, own)) for own in cut]
+        for u in lacking:
+            if len(u) > 64:
+                del known[u]
         return out
 
 

@@ -44,6 +44,10 @@ class Memory:
         return out
 
     def put(self, key, value) -> None:
+        self.turn()
+        self.young[key] = value
+
+    def turn(self) -> None:
+        """Start a new generation once the young one is full."""
         if len(self.young) >= self.size:
             self.young, self.old = {}, self.young
-        self.young[key] = value
