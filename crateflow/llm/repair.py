@@ -138,7 +138,7 @@ class Encoder:
         lacking = list(lacking.difference(old))
         for k in range(0, len(lacking), 10_000):
             part = lacking[k : k + 10_000]
-            encoded = self.library.encode_batch(part, add_special_tokens=False)
+            encoded = self.library.encode_batch_fast(part, add_special_tokens=False)
             known.update((u, array("I", e.ids).tobytes()) for u, e in zip(part, encoded, strict=True))
         out = [b"".join(map(known.__getitem__, own)) for own in cut]
         for u in lacking:
