@@ -15,7 +15,8 @@ the smaller id.
 
 Vectors that are null or hold null or non-finite components take no part, nor do null ids.
 Vectors shorter than the longest count as padded by zeros; empty ones score 0. Repeated ids
-are candidates each of their own; a query never meets rows of its own id. An empty table
+are candidates each of their own; as a query such an id asks once, by its least vector, and
+never meets rows of its own id. An empty table
 gives an empty one. Other columns are left out.
 """
 
@@ -70,9 +71,10 @@ class Index:
     def possible(self, queries: np.ndarray, k: int, most: int) -> np.ndarray:
         """A mask queries x vectors that surely covers the k best of each query."""
         score = np.zeros((len(queries), len(self.vectors)))
+        mask = np.ones(score.shape, dtype=bool)
         length = np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None]
         if len(self.vectors) <= k:
-            return np.ones(score.shape, dtype=bool)
+            return mask
         for posting, rest in self.segments():
             score += queries @ posting.T
             slack = length * rest[None, :] * (1 + 1e-9) + 1e-6
@@ -109,10 +111,10 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_i
     cell = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(cells)).cast("int")
     block = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int")
     candidates = rows.select("id", "v", cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = rows.where(F.col("id") % every == 0).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), block.alias("block"))
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    queries = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), block.alias("block"))
 
     def work(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        q = q.drop_duplicates("id")
         return search_cell(c["id"].to_numpy(), _matrix(c["v"], width), q["id"].to_numpy(), _matrix(q["v"], width), k)
 
     found = candidates.groupBy("cell", "block").cogroup(queries.groupBy("cell", "block")).applyInPandas(work, "query_id long, vec_id long, score long")
