@@ -115,6 +115,22 @@ def rules() -> list[tuple[str, re.Pattern, str, int]]:
     return sorted(out, key=lambda r: -r[3])
 
 
+@functools.cache
+def gates() -> list[str]:
+    """For each rule what every match holds: its keyword, with a blank in front or behind where
+    the name's pattern shows that a word starts or ends there (blanks surround the joined words)."""
+    out = []
+    for _, pattern, word, _ in rules():
+        name = re.search(r"\(\?<!\\S\)(.*)\(\?!\\S\)", pattern.pattern)[1]
+        own = [n for names in NAMES.values() for n in names if name.endswith(f"(?:{n})")]
+        name = max(own, key=len, default=name)
+        front, _, rest = name.partition(word)
+        starts = front == "" or front[-1] == " "
+        ends = rest == "" or re.fullmatch(r"(?:\(\?: [^|()]*\)\?)*(?: [^?].*)?", rest)
+        out.append((" " if starts else "") + word + (" " if ends else ""))
+    return out
+
+
 def keyword(pattern: str) -> str:
     """The longest word that every match of a name holds: groups are left out."""
     depth, plain = 0, ""

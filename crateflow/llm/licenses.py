@@ -29,7 +29,6 @@ from . import common, license_rules
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 _PHRASES = [(re.compile(rf"(?<!\S){p}(?!\S)"), label) for p, label in BASE]
 _IS_WORD = np.zeros(256, dtype=bool)
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
@@ -56,9 +55,11 @@ def _gate() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
 def detections(words: str, keywords: set[str]) -> list[tuple[str, int, int, int]]:
     """(label, start, end, priority) over characters of joined words, after suppression."""
     _, by = _gate()
-    rules = license_rules.rules()
-    found = []
-    for k in sorted(k for w in keywords for k in by.get(w, ())):
+    rules, gates = license_rules.rules(), license_rules.gates()
+    padded, found = f" {words} ", []
+    likely = [k for w in keywords for k in by.get(w, ())]
+    held = {g for g in {gates[k] for k in likely} if g in padded}
+    for k in sorted(k for k in likely if gates[k] in held):
         label, pattern, _, priority = rules[k]
         found += [(label, m.start(), m.end(), priority) for m in pattern.finditer(words)]
     found.sort(key=lambda d: (-d[3], d[1] - d[2], d[1], d[0]))
@@ -73,7 +74,7 @@ def scan(text: str | None) -> dict:
     """One text's result."""
     text = text or ""
     out = {"n_words": count_words(text), "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "detections": []}
-    lower = text.translate(_LOWER) if not text.isascii() else text.lower()
+    lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes: A-Z alone
     automaton, _ = _gate()
     keywords = {w for _, w in automaton.iter(lower)}
     if not keywords:
