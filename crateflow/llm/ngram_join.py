@@ -16,9 +16,9 @@ least ``least`` percent. Equal sets form a class, and one set of each class is j
    with another one): the most central one, whose shingles are the most widely held, which
    for near copies is the text they were made from. That settles groups of near copies
    without listing their pairs. Only where sets of different components still meet in a list
-   are pairs made, if what follows the shared shingle in both leaves room for the overlap that
-   their sizes ask for, and if they share as many prefix shingles as the smaller of their
-   match counts. Every pair of sets that link is in one component after that: it was
+   are pairs made, if the shared shingle and what follows it in both leave room for the overlap
+   that their sizes ask for. They are compared if they share as many prefix shingles as the
+   smaller of their match counts. Every pair of sets that link is in one component after that: it was
    compared, or its sets were in one component before.
 4. All comparisons are exact, on whole sets.
 
@@ -163,6 +163,38 @@ def _alike(n: Column, m: Column) -> Column:
     return (n >= _floor_size(m)) & (m >= _floor_size(n))
 
 
+def _mixed(own: DataFrame) -> DataFrame:
+    """The entries of lists in which different components meet, with the component that most of
+    the list's entries are of (major) and the size of its smallest set (small)."""
+    held = own.groupBy("token", "root").agg(F.count("*").alias("c"), F.min("n").alias("small"))
+    lists = held.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root"))["root"].alias("major"), F.min("small").alias("small")).where("roots > 1")
+    return own.join(lists.drop("roots"), "token")
+
+
+def _candidates(own: DataFrame, parts: int) -> DataFrame:
+    """a, b: sets of different components for which a token of both prefixes may be the first
+    that they share. All that they share then stands at it or behind it in both, so either has
+    room for the overlap that their sizes ask for; an entry without room even for the smallest
+    set of its list meets none. Entries of a list's major component are not compared with each
+    other."""
+    roomy = _mixed(own).where(F.col("room") >= _overlap(F.col("n"), F.greatest("small", _floor_size(F.col("n")))))
+    mixed = common.stored(_mixed(roomy.drop("major", "small")), "mixed", parts)
+    a, b = mixed.where("root <> major").alias("a"), mixed.alias("b")
+    meets = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & _alike(F.col("a.n"), F.col("b.n"))
+    meets &= F.least("a.room", "b.room") >= _overlap(F.col("a.n"), F.col("b.n"))
+    meets &= (F.col("b.root") == F.col("b.major")) | (F.col("a.set") < F.col("b.set"))
+    return a.join(b, meets).select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).coalesce(parts).distinct()
+
+
+def _matched(pairs: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
+    """The pairs (a, b) that share as many prefix tokens as the smaller of their match counts."""
+    prefixes = lists.groupBy("set").agg(F.collect_set("token").alias("tokens"), F.min("need").alias("need"))
+    left = prefixes.select(F.col("set").alias("a"), F.col("tokens").alias("x"), F.col("need").alias("k"))
+    right = prefixes.select(F.col("set").alias("b"), F.col("tokens").alias("y"), F.col("need").alias("l"))
+    both = pairs.join(left, "a").coalesce(parts).join(right, "b")
+    return both.where(F.size(F.array_intersect("x", "y")) >= F.least("k", "l")).select("a", "b")
+
+
 def link_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     sets = common.stored(_prefixes(docs), "prefixes")
@@ -188,21 +220,8 @@ def link_classes(docs: DataFrame) -> DataFrame:
         roots = common.stored(names.join(tree, names["rep"] == tree["node"], "left").select("set", "rep", F.coalesce("root", "rep").alias("root")), "roots", parts)
 
     own = common.stored(lists.join(roots.groupBy("set").agg(F.min("root").alias("root")), "set"), "own", parts)
-    mixed = own.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token")
-    own = common.stored(own.join(mixed, "token"), "mixed", parts)
-    a, b = own.alias("a"), own.alias("b")
-    meets = (F.col("a.token") == F.col("b.token")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.root") != F.col("b.root")) & _alike(F.col("a.n"), F.col("b.n"))
-    # At the k-th match the overlap is at most k - 1 plus the room behind it on either side; so
-    # the first matches, as many as are asked for, all pass.
-    meets &= F.least("a.room", "b.room") + F.least("a.need", "b.need") - 1 >= _overlap(F.col("a.n"), F.col("b.n"))
-    pairs = (
-        a.join(b, meets)
-        .select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.least("a.need", "b.need").alias("need"))
-        .coalesce(parts)
-        .groupBy("a", "b", "need").agg(F.count("*").alias("shared"))
-        .where("shared >= need").select("a", "b")
-    )
-    tree = _grown(tree, _linked(pairs, full, parts), parts)
+    pairs = common.stored(_candidates(own, parts), "candidates", parts)
+    tree = _grown(tree, _linked(_matched(pairs, lists, parts), full, parts), parts)
     labels = classes.join(tree, classes["rep"] == tree["node"], "left").select("hi", "lo", F.coalesce("root", "rep").alias("component"))
     return sets.select("doc_id", "n", "hi", "lo").join(labels, ["hi", "lo"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
