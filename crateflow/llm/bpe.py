@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common, units
 
@@ -192,10 +193,10 @@ _OUTPUTS = {
 }
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), carried: tuple[str, ...] = ()) -> DataFrame:
     """Encode and decode every text of ``docs`` (doc_id, text).
 
-    Returns doc_id, n_tokens and ``outputs``: ``ids`` (little-endian unsigned 32-bit),
+    Returns doc_id, the whole-number columns ``carried``, n_tokens and ``outputs``: ``ids`` (little-endian unsigned 32-bit),
     ``decoded`` (the bytes the ids stand for) or the SHA-256 of either (``ids_sha256``,
     ``decoded_sha256``), so that the long columns need not leave the worker.
     """
@@ -203,8 +204,8 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
 
     path = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
-    names = ["doc_id", "n_tokens", *outputs]
-    kinds = [pa.int64(), pa.int64(), *(pa.binary() if _OUTPUTS[o][0] == "binary" else pa.string() for o in outputs)]
+    names = ["doc_id", *carried, "n_tokens", *outputs]
+    kinds = [pa.int64(), *[pa.int64()] * len(carried), pa.int64(), *(pa.binary() if _OUTPUTS[o][0] == "binary" else pa.string() for o in outputs)]
     decodes = any(o.startswith("decoded") for o in outputs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +215,9 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
             for i, t in zip(ids, texts, strict=True):
                 tokens = own.encode(t)
                 raw = own.decode(tokens) if decodes else b""
-                rows.append((i, len(tokens), *(_OUTPUTS[o][1](tokens, raw) for o in outputs)))
+                rows.append((*i.values(), len(tokens), *(_OUTPUTS[o][1](tokens, raw) for o in outputs)))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     common.small_batches(docs.sparkSession)
-    return common.texts_of(docs).mapInArrow(work, ", ".join(["doc_id long", "n_tokens long", *(f"{o} {_OUTPUTS[o][0]}" for o in outputs)]))
+    texts = docs.select(F.struct(*[F.col(f"`{c}`").cast("long").alias(c) for c in ("doc_id", *carried)]).alias("key"), F.col("`text`").cast("string").alias("text"))
+    return texts.mapInArrow(work, ", ".join(["doc_id long", *(f"{c} long" for c in carried), "n_tokens long", *(f"{o} {_OUTPUTS[o][0]}" for o in outputs)]))

@@ -130,6 +130,13 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, period: int =
     return out.select("in_0", "position").orderBy("position").select("in_0.*")
 
 
+def numbered(docs: DataFrame, weights: dict[str, int] | None = None, period: int | None = PERIOD, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """doc_id, text, position in the mix of every row of ``docs``, in no order: the position is
+    a value of its own, which survives any file or partition order."""
+    out = _placed(docs, weights, period, block_docs, [F.col("doc_id").alias("in_0"), F.col("text").alias("in_1")])
+    return out.select(F.col("in_0").alias("doc_id"), F.col("in_1").alias("text"), "position")
+
+
 SQL = f"""
 WITH RECURSIVE counts AS (
   SELECT source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS skey, count(*) AS n FROM documents GROUP BY 1, 2),

@@ -1,6 +1,11 @@
 """The pipeline's stages, each on what the one before kept."""
 
+import hashlib
+import math
+from fractions import Fraction
+
 import corpus_pipeline
+from crateflow.llm import mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +27,38 @@ def test_stages_of_odd_and_empty_tables(spark, docs, nothing, tmp_path):
     for given in (docs, nothing):
         for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:]:
             assert stage(spark, given, SF).count() <= given.count(), name
+
+
+def shares(weight):
+    """The share of each source in whole slots of a period, as the operator rounds it."""
+    quota = {s: max(1, (2 * w * mixing.PERIOD + sum(weight.values())) // (2 * sum(weight.values()))) for s, w in weight.items()}
+    return {s: Fraction(q, sum(quota.values())) for s, q in quota.items()}
+
+
+def by_hand(rows):
+    """(doc_id, source) in the order of the mix, by exact fractions slot by slot."""
+    queues = {}
+    for i, source in rows:
+        queues.setdefault(source, []).append(i)
+    for ids in queues.values():
+        ids.sort(key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    weight = {s: math.isqrt(len(ids) - 1) + 1 for s, ids in queues.items()}
+    done, out, t = dict.fromkeys(queues, 0), [], 0
+    share = shares(weight)
+    while any(done[s] * mixing.BLOCK_DOCS < len(queues[s]) for s in queues):
+        ready = [(math.ceil((done[s] + 1) / share[s]), f"={s}", s) for s in queues if math.floor(done[s] / share[s]) <= t]
+        s = min(ready)[2]
+        out += [(i, s) for i in queues[s][done[s] * mixing.BLOCK_DOCS : (done[s] + 1) * mixing.BLOCK_DOCS]]
+        done[s] += 1
+        t += 1
+    return out
+
+
+def test_last_stage_returns_the_order_of_the_mix(spark, tmp_path):
+    rows = [(k, f"text {k}", "en", f"s{k % 7 % 3}", 6) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # Several files, of which Spark reads the largest first.
+    corpus_pipeline.source_mixing(spark, docs, SF).repartition(5).write.parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.byte_bpe(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).collect()
+    assert len({r.position for r in out}) == len(rows)
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.position)] == [i for i, _ in by_hand([(r[0], r[3]) for r in rows])]
