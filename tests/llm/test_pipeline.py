@@ -62,3 +62,10 @@ def test_last_stage_returns_the_order_of_the_mix(spark, tmp_path):
     out = corpus_pipeline.byte_bpe(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).collect()
     assert len({r.position for r in out}) == len(rows)
     assert [r.doc_id for r in sorted(out, key=lambda r: r.position)] == [i for i, _ in by_hand([(r[0], r[3]) for r in rows])]
+
+
+def test_last_stage_decodes_the_texts(spark, docs):
+    out = corpus_pipeline.byte_bpe(spark, docs, SF).collect()
+    given = sorted((-1 if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in docs.collect())
+    assert sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.decoded)) for r in out) == given
+    assert all(len(r.ids) == 4 * r.n_tokens for r in out)
