@@ -8,9 +8,16 @@ that sum to 1 this meets every deadline, so until a source runs out its number o
 the first t slots differs from w * t by less than one block; its later slots stay empty, and
 the others keep their proportions.
 
-Weights are quotas of a period of about ``period`` slots (at least one slot a source), so one
-period is scheduled and the rest repeats it. The schedule's size is bounded by ``period`` plus
-the number of sources; it alone is broadcast. Ranks inside a source come from counts of hash
+With ``period`` None the weights themselves, divided by their greatest common divisor, are the
+quotas of a period as long as their sum, so releases, deadlines and the bound above hold for
+the weights as given, over any number of periods. That one period is scheduled on the driver,
+in time in proportion to its slots (no more of them than the documents need), from one row a
+source; it alone is broadcast.
+
+With a number, weights are rounded to quotas of about ``period`` slots (at least one slot a
+source), one such period is scheduled by Spark's functions, and the bound holds for the
+rounded quotas only: a source strays from its weight by up to about half a slot more with
+every period. This is what ``SQL`` says, hence what the registered query does. Ranks inside a source come from counts of hash
 buckets and row numbers inside a bucket, so that no task holds a source.
 
 A null source is a source of its own. Null doc_ids rank as an empty text does. Repeated rows
@@ -21,6 +28,7 @@ columns alone come back, in schedule order) and left out of ``schedule``.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -39,16 +47,21 @@ def _deadline(k: Column, quota: Column, period: Column) -> Column:
     return F.ceil((k + F.lit(1)) * period / quota).cast("long")
 
 
-def quotas(counts: DataFrame, weights: dict[str, int] | None, period: int) -> DataFrame:
-    """skey, quota of every source. ``weights`` are whole numbers by source (missing: 1);
+def _weighed(counts: DataFrame, weights: dict[str, int] | None) -> DataFrame:
+    """skey, n, w of every source. ``weights`` are whole numbers by source (missing: 1);
     by default a source weighs the square root of its number of documents, rounded up."""
     if weights is None:
         weight = F.ceil(F.sqrt("n")).cast("long")
     else:
         given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (f"={k}", int(v))]) if weights else None
         weight = F.coalesce(given[F.col("skey")], F.lit(1)).cast("long") if weights else F.lit(1).cast("long")
+    return counts.select("skey", "n", weight.alias("w"))
+
+
+def quotas(counts: DataFrame, weights: dict[str, int] | None, period: int) -> DataFrame:
+    """skey, quota of every source: its weight rounded to slots of a period of about ``period``."""
     # One row a source: a window over all of them stays small.
-    weighed = counts.select("skey", weight.alias("w")).withColumn("all", F.sum("w").over(Window.partitionBy(F.lit(0))))
+    weighed = _weighed(counts, weights).withColumn("all", F.sum("w").over(Window.partitionBy(F.lit(0))))
     half_up = F.floor((F.col("w") * F.lit(2 * period) + F.col("all")) / (2 * F.col("all"))).cast("long")
     return weighed.select("skey", F.greatest(F.lit(1).cast("long"), half_up).alias("quota"))
 
@@ -83,7 +96,36 @@ def periods(quota: DataFrame) -> DataFrame:
     )
 
 
-def _placed(docs: DataFrame, weights: dict[str, int] | None, period: int, block_docs: int, columns: list[Column]) -> DataFrame:
+def earliest_deadline_first(quota: list[int], slots: int) -> list[list[int]]:
+    """The places of each source among the first ``slots`` of a period of sum(quota)."""
+    period = sum(quota)
+    ready, waiting, places = [(-(-period // q), i) for i, q in enumerate(quota)], [], [[] for _ in quota]
+    heapq.heapify(ready)
+    for t in range(slots):
+        while waiting and waiting[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        i = heapq.heappop(ready)[1]
+        places[i].append(t)
+        k, q = len(places[i]), quota[i]
+        if k < q:
+            heapq.heappush(waiting, (k * period // q, -(-(k + 1) * period // q), i))
+    return places
+
+
+def exact_periods(counts: DataFrame, weights: dict[str, int] | None, block_docs: int) -> DataFrame:
+    """skey, quota, period, slots as ``periods`` gives them, for the weights as they are."""
+    rows = sorted((r.skey, r.n, max(1, r.w)) for r in _weighed(counts, weights).collect())  # one row a source
+    shared = math.gcd(*(w for _, _, w in rows))
+    quota = [w // shared for _, _, w in rows]
+    period = sum(quota)
+    # The deadline of the last block that any source has.
+    needed = max((-(-(-(-n // block_docs) * period) // q) for (_, n, _), q in zip(rows, quota, strict=True)), default=0)
+    places = earliest_deadline_first(quota, min(period, needed))
+    plan = [(k, q, period, p) for (k, _, _), q, p in zip(rows, quota, places, strict=True)]
+    return counts.sparkSession.createDataFrame(plan, "skey string, quota long, period long, slots array<long>")
+
+
+def _placed(docs: DataFrame, weights: dict[str, int] | None, period: int | None, block_docs: int, columns: list[Column]) -> DataFrame:
     """``columns`` with rank, block, release, deadline, slot and position."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     n = docs.count()
@@ -100,7 +142,8 @@ def _placed(docs: DataFrame, weights: dict[str, int] | None, period: int, block_
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("skey", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("skey", "bucket").orderBy("key")
-    plan = periods(quotas(counts.groupBy("skey").agg(F.sum("n").alias("n")), weights, period))
+    sources = counts.groupBy("skey").agg(F.sum("n").alias("n"))
+    plan = exact_periods(sources, weights, block_docs) if period is None else periods(quotas(sources, weights, period))
     ranked = keyed.withColumn("rank", F.row_number().over(own) - 1).join(offsets, ["skey", "bucket"])
     rank = (F.col("rank") + F.col("before")).cast("long")
     block = F.floor(rank / F.lit(block_docs)).cast("long")
@@ -117,14 +160,14 @@ def _placed(docs: DataFrame, weights: dict[str, int] | None, period: int, block_
     )
 
 
-def schedule(docs: DataFrame, weights: dict[str, int] | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, int] | None = None, period: int | None = PERIOD, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """doc_id, source, rank (in its source), block, release, deadline, slot, position (the
     order of the mix: ascending, with gaps where a source has run out)."""
     out = _placed(docs, weights, period, block_docs, [F.col("doc_id").alias("in_0"), F.col("source").alias("in_1")])
     return out.withColumnsRenamed({"in_0": "doc_id", "in_1": "source"})
 
 
-def mixed(docs: DataFrame, weights: dict[str, int] | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, int] | None = None, period: int | None = PERIOD, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All rows and columns of ``docs`` in the order of the mix, over range partitions of it."""
     out = _placed(docs, weights, period, block_docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("in_0")])
     return out.select("in_0", "position").orderBy("position").select("in_0.*")

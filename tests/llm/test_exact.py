@@ -169,12 +169,46 @@ def test_mix_differs_from_its_weights_by_less_than_a_block(spark):
         assert all(abs(sum(seen[: t + 1]) - share * (t + 1)) < 1 for t in range(64))
 
 
+def test_mix_keeps_to_weights_that_divide_no_period(spark):
+    rows = [(k, "t", ("a", "a", "a", "b", "b", "c")[k % 6]) for k in range(24_000)]
+    weights = {"a": 1009, "b": 661, "c": 331}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.schedule(docs, weights, period=None, block_docs=1).select("source", "slot", "release", "deadline").collect()
+    assert len({r.slot for r in found}) == len(rows) and all(r.release <= r.slot < r.deadline for r in found)
+    by_slot, total = {r.slot: r.source for r in found}, sum(weights.values())
+    # Over eleven periods, until the first source has run out.
+    end, seen = min(max(r.slot for r in found if r.source == s) for s in weights) + 1, dict.fromkeys(weights, 0)
+    assert end > 11 * total
+    for t in range(end):
+        seen[by_slot[t]] += 1
+        assert all(abs(seen[s] * total - w * (t + 1)) < total for s, w in weights.items())
+
+
+def test_mix_of_one_heavy_and_many_light_sources(spark):
+    rows = [(k, "t", "heavy" if k < 2000 else f"s{k % 600}") for k in range(3800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.schedule(docs, {"heavy": 300}, period=None, block_docs=1).collect()
+    # A third of the slots, not 171 of 512 + 600.
+    assert abs(sum(r.slot < 1800 for r in found if r.source == "heavy") - 600) < 1
+
+
+def test_both_schedules_of_one_period_agree(spark):
+    quota = [5, 1, 7, 3]
+    found = mixing.periods(spark.createDataFrame(list(zip("abcd", quota, strict=True)), "skey string, quota long")).collect()
+    assert [list(r.slots) for r in sorted(found)] == mixing.earliest_deadline_first(quota, 16)
+
+
 def test_mix_keeps_rows_and_columns(docs):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_mix_by_weights_as_given_of_odd_and_empty_tables(docs, nothing):
+    assert sorted(map(str, mixing.mixed(docs, period=None).collect())) == sorted(map(str, docs.collect()))
+    assert mixing.schedule(nothing, period=None).count() == 0 and mixing.mixed(nothing, period=None).count() == 0
+
+
 def test_base_phrases(docs, texts):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     for r in licenses.scan_documents(docs).collect():

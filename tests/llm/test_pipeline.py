@@ -29,12 +29,6 @@ def test_stages_of_odd_and_empty_tables(spark, docs, nothing, tmp_path):
             assert stage(spark, given, SF).count() <= given.count(), name
 
 
-def shares(weight):
-    """The share of each source in whole slots of a period, as the operator rounds it."""
-    quota = {s: max(1, (2 * w * mixing.PERIOD + sum(weight.values())) // (2 * sum(weight.values()))) for s, w in weight.items()}
-    return {s: Fraction(q, sum(quota.values())) for s, q in quota.items()}
-
-
 def by_hand(rows):
     """(doc_id, source) in the order of the mix, by exact fractions slot by slot."""
     queues = {}
@@ -44,7 +38,7 @@ def by_hand(rows):
         ids.sort(key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
     weight = {s: math.isqrt(len(ids) - 1) + 1 for s, ids in queues.items()}
     done, out, t = dict.fromkeys(queues, 0), [], 0
-    share = shares(weight)
+    share = {s: Fraction(w, sum(weight.values())) for s, w in weight.items()}
     while any(done[s] * mixing.BLOCK_DOCS < len(queues[s]) for s in queues):
         ready = [(math.ceil((done[s] + 1) / share[s]), f"={s}", s) for s in queues if math.floor(done[s] / share[s]) <= t]
         s = min(ready)[2]
