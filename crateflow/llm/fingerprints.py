@@ -19,12 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import common, components, shingles
 
 PERMUTATIONS, BANDS = 96, 24
+#: Rounds in which the members of a band are compared with one of them.
+PIVOTS = 3
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -127,24 +129,63 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return _neighbours(docs).mapInArrow(work, SCHEMA)
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs (a < b) of ids of different shingle sets whose signatures share a band and whose
-    exact Jaccard likeness reaches ``least``. Texts of equal sets are represented by their
-    smallest id, so copies are not expanded into pairs; a band value held by several documents
-    pairs each with the band's smallest id, so no bucket is expanded into all pairs either."""
+def _verified(pairs: DataFrame, kept: DataFrame, least: float) -> DataFrame:
+    """a, b, jaccard of the pairs (a, b) whose exact likeness reaches ``least``."""
+    left, right = kept.select(F.col("id").alias("a"), F.col("s").alias("sa")), kept.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
+
+
+def _banded(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's id and set (id, key, least id of the set as rep); the links found (a, b,
+    jaccard); and the components they make (node, root).
+
+    In ``PIVOTS`` rounds the members of a band are compared with one of them only, first the
+    smallest id, then one of any component. Members of different components that still share
+    a band are then all compared, but for those whose sizes rule ``least`` out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.slices(batches):
             sets = shingles.distinct_sets(texts)
             bands = [[f"{k}:{r[k * 4 : k * 4 + 4].tobytes().hex()}" for k in range(BANDS)] if len(s) else [] for r, s in zip(signatures(texts), sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.string()))], names=["id", "s", "bands"])
+            keys = [hashlib.sha256(s.tobytes()).hexdigest() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.string()))], names=["id", "key", "s", "bands"])
+
+    def alike(n: str, m: str) -> Column:
+        return F.least(n, m) / F.greatest(n, m) >= least
 
     common.small_batches(docs.sparkSession)
-    sets = common.texts_of(docs).where("doc_id is not null").mapInArrow(work, "id long, s array<long>, bands array<string>").groupBy("s").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    kept = common.stored(sets, "minhash")
-    bands = kept.select("id", F.explode("bands").alias("band"))
-    heads = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = bands.join(heads, "band").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    left, right = kept.select(F.col("id").alias("a"), F.col("s").alias("sa")), kept.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    rows = common.stored(common.texts_of(docs).where("doc_id is not null").mapInArrow(work, "id long, key string, s array<long>, bands array<string>"), "minhash")
+    kept = common.stored(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("s").alias("s"), F.first("bands").alias("bands")), "sets")
+    members = rows.select("id", "key").join(kept.select("key", F.col("id").alias("rep")), "key")
+    bands = kept.select("id", F.size("s").alias("n"), F.explode("bands").alias("band"))
+    links, tree = None, None
+    for k in range(PIVOTS + 1):
+        roots = bands.withColumn("root", F.col("id")) if tree is None else bands.join(tree, bands["id"] == tree["node"], "left").select("id", "n", "band", F.coalesce("root", "id").alias("root"))
+        held = roots.groupBy("band").agg(F.min(F.struct((F.xxhash64("root", F.lit(k)) if k else F.lit(0)).alias("h"), "id", "n", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
+        own = common.stored(roots.join(held.where("low <> high").select("band", "p"), "band"), "bands")
+        if k < PIVOTS:
+            pairs = own.where((F.col("root") != F.col("p.root")) & alike("n", "p.n")).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+        else:
+            a, b = own.drop("p").alias("a"), own.drop("p").alias("b")
+            meets = (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.id") < F.col("b.id")) & alike("a.n", "b.n")
+            pairs = a.join(b, meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        found = common.stored(_verified(pairs.distinct(), kept, least), "found")
+        links = found if links is None else links.union(found)
+        tree = components.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return members, links, tree
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """Pairs (a < b) of ids of different shingle sets whose signatures share a band and whose
+    exact Jaccard likeness reaches ``least``. Texts of equal sets are represented by their
+    smallest id, so copies are not expanded into pairs. Nor is a group of near copies: its pairs
+    are those that hold it together, and every pair left out joins two of one ``near_classes``."""
+    return _banded(docs, least)[1].distinct()
+
+
+def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, class_id of every row with an id: the least id that equal shingle sets and pairs
+    of at least ``least`` that share a band lead to."""
+    members, _, tree = _banded(docs, least)
+    return members.join(tree, members["rep"] == tree["node"], "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))

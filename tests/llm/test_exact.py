@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -240,6 +241,27 @@ def test_minhash_pairs_are_true(docs, texts):
     assert pairs and all(alike(shingle_set(texts[a]), shingle_set(texts[b])) for a, b in pairs)
 
 
+def test_minhash_classes_hold_every_pair_that_shares_a_band(spark):
+    # Fourteen pairs of near copies of one passage, each changed at its own places: a band's smallest id is mostly of another pair.
+    rng = random.Random(3)
+    passage, texts = [f"w{k}" for k in range(320)], []
+    for k in range(28):
+        near = list(passage)
+        for j in range(4):
+            near[5 * (k % 14 + 14 * j) + 2] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(near))
+    texts.append(texts[7])
+    sets, signs = [shingle_set(t) for t in texts], fingerprints.signatures(texts).reshape(len(texts), fingerprints.BANDS, -1)
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if (signs[a] == signs[b]).all(axis=1).any() and alike(sets[a], sets[b])]
+    least = list(range(len(texts)))
+    for _ in texts:
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+    assert len(set(least)) == 14
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in fingerprints.near_classes(docs).collect()} == dict(enumerate(least))
+
+
 def test_empty_tables(nothing):
     assert ngram_join.link_classes(nothing).count() == 0
     assert bpe.encode_documents(nothing).count() == 0
