@@ -218,6 +218,5 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
                 rows.append((*i.values(), len(tokens), *(_OUTPUTS[o][1](tokens, raw) for o in outputs)))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    common.small_batches(docs.sparkSession)
     texts = docs.select(F.struct(*[F.col(f"`{c}`").cast("long").alias(c) for c in ("doc_id", *carried)]).alias("key"), F.col("`text`").cast("string").alias("text"))
     return texts.mapInArrow(work, ", ".join(["doc_id long", *(f"{c} long" for c in carried), "n_tokens long", *(f"{o} {_OUTPUTS[o][0]}" for o in outputs)]))

@@ -62,8 +62,3 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS) -> Itera
             size += len(t or "")
         if ids:
             yield ids, texts
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Documents are long: fewer rows in an Arrow batch bound what a worker holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -125,7 +125,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             columns = [[i for i, _, _ in part], [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], [r.tobytes().hex() for r in own], [r.tobytes().hex() for r in other], likeness(own, other), likeness(own, following)]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, (_, k) in zip(columns, _FIELDS, strict=True)], names=[f for f, _ in _FIELDS])
 
-    common.small_batches(docs.sparkSession)
     return _neighbours(docs).mapInArrow(work, SCHEMA)
 
 
@@ -154,7 +153,6 @@ def _banded(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFr
     def alike(n: str, m: str) -> Column:
         return F.least(n, m) / F.greatest(n, m) >= least
 
-    common.small_batches(docs.sparkSession)
     rows = common.stored(common.texts_of(docs).where("doc_id is not null").mapInArrow(work, "id long, key string, s array<long>, bands array<string>"), "minhash")
     kept = common.stored(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("s").alias("s"), F.first("bands").alias("bands")), "sets")
     members = rows.select("id", "key").join(kept.select("key", F.col("id").alias("rep")), "key")

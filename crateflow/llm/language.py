@@ -116,7 +116,6 @@ def fit(docs: DataFrame, modulus: int = 5, held_out: int = 0) -> Model:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(BUCKETS), -1)), pa.array(np.append(total, n))], names=["bucket", "n"])
 
-    common.small_batches(docs.sparkSession)
     found = common.texts_of(train).mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     df = {r.bucket: r.n for r in found.collect()}  # BUCKETS + 1 rows
     idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(b, 0) for b in range(BUCKETS)]))).astype(np.float32) + np.float32(1)
@@ -158,7 +157,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, score, rejected = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    common.small_batches(docs.sparkSession)
     return common.texts_of(docs).mapInArrow(work, SCHEMA)
 
 
@@ -173,5 +171,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         out = [shared.value.predict(texts[k : k + _ROWS].tolist())[2] for k in range(0, len(texts), _ROWS)]
         return pd.Series(np.concatenate(out) if out else [], dtype=bool)
 
-    common.small_batches(docs.sparkSession)
     return docs.where(~rejected(F.col("text").cast("string")))

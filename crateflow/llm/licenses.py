@@ -115,5 +115,4 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             rows = [{"doc_id": i} | scan(t) for i, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], type=k) for n, k in _FIELDS.items()], names=list(_FIELDS))
 
-    common.small_batches(docs.sparkSession)
     return common.texts_of(docs).mapInArrow(work, SCHEMA)

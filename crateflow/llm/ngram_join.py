@@ -69,7 +69,6 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                     tokens.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "tokens"])
 
-    common.small_batches(docs.sparkSession)
     return common.texts_of(docs).mapInArrow(work, "doc_id long, n long, hi long, lo long, tokens array<long>")
 
 

@@ -163,7 +163,6 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1)
                 x = features(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([row.tobytes() for row in x], pa.binary())], names=["doc_id", "positive", "lowest", "x"])
 
-    common.small_batches(docs.sparkSession)
     rows = sorted(sample.mapInArrow(embed, "doc_id long, positive int, lowest int, x binary").collect(), key=lambda r: r.doc_id)
     of = lambda keep: np.array([np.frombuffer(r.x, dtype=np.float32) for r in rows if keep(r)]).reshape(-1, WIDTH)
     return fit_arrays(of(lambda r: r.positive == 1), of(lambda r: r.lowest == 0))
@@ -178,7 +177,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             for k in range(0, len(ids), _ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + _ROWS], pa.int64()), pa.array(shared.value.score(texts[k : k + _ROWS]).astype(float))], names=["doc_id", "score"])
 
-    common.small_batches(docs.sparkSession)
     return common.texts_of(docs).mapInArrow(work, "doc_id long, score double")
 
 
@@ -193,5 +191,4 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         out = [shared.value.score(texts[k : k + _ROWS].tolist()) for k in range(0, len(texts), _ROWS)]
         return pd.Series(np.concatenate(out) if out else [], dtype=float)
 
-    common.small_batches(docs.sparkSession)
     return docs.where(score(F.col("text").cast("string")) >= least)

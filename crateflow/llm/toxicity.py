@@ -195,7 +195,6 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2)
     labelled = sampling.with_text(docs, sampling.first_by_hash(usable, LABELLED)).select("doc_id", "text", "toxic").dropDuplicates(["text"])
     others = sampling.first_by_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(sampling.fold(modulus) != held_out), UNLABELLED)
     unlabelled = sampling.with_text(docs, others.distinct()).select("doc_id", "text", F.lit(-1).alias("toxic"))
-    common.small_batches(docs.sparkSession)
     kept = common.stored(labelled, "toxicity-sample")  # read twice
     lexicon = Lexicon(mine(kept))
 
@@ -217,5 +216,4 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for ids, texts in common.slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shared.value.score(t) for t in texts], pa.float64())], names=["doc_id", "score"])
 
-    common.small_batches(docs.sparkSession)
     return common.texts_of(docs).mapInArrow(work, "doc_id long, score double")

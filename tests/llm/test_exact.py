@@ -145,16 +145,6 @@ def test_files_give_the_librarys_ids_back(docs, texts):
         start += len(own)
 
 
-def test_grammar_is_a_round_trip_with_random_access():
-    rng = np.random.default_rng(5)
-    ids = np.concatenate([np.tile(rng.integers(0, 50, 30), 40), np.zeros(101, int), rng.integers(0, 50, 500)]).astype("<u4")
-    rules, lengths, seq = repair.compress(ids, 50)
-    assert len(rules) and len(seq) < len(ids)
-    assert repair.expand(rules, seq, 50) == ids.tobytes()
-    for a, n in ((0, 1), (17, 300), (len(ids) - 5, 5), (0, len(ids))):
-        assert repair.read_range(rules, lengths, seq, 50, a, n).tolist() == ids[a : a + n].tolist()
-
-
 def test_mix_differs_from_its_weights_by_less_than_a_block(spark):
     rows = [(k, "t", "a" if k % 10 else ("b" if k % 20 else None)) for k in range(4000)]
     weights = {"a": 5, "b": 2, "": 1}
