@@ -2,8 +2,8 @@
 
 A text's lower-case words are joined by blanks. Each rule of ``license_rules`` is gated by a
 keyword: one pass of an Aho-Corasick automaton finds the keywords a text holds, and only their
-rules run. Detections are taken by descending priority, then length, then place; one whose
-interval of words lies inside that of an earlier one is suppressed.
+rules run. A detection is suppressed where its interval of words lies inside that of another of
+higher priority, or of the same priority and greater length (equal intervals: smaller label).
 
 Beside the detections the base phrases are counted at all places, and their labels always stay.
 The score is the noisy-or of the kept detections' priorities.
@@ -16,6 +16,7 @@ columns never reach the workers.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from . import common, license_rules
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_PHRASES = [(re.compile(rf"(?<!\S){p}(?!\S)"), label) for p, label in BASE]
+_PHRASES = [(re.compile(rf"(?<![^ ]){p}(?![^ ])"), label) for p, label in BASE]
 _IS_WORD = np.zeros(256, dtype=bool)
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     _IS_WORD[_a:_b] = True
@@ -43,8 +44,8 @@ def count_words(text: str) -> int:
 @functools.cache
 def _gate() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
     by: dict[str, list[int]] = {}
-    for k, (_, _, word, _) in enumerate(license_rules.rules()):
-        by.setdefault(word, []).append(k)
+    for k, rule in enumerate(license_rules.rules()):
+        by.setdefault(rule.keyword, []).append(k)
     automaton = ahocorasick.Automaton()
     for word in {*by, "cc", "general", "reserved"}:
         automaton.add_word(word, word)
@@ -52,22 +53,36 @@ def _gate() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
     return automaton, by
 
 
+def suppressed(found: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """``found`` (label, start, end, priority) without what lies inside another, by sweeps over
+    the starts: one of each priority's own, one of those kept before."""
+    kept: list[tuple[str, int, int, int]] = []
+    starts, reach = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for _, group in itertools.groupby(sorted(found, key=lambda d: (-d[3], d[1], -d[2], d[0])), key=lambda d: d[3]):
+        own, far = [], -1
+        for d in group:
+            if d[2] > far:
+                far = d[2]
+                own.append(d)
+        # The farthest end among the kept that start no later.
+        before = np.searchsorted(starts, [d[1] for d in own], side="right")
+        own = [d for d, k in zip(own, before.tolist(), strict=True) if not k or reach[k - 1] < d[2]]
+        kept += own
+        order = sorted((d[1], d[2]) for d in kept)
+        starts, reach = np.array([a for a, _ in order]), np.maximum.accumulate([b for _, b in order])
+    return sorted(kept, key=lambda d: (-d[3], d[1] - d[2], d[1], d[0]))
+
+
 def detections(words: str, keywords: set[str]) -> list[tuple[str, int, int, int]]:
     """(label, start, end, priority) over characters of joined words, after suppression."""
     _, by = _gate()
-    rules, gates = license_rules.rules(), license_rules.gates()
-    padded, found = f" {words} ", []
+    rules, padded, found = license_rules.rules(), f" {words} ", []
     likely = [k for w in keywords for k in by.get(w, ())]
-    held = {g for g in {gates[k] for k in likely} if g in padded}
-    for k in sorted(k for k in likely if gates[k] in held):
-        label, pattern, _, priority = rules[k]
-        found += [(label, m.start(), m.end(), priority) for m in pattern.finditer(words)]
-    found.sort(key=lambda d: (-d[3], d[1] - d[2], d[1], d[0]))
-    kept: list[tuple[str, int, int, int]] = []
-    for d in found:
-        if not any(a <= d[1] and d[2] <= b for _, a, b, _ in kept):
-            kept.append(d)
-    return kept
+    held = {g for g in {rules[k].gate for k in likely} if g in padded}
+    for k in sorted(k for k in likely if rules[k].gate in held):
+        rule = rules[k]
+        found += [(rule.label, m.start(), m.end(), rule.priority) for m in rule.pattern.finditer(words)]
+    return suppressed(found)
 
 
 def scan(text: str | None) -> dict:
@@ -116,3 +131,24 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], type=k) for n, k in _FIELDS.items()], names=list(_FIELDS))
 
     return common.texts_of(docs).mapInArrow(work, SCHEMA)
+
+
+def base_places(docs: DataFrame) -> DataFrame:
+    """What the scan says of the base phrases alone: doc_id, n_words, n_base, first_word, last_word, base_labels."""
+    return scan_documents(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+#: ``base_places`` in DuckDB's SQL: words as a list, and the places where the phrases' words follow each other.
+BASE_SQL = """
+WITH w AS (
+  SELECT doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ') AS w FROM documents),
+l AS (SELECT doc_id, CASE WHEN w = [''] THEN [] ELSE w END AS w FROM w),
+p AS (
+  SELECT doc_id, len(w) AS n, list_filter(range(len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by') AS a,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS b,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS c FROM l)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(a) + len(b) + len(c) AS BIGINT) AS n_base,
+  CAST(list_min(a || b || c) AS BIGINT) AS first_word, CAST(list_max(a || b || c) AS BIGINT) AS last_word,
+  array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS base_labels
+FROM p"""

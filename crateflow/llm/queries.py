@@ -33,6 +33,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("detections").alias("n_detections"))
 
 
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4's result that SQL can express."""
+    return licenses.base_places(common.table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(common.table(spark, sf_dir, "documents"), outputs=("ids_sha256", "decoded_sha256"))
 
@@ -58,5 +63,5 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_quality, op4_licenses, op5_byte_bpe, op6_exact_topk, op7_fingerprints, op8_language, op9_token_ids, op10_pfair_mix)}
-SQL = {"op2_ngram_join": ngram_join.SQL, "op6_exact_topk": topk.SQL, "op10_pfair_mix": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_quality, op4_licenses, op5_byte_bpe, op6_exact_topk, op7_fingerprints, op8_language, op9_token_ids, op10_pfair_mix, license_base_places)}
+SQL = {"op2_ngram_join": ngram_join.SQL, "op6_exact_topk": topk.SQL, "op10_pfair_mix": mixing.SQL, "license_base_places": licenses.BASE_SQL}
