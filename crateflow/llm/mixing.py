@@ -8,17 +8,16 @@ that sum to 1 this meets every deadline, so until a source runs out its number o
 the first t slots differs from w * t by less than one block; its later slots stay empty, and
 the others keep their proportions.
 
-With ``period`` None the weights themselves, divided by their greatest common divisor, are the
-quotas of a period as long as their sum, so releases, deadlines and the bound above hold for
-the weights as given, over any number of periods. That one period is scheduled on the driver,
-in time in proportion to its slots (no more of them than the documents need), from one row a
-source; it alone is broadcast.
-
-With a number, weights are rounded to quotas of about ``period`` slots (at least one slot a
-source), one such period is scheduled by Spark's functions, and the bound holds for the
-rounded quotas only: a source strays from its weight by up to about half a slot more with
-every period. This is what ``SQL`` says, hence what the registered query does. Ranks inside a source come from counts of hash
-buckets and row numbers inside a bucket, so that no task holds a source.
+Weights are whole numbers. Divided by their greatest common divisor they are the quotas of a
+period as long as their sum, so releases, deadlines and the bound above hold for the weights as
+given, over any number of periods. That one period is scheduled on the driver from one row a
+source, in time in proportion to its slots, and is broadcast. It has at most ``SLOTS`` slots and
+sources; weights whose period is longer are refused, not rounded. By default a source weighs
+the square root of its number of documents, rounded up (in units that keep the sum of all near
+``UNITS``, which matters beyond some 10**9 documents).
+
+Ranks inside a source come from counts of hash buckets and row numbers inside a bucket, so that
+no task holds a source.
 
 A null source is a source of its own. Null doc_ids rank as an empty text does. Repeated rows
 keep their places next to each other. An empty table gives an empty one. Texts are not read.
@@ -29,71 +28,39 @@ columns alone come back, in schedule order) and left out of ``schedule``.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Slots of a period, documents of a block, and most rows aimed at in a hash bucket.
-PERIOD, BLOCK_DOCS, BUCKET_ROWS = 512, 8, 1_000_000
-
+#: Documents of a block, and most rows aimed at in a hash bucket.
+BLOCK_DOCS, BUCKET_ROWS = 8, 1_000_000
+#: Most slots of a period, and the sum of weights that the default ones keep near.
+SLOTS, UNITS = 1 << 22, 1 << 20
 
-def _release(k: Column, quota: Column, period: Column) -> Column:
-    return F.floor(k * period / quota).cast("long")
 
-
-def _deadline(k: Column, quota: Column, period: Column) -> Column:
-    return F.ceil((k + F.lit(1)) * period / quota).cast("long")
+def _whole(a: Column, b: Column) -> Column:
+    """floor(a / b) of whole numbers, exact at any size."""
+    return ((a - a % b) / b).cast("long")
 
 
-def _weighed(counts: DataFrame, weights: dict[str, int] | None) -> DataFrame:
-    """skey, n, w of every source. ``weights`` are whole numbers by source (missing: 1);
-    by default a source weighs the square root of its number of documents, rounded up."""
-    if weights is None:
-        weight = F.ceil(F.sqrt("n")).cast("long")
-    else:
-        given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (f"={k}", int(v))]) if weights else None
-        weight = F.coalesce(given[F.col("skey")], F.lit(1)).cast("long") if weights else F.lit(1).cast("long")
-    return counts.select("skey", "n", weight.alias("w"))
+def _release(k: Column, quota: Column, period: Column) -> Column:
+    return _whole(k * period, quota)
 
 
-def quotas(counts: DataFrame, weights: dict[str, int] | None, period: int) -> DataFrame:
-    """skey, quota of every source: its weight rounded to slots of a period of about ``period``."""
-    # One row a source: a window over all of them stays small.
-    weighed = _weighed(counts, weights).withColumn("all", F.sum("w").over(Window.partitionBy(F.lit(0))))
-    half_up = F.floor((F.col("w") * F.lit(2 * period) + F.col("all")) / (2 * F.col("all"))).cast("long")
-    return weighed.select("skey", F.greatest(F.lit(1).cast("long"), half_up).alias("quota"))
+def _deadline(k: Column, quota: Column, period: Column) -> Column:
+    return _whole((k + F.lit(1)) * period + quota - 1, quota)
 
 
-def periods(quota: DataFrame) -> DataFrame:
-    """skey, quota, period, slots: the slots of each source in one period, by earliest deadline first."""
-    sources = quota.agg(F.array_sort(F.collect_list(F.struct("skey", "quota"))).alias("all"), F.sum("quota").alias("period"))
-    state = F.struct(F.transform("all", lambda s: F.lit(0).cast("long")).alias("done"), F.expr("cast(array() as array<int>)").alias("order"))
-
-    def step(acc: Column, t: Column) -> Column:
-        ready = F.transform(
-            "all",
-            lambda s, i: F.when(
-                (acc["done"][i] < s["quota"]) & (_release(acc["done"][i], s["quota"], F.col("period")) <= t),
-                F.struct(_deadline(acc["done"][i], s["quota"], F.col("period")).alias("d"), i.alias("i")),
-            ),
-        )
-
-        def taken(pick: Column) -> Column:
-            done = F.transform(acc["done"], lambda d, i: F.when(i == pick, d + 1).otherwise(d))
-            return F.struct(done.alias("done"), F.array_append(acc["order"], pick).alias("order"))
-
-        # An array of one binds the pick, which is then worked out once.
-        return F.transform(F.array(F.array_min(ready)["i"]), taken)[0]
-
-    order = F.aggregate(F.expr("sequence(0L, period - 1)"), state, step)["order"]
-    run = sources.where("period > 0").select("all", "period", F.posexplode(order).alias("t", "pick"))
-    return (
-        run.select(F.expr("all[pick]").alias("s"), "period", F.col("t").cast("long").alias("t"))
-        .groupBy(F.col("s.skey").alias("skey"), F.col("s.quota").alias("quota"), "period")
-        .agg(F.array_sort(F.collect_list("t")).alias("slots"))
-    )
+def _weighed(counts: list[tuple[str, int]], weights: dict[str, int] | None) -> list[tuple[str, int, int]]:
+    """(skey, n, weight) of every source. ``weights`` are whole numbers by source (None: the null one; missing: 1)."""
+    if weights is not None:
+        return [(k, n, max(1, int(weights.get(k[1:] if k else None, 1)))) for k, n in counts]
+    roots = [math.isqrt(n - 1) + 1 for _, n in counts]
+    unit = max(1, -(-sum(roots) // UNITS))
+    return [(k, n, -(-r // unit)) for (k, n), r in zip(counts, roots, strict=True)]
 
 
 def earliest_deadline_first(quota: list[int], slots: int) -> list[list[int]]:
@@ -112,20 +79,24 @@ def earliest_deadline_first(quota: list[int], slots: int) -> list[list[int]]:
     return places
 
 
-def exact_periods(counts: DataFrame, weights: dict[str, int] | None, block_docs: int) -> DataFrame:
-    """skey, quota, period, slots as ``periods`` gives them, for the weights as they are."""
-    rows = sorted((r.skey, r.n, max(1, r.w)) for r in _weighed(counts, weights).collect())  # one row a source
+def period_plan(counts: DataFrame, weights: dict[str, int] | None, block_docs: int) -> DataFrame:
+    """skey, quota, period, slots: the slots of each source in one period, by earliest deadline first."""
+    found = sorted((r.skey, r.n) for r in counts.limit(SLOTS + 1).collect())  # one row a source
+    rows = _weighed(found, weights)
     shared = math.gcd(*(w for _, _, w in rows))
     quota = [w // shared for _, _, w in rows]
     period = sum(quota)
     # The deadline of the last block that any source has.
-    needed = max((-(-(-(-n // block_docs) * period) // q) for (_, n, _), q in zip(rows, quota, strict=True)), default=0)
-    places = earliest_deadline_first(quota, min(period, needed))
-    plan = [(k, q, period, p) for (k, _, _), q, p in zip(rows, quota, places, strict=True)]
-    return counts.sparkSession.createDataFrame(plan, "skey string, quota long, period long, slots array<long>")
+    needed = min(period, max((-(-(-(-n // block_docs) * period) // q) for (_, n, _), q in zip(rows, quota, strict=True)), default=0))
+    if needed > SLOTS:
+        raise ValueError(f"the weights' period has {period} slots; at most {SLOTS} can be scheduled: give weights of a smaller sum")
+    places = earliest_deadline_first(quota, needed)
+    plan = json.dumps([{"skey": k, "quota": q, "period": period, "slots": p} for (k, _, _), q, p in zip(rows, quota, places, strict=True)])
+    parsed = F.from_json(F.lit(plan), "array<struct<skey string, quota long, period long, slots array<long>>>")
+    return counts.sparkSession.range(1).select(F.explode(parsed).alias("s")).select("s.*")
 
 
-def _placed(docs: DataFrame, weights: dict[str, int] | None, period: int | None, block_docs: int, columns: list[Column]) -> DataFrame:
+def _placed(docs: DataFrame, weights: dict[str, int] | None, block_docs: int, columns: list[Column]) -> DataFrame:
     """``columns`` with rank, block, release, deadline, slot and position."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     n = docs.count()
@@ -143,12 +114,12 @@ def _placed(docs: DataFrame, weights: dict[str, int] | None, period: int | None,
     offsets = counts.select("skey", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("skey", "bucket").orderBy("key")
     sources = counts.groupBy("skey").agg(F.sum("n").alias("n"))
-    plan = exact_periods(sources, weights, block_docs) if period is None else periods(quotas(sources, weights, period))
+    plan = period_plan(sources, weights, block_docs)
     ranked = keyed.withColumn("rank", F.row_number().over(own) - 1).join(offsets, ["skey", "bucket"])
     rank = (F.col("rank") + F.col("before")).cast("long")
-    block = F.floor(rank / F.lit(block_docs)).cast("long")
+    block = _whole(rank, F.lit(block_docs))
     placed = ranked.select("*", rank.alias("rank_"), block.alias("block_")).join(F.broadcast(plan), "skey")
-    slot = F.floor(F.col("block_") / F.col("quota")).cast("long") * F.col("period") + F.expr("slots[cast(block_ % quota as int)]")
+    slot = _whole(F.col("block_"), F.col("quota")) * F.col("period") + F.expr("slots[cast(block_ % quota as int)]")
     return placed.select(
         *[F.col(f"in_{k}") for k in range(len(columns))],
         F.col("rank_").alias("rank"),
@@ -160,33 +131,34 @@ def _placed(docs: DataFrame, weights: dict[str, int] | None, period: int | None,
     )
 
 
-def schedule(docs: DataFrame, weights: dict[str, int] | None = None, period: int | None = PERIOD, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """doc_id, source, rank (in its source), block, release, deadline, slot, position (the
     order of the mix: ascending, with gaps where a source has run out)."""
-    out = _placed(docs, weights, period, block_docs, [F.col("doc_id").alias("in_0"), F.col("source").alias("in_1")])
+    out = _placed(docs, weights, block_docs, [F.col("doc_id").alias("in_0"), F.col("source").alias("in_1")])
     return out.withColumnsRenamed({"in_0": "doc_id", "in_1": "source"})
 
 
-def mixed(docs: DataFrame, weights: dict[str, int] | None = None, period: int | None = PERIOD, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All rows and columns of ``docs`` in the order of the mix, over range partitions of it."""
-    out = _placed(docs, weights, period, block_docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("in_0")])
+    out = _placed(docs, weights, block_docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("in_0")])
     return out.select("in_0", "position").orderBy("position").select("in_0.*")
 
 
-def numbered(docs: DataFrame, weights: dict[str, int] | None = None, period: int | None = PERIOD, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def numbered(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """doc_id, text, position in the mix of every row of ``docs``, in no order: the position is
     a value of its own, which survives any file or partition order."""
-    out = _placed(docs, weights, period, block_docs, [F.col("doc_id").alias("in_0"), F.col("text").alias("in_1")])
+    out = _placed(docs, weights, block_docs, [F.col("doc_id").alias("in_0"), F.col("text").alias("in_1")])
     return out.select(F.col("in_0").alias("doc_id"), F.col("in_1").alias("text"), "position")
 
 
 SQL = f"""
 WITH RECURSIVE counts AS (
-  SELECT source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS skey, count(*) AS n FROM documents GROUP BY 1, 2),
-weighed AS (SELECT skey, CAST(ceil(sqrt(n)) AS BIGINT) AS w FROM counts),
-quota AS (
-  SELECT skey, greatest(1, CAST(floor((w * {2 * PERIOD} + t) / (2 * t)) AS BIGINT)) AS quota
-  FROM weighed, (SELECT CAST(sum(w) AS BIGINT) AS t FROM weighed)),
+  SELECT CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS skey, count(*) AS n FROM documents GROUP BY 1),
+roots AS (SELECT skey, CAST(ceil(sqrt(n)) AS BIGINT) AS r FROM counts),
+unit AS (SELECT greatest(1, CAST(ceil(sum(r) / {UNITS}.0) AS BIGINT)) AS u FROM roots),
+weighed AS (SELECT skey, CAST(ceil(r / (u * 1.0)) AS BIGINT) AS w FROM roots, unit),
+shared AS (SELECT list_reduce(list(w), lambda a, b: gcd(a, b)) AS g FROM weighed),
+quota AS (SELECT skey, CAST(w // g AS BIGINT) AS quota FROM weighed, shared),
 named AS (
   SELECT skey, quota, CAST(row_number() OVER (ORDER BY skey) AS BIGINT) AS i,
          CAST(sum(quota) OVER () AS BIGINT) AS period FROM quota),
@@ -198,8 +170,8 @@ edf AS (
   FROM (
     SELECT t + 1 AS t, done, q, period,
       list_min(list_transform(list_filter(list_transform(q, lambda x, i: [
-        CASE WHEN done[i] < x AND floor(done[i] * period / x) <= t + 1 THEN 0 ELSE 1 END,
-        CAST(ceil((done[i] + 1) * period / x) AS BIGINT), i]), lambda y: y[1] = 0), lambda y: y[2] * 1000000 + y[3])) % 1000000 AS pick
+        CASE WHEN done[i] < x AND (done[i] * period) // x <= t + 1 THEN 0 ELSE 1 END,
+        ((done[i] + 1) * period + x - 1) // x, i]), lambda y: y[1] = 0), lambda y: y[2] * 1000000 + y[3])) % 1000000 AS pick
     FROM edf WHERE t + 1 < period)),
 slots AS (
   SELECT pick AS i, t AS place, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM edf WHERE t >= 0),
@@ -209,8 +181,8 @@ ranked AS (
   FROM documents),
 blocks AS (SELECT *, rank // {BLOCK_DOCS} AS block FROM ranked JOIN named USING (skey))
 SELECT doc_id, source, CAST(rank AS BIGINT) AS rank, CAST(block AS BIGINT) AS block,
-  CAST(floor(block * period / quota) AS BIGINT) AS release,
-  CAST(ceil((block + 1) * period / quota) AS BIGINT) AS deadline,
+  CAST((block * period) // quota AS BIGINT) AS release,
+  CAST(((block + 1) * period + quota - 1) // quota AS BIGINT) AS deadline,
   CAST((block // quota) * period + place AS BIGINT) AS slot,
   CAST(((block // quota) * period + place) * {BLOCK_DOCS} + rank % {BLOCK_DOCS} AS BIGINT) AS position
 FROM blocks b JOIN slots s ON s.i = b.i AND s.j = b.block % b.quota

@@ -145,61 +145,52 @@ def test_files_give_the_librarys_ids_back(docs, texts):
         start += len(own)
 
 
-def test_mix_differs_from_its_weights_by_less_than_a_block(spark):
-    rows = [(k, "t", "a" if k % 10 else ("b" if k % 20 else None)) for k in range(4000)]
-    weights = {"a": 5, "b": 2, "": 1}
-    out = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, period=64, block_docs=4)
-    found = out.select("source", "slot", "block", "release", "deadline", "position", "doc_id").collect()
-    assert len({r.position for r in found}) == len(rows) and sorted(r.doc_id for r in found) == list(range(4000))
-    by_slot = {r.slot: r.source for r in found}
+@pytest.mark.parametrize(("weights", "block"), [({"a": 1009, "b": 661, "c": 331}, 1), ({"a": 1000, "b": 1}, 1), ({"a": 3, "b": 7, "c": 11}, 1), ({"a": 6, "b": 2, "c": 2}, 4)])
+def test_mix_differs_from_its_weights_by_less_than_a_block(spark, weights, block):
+    total = sum(weights.values())
+    rows = [(k, "t", s) for s, w in weights.items() for k in range(12_000 * w * block // total + block)]
+    docs = spark.createDataFrame([(k, t, s) for k, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    found = mixing.schedule(docs, weights, block_docs=block).select("source", "slot", "block", "release", "deadline", "position", "doc_id").collect()
+    assert len({r.position for r in found}) == len(rows) and sorted(r.doc_id for r in found) == list(range(len(rows)))
     assert all(r.release <= r.slot < r.deadline for r in found)
-    assert all(len({r.block for r in found if r.slot == s}) == 1 for s in range(40))
-    for source in ("a", "b", None):
-        seen = [by_slot.get(s) == source for s in range(64)]
-        share = sum(seen) / 64
-        assert all(abs(sum(seen[: t + 1]) - share * (t + 1)) < 1 for t in range(64))
-
-
-def test_mix_keeps_to_weights_that_divide_no_period(spark):
-    rows = [(k, "t", ("a", "a", "a", "b", "b", "c")[k % 6]) for k in range(24_000)]
-    weights = {"a": 1009, "b": 661, "c": 331}
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = mixing.schedule(docs, weights, period=None, block_docs=1).select("source", "slot", "release", "deadline").collect()
-    assert len({r.slot for r in found}) == len(rows) and all(r.release <= r.slot < r.deadline for r in found)
-    by_slot, total = {r.slot: r.source for r in found}, sum(weights.values())
-    # Over eleven periods, until the first source has run out.
-    end, seen = min(max(r.slot for r in found if r.source == s) for s in weights) + 1, dict.fromkeys(weights, 0)
-    assert end > 11 * total
+    by_slot = {r.slot: r.source for r in found}
+    assert len({(r.slot, r.source, r.block) for r in found}) == len(by_slot)
+    # Until the first source has run out.
+    end, seen = min(max(r.slot for r in found if r.source == s) for s in weights), dict.fromkeys(weights, 0)
+    assert end > 10_000
     for t in range(end):
         seen[by_slot[t]] += 1
         assert all(abs(seen[s] * total - w * (t + 1)) < total for s, w in weights.items())
 
 
+def test_weights_whose_period_is_too_long_are_refused(spark, docs):
+    many = docs.sparkSession.range(3000).selectExpr("id AS doc_id", "'t' AS text", "concat('s', id % 2) AS source")
+    with pytest.raises(ValueError, match="at most"):
+        mixing.schedule(many, {"s0": 10**9 + 7, "s1": 1}, block_docs=1)
+
+
+def test_default_weights_are_square_roots_in_bounded_units():
+    small = mixing._weighed([("=a", 10), ("=b", 16), ("", 1)], None)
+    assert [w for _, _, w in small] == [4, 4, 1]
+    large = mixing._weighed([(f"={k}", 10**14) for k in range(1000)], None)
+    assert sum(w for _, _, w in large) <= mixing.UNITS + 1000
+    assert [w for _, _, w in mixing._weighed([("=a", 5), ("", 5)], {"a": 3, None: 2})] == [3, 2]
+
+
 def test_mix_of_one_heavy_and_many_light_sources(spark):
     rows = [(k, "t", "heavy" if k < 2000 else f"s{k % 600}") for k in range(3800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = mixing.schedule(docs, {"heavy": 300}, period=None, block_docs=1).collect()
+    found = mixing.schedule(docs, {"heavy": 300}, block_docs=1).collect()
     # A third of the slots, not 171 of 512 + 600.
     assert abs(sum(r.slot < 1800 for r in found if r.source == "heavy") - 600) < 1
 
 
-def test_both_schedules_of_one_period_agree(spark):
-    quota = [5, 1, 7, 3]
-    found = mixing.periods(spark.createDataFrame(list(zip("abcd", quota, strict=True)), "skey string, quota long")).collect()
-    assert [list(r.slots) for r in sorted(found)] == mixing.earliest_deadline_first(quota, 16)
-
-
 def test_mix_keeps_rows_and_columns(docs):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
 
 
-def test_mix_by_weights_as_given_of_odd_and_empty_tables(docs, nothing):
-    assert sorted(map(str, mixing.mixed(docs, period=None).collect())) == sorted(map(str, docs.collect()))
-    assert mixing.schedule(nothing, period=None).count() == 0 and mixing.mixed(nothing, period=None).count() == 0
-
-
 def test_base_phrases(docs, texts):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     for r in licenses.scan_documents(docs).collect():
