@@ -46,8 +46,8 @@ from . import common, units
 
 #: Ids a shard closes at; least count of a pair worth a rule; pairs replaced in a pass; symbols between marks.
 SHARD_IDS, LEAST, AT_ONCE, MARK = 400_000, 8, 2048, 1024
-#: Units, and parts of units, whose ids a worker keeps; bytes of text encoded together.
-MEMORY, SLICE_BYTES = 600_000, 8_000_000
+#: Parts of units whose ids a worker keeps; bytes of text encoded together.
+MEMORY, SLICE_BYTES = 1_200_000, 8_000_000
 #: Characters of text that are worth a range partition of their own.
 PART_CHARS = 128_000_000
 _HASH_BITS = 18
@@ -176,19 +176,17 @@ class Shard:
         return b"".join(parts)[4 * first : 4 * (first + n)]
 
     def documents(self, sizes: list[int]) -> Iterator[bytes]:
-        """The ids of each document of the shard in order: the symbols that cover each are looked
-        up in the sums of all lengths, which is cheaper than ``ids`` where all are wanted."""
-        own = np.concatenate([np.ones(self.terminals, np.int64), self.lengths])[self.sequence]
-        ends, stops = np.cumsum(own), np.cumsum(sizes)
-        starts = stops - sizes
-        a, b = np.searchsorted(ends, starts, side="right"), np.searchsorted(ends, stops, side="left") + 1
-        skip = starts - (ends - own)[a]
+        """The ids of each document of the shard in order, all symbols expanded in one go, which is
+        cheaper than ``ids`` where all are wanted."""
         table = _terminal_bytes(self.terminals).copy()
         for x, y in self.rules:
             table.append(table[x] + table[y])
-        symbols = self.sequence.tolist()
-        for i, j, k, n in zip(a.tolist(), b.tolist(), skip.tolist(), sizes, strict=True):
-            yield b"".join(map(table.__getitem__, symbols[i:j]))[4 * k : 4 * (k + n)]
+        flat = np.concatenate([np.arange(self.terminals, dtype="<u4"), np.frombuffer(b"".join(table[self.terminals :]), dtype="<u4")])
+        size = np.concatenate([np.ones(self.terminals, np.int64), self.lengths])
+        raw, at = gathered(flat, np.cumsum(size) - size, size, self.sequence)[0].tobytes(), 0
+        for n in sizes:
+            yield raw[4 * at : 4 * (at + n)]
+            at += n
 
 
 @functools.lru_cache(maxsize=1)
@@ -196,6 +194,19 @@ def _terminal_bytes(terminals: int) -> list[bytes]:
     return [i.to_bytes(4, "little") for i in range(terminals)]
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the pieces ``code`` end to end, their sizes); piece k is ``flat[start[k] : start[k] + size[k]]``."""
+    own = size[code]
+    ends = np.cumsum(own)
+    where = np.repeat(start[code] - (ends - own), own)
+    where += np.arange(len(where))
+    return flat[where], own
+
+
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids by the tokenizers library; what it gave for a part of a text is kept and used again.
 
@@ -209,6 +220,9 @@ class Encoder:
     #: Latin letters before an ASCII character that is none, or the end.
     LETTERS = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(?=[\\x00-@\\[-`{-\\x7f]|\\Z)")
 
+    #: The same for a word: its letters and the rest, or no match.
+    WORD = "(?s)^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(?P<rest>(?:[\\x00-@\\[-`{-\\x7f].*)?)$"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -221,13 +235,12 @@ class Encoder:
         #: Whether the file's pattern is the one that units and letters rest on.
         self.known_pattern = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space", True) and settings.get("normalizer") is None
         self.lettered.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.units, self.parts = units.Memory(MEMORY), units.Memory(MEMORY)
+        self.parts = units.Memory(MEMORY)
 
-    @staticmethod
-    def _kept(memory: units.Memory, own: list[str], make) -> list[bytes]:
-        """What ``memory`` holds for each of ``own``; what it lacks comes from ``make``."""
-        memory.turn()
-        young, old = memory.young, memory.old
+    def _ids_of(self, own: list[str], letters: bool) -> list[bytes]:
+        """The ids of parts: runs of ``letters``, or others."""
+        self.parts.turn()
+        young, old = self.parts.young, self.parts.old
         out = list(map(young.get, own))
         lacking = dict.fromkeys([u for u, raw in zip(own, out, strict=True) if raw is None])
         if not lacking:
@@ -235,7 +248,7 @@ class Encoder:
         again = [u for u in lacking if u in old]
         young.update((u, old[u]) for u in again)
         fresh = [u for u in lacking if u not in old] if again else list(lacking)
-        young.update(zip(fresh, make(fresh), strict=True))
+        young.update(zip(fresh, self._encoded(fresh, letters), strict=True))
         out = [young[u] if raw is None else raw for u, raw in zip(own, out, strict=True)]
         for u in fresh:
             if len(u) > 64:
@@ -246,44 +259,45 @@ class Encoder:
         library = self.lettered if letters else self.library
         return [array("I", e.ids).tobytes() for k in range(0, len(own), 10_000) for e in library.encode_batch_fast(own[k : k + 10_000], add_special_tokens=False)]
 
-    def _made(self, own: list[str]) -> list[bytes]:
+    def _units(self, own: list[str]) -> list[bytes]:
         """The ids of units by letters and rest."""
         match = self.LETTERS.match
         ends = [m.end() if (m := match(u)) else 0 for u in own]
-        letters = self._kept(self.parts, [u[:n] for u, n in zip(own, ends, strict=True) if n], lambda new: self._encoded(new, True))
-        rest = self._kept(self.parts, [u[n:] for u, n in zip(own, ends, strict=True) if n < len(u)], self._encoded)
-        letters, rest = iter(letters), iter(rest)
+        letters = iter(self._ids_of([u[:n] for u, n in zip(own, ends, strict=True) if n], True))
+        rest = iter(self._ids_of([u[n:] for u, n in zip(own, ends, strict=True) if n < len(u)], False))
         return [(next(letters) if n else b"") + (next(rest) if n < len(u) else b"") for u, n in zip(own, ends, strict=True)]
 
-    def _ids_of(self, own: list[str]) -> list[bytes]:
-        return self._kept(self.units, own, self._made)
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, their number in each) of different words, each with a blank before it."""
+        cut = pc.extract_regex(words, self.WORD)
+        whole = pc.is_null(cut)
+        letters = pc.struct_field(cut, "letters").dictionary_encode()  # null where the word stays whole
+        rest = pc.if_else(whole, pc.binary_join_element_wise("", words, " "), pc.struct_field(cut, "rest")).dictionary_encode()
+        pool = [*self._ids_of([" " + w for w in _strings(letters.dictionary)], True), *self._ids_of(_strings(rest.dictionary), False), b""]
+        size = np.fromiter(map(len, pool), dtype=np.int64, count=len(pool)) // 4
+        code = np.empty((len(words), 2), dtype=np.int64)
+        code[:, 0] = np.asarray(pc.fill_null(letters.indices, len(pool) - 1))
+        code[:, 1] = np.asarray(rest.indices) + len(letters.dictionary)
+        flat, own = gathered(np.frombuffer(b"".join(pool), dtype="<u4"), np.cumsum(size) - size, size, code.ravel())
+        return flat, own[0::2] + own[1::2]
 
     def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, ids of each text) of texts in which a visible character follows every blank."""
+        """(ids end to end, their number in each) of texts in which a visible character follows every blank."""
         parts = pc.split_pattern(texts, " ")
-        bounds, words = np.asarray(parts.offsets, dtype=np.int64), parts.values
+        bounds, words = np.asarray(parts.offsets, dtype=np.int64), parts.flatten()
         bounds = bounds - bounds[0]
-        words = parts.flatten()
         first = np.zeros(len(words), dtype=bool)
         first[bounds[:-1]] = True
         coded = pc.filter(words, pa.array(~first)).dictionary_encode()
-        distinct = self._ids_of([" " + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]) if len(coded) else []
-        heads = words.take(pa.array(bounds[:-1])).to_numpy(zero_copy_only=False).tolist()
-        heads_ids = self._ids_of(heads)
-        pool = [*distinct, *heads_ids]
+        flat, size = self._words(coded.dictionary)
+        heads = self._units(_strings(words.take(pa.array(bounds[:-1]))))
+        flat = np.concatenate([flat, np.frombuffer(b"".join(heads), dtype="<u4")])
+        size = np.concatenate([size, np.fromiter(map(len, heads), dtype=np.int64, count=len(heads)) // 4])
         code = np.empty(len(words), dtype=np.int64)
-        if len(coded):
-            code[~first] = np.asarray(coded.indices)
-        code[first] = len(distinct) + np.arange(len(heads))
-        flat = np.frombuffer(b"".join(pool), dtype="<u4")
-        size = np.fromiter(map(len, pool), dtype=np.int64, count=len(pool)) // 4
-        start = np.cumsum(size) - size
-        lengths = size[code]
-        ends = np.cumsum(lengths)
-        where = np.repeat(start[code] - (ends - lengths), lengths)
-        where += np.arange(len(where))
-        upto = np.concatenate([[0], ends])
-        return flat[where], np.diff(upto[bounds])
+        code[~first] = np.asarray(coded.indices)
+        code[first] = len(coded.dictionary) + np.arange(len(heads))
+        ids, own = gathered(flat, np.cumsum(size) - size, size, code)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(own)])[bounds])
 
     def batch(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -301,7 +315,7 @@ class Encoder:
         if odd.any():
             strange = np.flatnonzero(odd).tolist()
             cut = [units.cut(texts[i].as_py()) for i in strange]
-            found = iter(self._ids_of([u for own in cut for u in own]))
+            found = iter(self._units([u for own in cut for u in own]))
             for i, own in zip(strange, cut, strict=True):
                 out[i] = b"".join(next(found) for _ in own)
         return out
