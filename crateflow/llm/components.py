@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         large = common.stored(_large_star(edges), "large", parts)
-        edges = common.stored(_small_star(large).where("u <> v").coalesce(parts).distinct(), "stars", parts)
+        old, edges = edges, common.stored(_small_star(large).where("u <> v").coalesce(parts).distinct(), "stars", parts)
+        common.remove(old, large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break

@@ -20,6 +20,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ from pyspark.sql.window import Window
 
 from . import common, sampling
 
-#: Hash buckets; centroids a language; most rows a language fits on; rounds of k-means.
-BUCKETS, CENTROIDS, FIT_ROWS, ROUNDS = 4096, 3, 400, 12
+#: Hash buckets; centroids a language; most rows a language fits on; rounds of k-means;
+#: parts a language's ids are dealt to when its fitting rows are chosen.
+BUCKETS, CENTROIDS, FIT_ROWS, ROUNDS, SALTS = 4096, 3, 400, 12, 64
 #: A language's limit is this part of the cosine that all but 1 % of its fitting texts reach.
 LIMIT = 0.5
 _ROWS = 256
@@ -120,29 +122,28 @@ def fit(docs: DataFrame, modulus: int = 5, held_out: int = 0) -> Model:
     df = {r.bucket: r.n for r in found.collect()}  # BUCKETS + 1 rows
     idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(b, 0) for b in range(BUCKETS)]))).astype(np.float32) + np.float32(1)
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = train.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIT_ROWS)
-    # At most FIT_ROWS rows a language.
-    sample = sampling.with_text(docs, chosen.select("doc_id", F.col("lang").alias("label"))).select("doc_id", "text", "label")
-
-    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                v = vectors(counts(part.column(1).to_pylist())[0], idf)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([row.tobytes() for row in v], pa.binary())], names=["doc_id", "label", "v"])
-
-    rows = sorted(sample.mapInArrow(embed, "doc_id long, label string, v binary").collect(), key=lambda r: (r.label, r.doc_id))
+    # The first of each salted part of a language, of these the first of the language: no task
+    # sorts more of a language than a part of it, or ``SALTS`` x ``FIT_ROWS`` ids.
+    names = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
+    salted = names.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = salted.withColumn("k", F.row_number().over(Window.partitionBy("label", "salt").orderBy(*order))).where(F.col("k") <= FIT_ROWS)
+    chosen = some.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("k") <= FIT_ROWS).select("doc_id", "label")
+    sample = sampling.with_text(docs, chosen).select("doc_id", "text", "label")
+
+    def centre(group: pd.DataFrame) -> pd.DataFrame:
+        """At most ``FIT_ROWS`` texts of one language."""
+        group = group.sort_values(["doc_id", "text"])
+        x = np.concatenate([vectors(counts(group["text"].iloc[k : k + 64].tolist())[0], idf) for k in range(0, len(group), 64)])
+        c = k_means(x, CENTROIDS).astype(np.float32)
+        limit = LIMIT * float(np.quantile((x @ c.T).max(axis=1), 0.01))
+        return pd.DataFrame({"label": group["label"].iloc[0], "place": range(len(c)), "limit": limit, "centroid": [r.tobytes() for r in c]})
+
+    found = sample.groupBy("label").applyInPandas(centre, "label string, place int, limit double, centroid binary")
+    rows = sorted(found.collect(), key=lambda r: (r.label, r.place))  # the model: CENTROIDS rows a language
     names = sorted({r.label for r in rows})
-    centroids, of, limits = [], [], []
-    for j, name in enumerate(names):
-        x = np.array([np.frombuffer(r.v, dtype=np.float32) for r in rows if r.label == name])
-        c = k_means(x, CENTROIDS)
-        centroids.append(c)
-        of += [j] * len(c)
-        limits.append(LIMIT * float(np.quantile((x @ c.T).max(axis=1), 0.01)))
-    shape = np.concatenate(centroids).astype(np.float32) if names else np.zeros((0, BUCKETS), np.float32)
-    return Model(names, idf, shape, np.array(of, dtype=int), np.array(limits))
+    shape = np.array([np.frombuffer(r.centroid, dtype=np.float32) for r in rows]).reshape(len(rows), BUCKETS).astype(np.float32)
+    return Model(names, idf, shape, np.array([names.index(r.label) for r in rows], dtype=int), np.array([next(r.limit for r in rows if r.label == n) for n in names]))
 
 
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -166,8 +167,6 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def rejected(texts):
-        import pandas as pd
-
         out = [shared.value.predict(texts[k : k + _ROWS].tolist())[2] for k in range(0, len(texts), _ROWS)]
         return pd.Series(np.concatenate(out) if out else [], dtype=bool)
 

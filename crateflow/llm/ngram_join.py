@@ -215,12 +215,15 @@ def link_classes(docs: DataFrame) -> DataFrame:
         own = common.stored(own, "own", parts)
         pivot = own.groupBy("token").agg(F.max(order).alias("p"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token", "p")
         pairs = own.join(pivot, "token").where((F.col("root") != F.col("p.root")) & _alike(F.col("n"), F.col("p.n"))).select(F.col("set").alias("a"), F.col("p.set").alias("b")).coalesce(parts).distinct()
-        tree = _grown(tree, _linked(pairs, full, parts), parts)
+        grown = _grown(tree, _linked(pairs, full, parts), parts)
+        common.remove(own)
+        tree = grown
         roots = common.stored(names.join(tree, names["rep"] == tree["node"], "left").select("set", "rep", F.coalesce("root", "rep").alias("root")), "roots", parts)
 
     own = common.stored(lists.join(roots.groupBy("set").agg(F.min("root").alias("root")), "set"), "own", parts)
     pairs = common.stored(_candidates(own, parts), "candidates", parts)
     tree = _grown(tree, _linked(_matched(pairs, lists, parts), full, parts), parts)
+    common.remove(wanted, full, lists, own, pairs, roots)
     labels = classes.join(tree, classes["rep"] == tree["node"], "left").select("hi", "lo", F.coalesce("root", "rep").alias("component"))
     return sets.select("doc_id", "n", "hi", "lo").join(labels, ["hi", "lo"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")

@@ -18,6 +18,8 @@ def first_by_hash(ids: DataFrame, rows: int) -> DataFrame:
 
 def with_text(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """doc_id, text and the sample's columns for the sampled ids. The sample is bounded by a
-    documented number of rows, and so is broadcast. Repeated ids come back once."""
+    documented number of rows, and so is broadcast. Of a repeated id the least text stays, with
+    the least of the sample's other columns."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    others = [c for c in sample.columns if c != "doc_id"]
+    return texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("r")).select("doc_id", "r.*")

@@ -192,7 +192,7 @@ def fit_arrays(lexicon: Lexicon, found: list[list[int]], known: list[int]) -> Mo
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) outside the held-out fold."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (sampling.fold(modulus) != held_out)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = sampling.with_text(docs, sampling.first_by_hash(usable, LABELLED)).select("doc_id", "text", "toxic").dropDuplicates(["text"])
+    labelled = sampling.with_text(docs, sampling.first_by_hash(usable, LABELLED)).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic")
     others = sampling.first_by_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(sampling.fold(modulus) != held_out), UNLABELLED)
     unlabelled = sampling.with_text(docs, others.distinct()).select("doc_id", "text", F.lit(-1).alias("toxic"))
     kept = common.stored(labelled, "toxicity-sample")  # read twice
