@@ -28,9 +28,8 @@ from pyspark.sql.window import Window
 
 from . import common, sampling
 
-#: Hash buckets; centroids a language; most rows a language fits on; rounds of k-means;
-#: parts a language's ids are dealt to when its fitting rows are chosen.
-BUCKETS, CENTROIDS, FIT_ROWS, ROUNDS, SALTS = 4096, 3, 400, 12, 64
+#: Hash buckets; centroids a language; most rows a language fits on; rounds of k-means.
+BUCKETS, CENTROIDS, FIT_ROWS, ROUNDS = 4096, 3, 400, 12
 #: A language's limit is this part of the cosine that all but 1 % of its fitting texts reach.
 LIMIT = 0.5
 _ROWS = 256
@@ -122,13 +121,14 @@ def fit(docs: DataFrame, modulus: int = 5, held_out: int = 0) -> Model:
     df = {r.bucket: r.n for r in found.collect()}  # BUCKETS + 1 rows
     idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(b, 0) for b in range(BUCKETS)]))).astype(np.float32) + np.float32(1)
 
-    # The first of each salted part of a language, of these the first of the language: no task
-    # sorts more of a language than a part of it, or ``SALTS`` x ``FIT_ROWS`` ids.
-    names = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
-    salted = names.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = salted.withColumn("k", F.row_number().over(Window.partitionBy("label", "salt").orderBy(*order))).where(F.col("k") <= FIT_ROWS)
-    chosen = some.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("k") <= FIT_ROWS).select("doc_id", "label")
+    # The first FIT_ROWS of each language by a hash of the id. Of a language of n rows only those whose
+    # hash lies below some three times that share come to the sort, so that no task sorts a language.
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / float(1 << 31)
+    named = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"), place.alias("place"))
+    sizes = named.groupBy("label").agg(F.count("*").alias("n"))  # one row a language
+    near = named.join(F.broadcast(sizes), "label").where(F.col("place") <= 3.0 * FIT_ROWS / F.col("n") + 1e-6).drop("n")
+    order = Window.partitionBy("label").orderBy("place", "doc_id")
+    chosen = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIT_ROWS).select("doc_id", "label")
     sample = sampling.with_text(docs, chosen).select("doc_id", "text", "label")
 
     def centre(group: pd.DataFrame) -> pd.DataFrame:
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, modulus: int = 5, held_out: int = 0) -> Model:
         x = np.concatenate([vectors(counts(group["text"].iloc[k : k + 64].tolist())[0], idf) for k in range(0, len(group), 64)])
         c = k_means(x, CENTROIDS).astype(np.float32)
         limit = LIMIT * float(np.quantile((x @ c.T).max(axis=1), 0.01))
-        return pd.DataFrame({"label": group["label"].iloc[0], "place": range(len(c)), "limit": limit, "centroid": [r.tobytes() for r in c]})
+        return pd.DataFrame({"label": group["label"].iloc[0], "place": range(len(c)), "limit": limit, "centroid": [r.tobytes() for r in c]}).astype({"label": object})
 
     found = sample.groupBy("label").applyInPandas(centre, "label string, place int, limit double, centroid binary")
     rows = sorted(found.collect(), key=lambda r: (r.label, r.place))  # the model: CENTROIDS rows a language
