@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import library  # noqa: F401
+from . import library, operations  # noqa: F401

@@ -5,27 +5,8 @@ from __future__ import annotations
 from .sqlplan import shared
 
 # --- filters and projections --------------------------------------------------------------
-shared("track_filter", """
-SELECT id, artist, title, bpm, key_camelot, taste_score FROM tracks
-WHERE status = 'archive' AND quality_status = 'ok' AND bpm BETWEEN 125 AND 150 AND breakdown_ratio <= 0.6 AND taste_score >= 0.2""")
-shared("word_search", """
-SELECT id, title, artist FROM tracks WHERE (contains(lower(artist), 'brand#1') OR contains(lower(title), 'brand#1'))
-  AND (contains(lower(artist), '2') OR contains(lower(title), '2'))""")
-shared("quarantine_search", "SELECT id, title, url FROM seen WHERE contains(lower(title), 'th') AND contains(lower(url), 'src1')")
-shared("smartlist_select", """
-SELECT id, bpm, upper(trim(key_camelot)) AS key_camelot FROM tracks
-WHERE coalesce(status, '') <> 'rejected' AND bpm >= 130 AND bpm <= 160 AND upper(trim(key_camelot)) IN ('8A', '9A', '8B') AND energy BETWEEN 2 AND 4""")
 shared("bpm_window_keep_unknown", "SELECT id, bpm, bpm IS NULL AS unknown_bpm FROM tracks WHERE bpm BETWEEN 130 AND 145 OR bpm IS NULL")
-shared("long_sets", """
-SELECT id, duration > 240 AS is_set, CAST(CASE WHEN duration > 240 THEN floor(duration / 60 + 0.5) END AS BIGINT) AS set_minutes FROM tracks""")
 shared("genre_relevant", "SELECT id, genre FROM tracks WHERE contains(lower(genre), 'a') OR contains(lower(title), 'steel')")
-shared("blocked_accounts", """
-SELECT id, regexp_extract(url, '([^/]+)/[^/]*$', 1) AS slug FROM seen WHERE regexp_extract(url, '([^/]+)/[^/]*$', 1) NOT IN ('src1', 'src2')""")
-shared("spam_signals", """
-SELECT id, reposts >= 10 AND reposts > 3 * likes AS repost_farm, reposts >= 12 AND comments <= 1 AS silent_reposts FROM items""")
-shared("set_builder_candidates", """
-SELECT id, bpm, trim(key_camelot) AS key_camelot FROM tracks
-WHERE bpm IS NOT NULL AND trim(coalesce(key_camelot, '')) <> '' AND (bpm_confidence IS NULL OR bpm_confidence >= 0.5)""")
 shared("quality_admission", """
 SELECT id FROM tracks WHERE coalesce(status, '') <> 'rejected' AND coalesce(quality_status, '') NOT IN ('fake_transcode', 'clipped', 'corrupt')""")
 shared("duration_window", "SELECT id, duration FROM tracks WHERE duration BETWEEN 200 - 20 AND 200 + 20")
@@ -67,21 +48,6 @@ LEFT JOIN (SELECT id, max(artist) AS artist FROM items GROUP BY id) u ON u.id =
 shared("known_status", """
 SELECT i.id, CASE WHEN t.id IS NOT NULL THEN 'library' WHEN s.id IS NOT NULL THEN 'seen' ELSE 'new' END AS known
 FROM items i LEFT JOIN (SELECT sc_id AS id FROM tracks WHERE sc_id IS NOT NULL) t ON t.id = i.id LEFT JOIN (SELECT id FROM seen WHERE id % 3 = 0) s ON s.id = i.id""")
-shared("path_or_filename_match", """
-SELECT o.id, coalesce(p.id, f.id) AS match_id, CASE WHEN p.id IS NOT NULL THEN 'path' WHEN f.id IS NOT NULL THEN 'name' ELSE 'none' END AS how
-FROM (SELECT id, CASE WHEN id % 2 = 0 THEN path ELSE '/other/' || title || '.mp3' END AS path FROM tracks WHERE id % 5 = 0) o
-LEFT JOIN tracks p ON p.path = o.path
-LEFT JOIN (SELECT regexp_extract(path, '([^/]*)$', 1) AS base, min(id) AS id FROM tracks GROUP BY 1) f ON f.base = regexp_extract(o.path, '([^/]*)$', 1)""")
-shared("harmonic_neighbours", """
-WITH k AS (SELECT id, bpm, CAST(regexp_extract(key_camelot, '^([0-9]+)', 1) AS BIGINT) AS num, substr(key_camelot, length(key_camelot), 1) AS letter, status, quality_status
-  FROM tracks WHERE key_camelot IS NOT NULL AND bpm IS NOT NULL),
-wanted AS (
-  SELECT id, bpm, num, letter FROM k WHERE id % 10 = 0
-  UNION ALL SELECT id, bpm, (num + 10) % 12 + 1, letter FROM k WHERE id % 10 = 0
-  UNION ALL SELECT id, bpm, num % 12 + 1, letter FROM k WHERE id % 10 = 0
-  UNION ALL SELECT id, bpm, num, CASE letter WHEN 'A' THEN 'B' ELSE 'A' END FROM k WHERE id % 10 = 0)
-SELECT w.id, k.id AS next_id, abs(k.bpm - w.bpm) AS bpm_gap FROM wanted w JOIN k ON k.num = w.num AND k.letter = w.letter AND k.id <> w.id
-WHERE abs(k.bpm - w.bpm) <= 2 AND coalesce(k.status, '') <> 'rejected' AND coalesce(k.quality_status, '') NOT IN ('fake_transcode', 'clipped', 'corrupt')""")
 shared("track_timeline", """
 SELECT s.id, 1 AS step, 'seen' AS what FROM seen s
 UNION ALL SELECT sc_id, 2, 'vote ' || value FROM votes UNION ALL SELECT sc_id, 3, 'store' FROM store_items
@@ -93,18 +59,6 @@ SELECT 'status' AS facet, status AS value, count(*) AS n FROM tracks WHERE coale
 UNION ALL SELECT 'quality', quality_status, count(*) FROM tracks WHERE coalesce(quality_status, '') <> '' GROUP BY quality_status
 UNION ALL SELECT 'format', regexp_extract(path, '([a-z0-9]+)$', 1), count(*) FROM tracks GROUP BY 2""")
 shared("tag_counts", "SELECT tag, count(DISTINCT sc_id) AS n FROM snapshots GROUP BY tag")
-shared("artist_reputation", """
-SELECT artist_key, CAST(sum(downloads) AS BIGINT) AS downloads, CAST(sum(likes) AS BIGINT) AS likes, CAST(sum(dislikes) AS BIGINT) AS dislikes, CAST(sum(stars) AS BIGINT) AS stars FROM (
-  SELECT lower(trim(artist)) AS artist_key, CASE WHEN rb_rating >= 1 THEN rb_rating ELSE 0 END AS stars,
-    CASE WHEN rb_rating < 1 AND feedback = 'like' THEN 1 ELSE 0 END AS likes, CASE WHEN rb_rating < 1 AND feedback = 'dislike' THEN 1 ELSE 0 END AS dislikes,
-    CASE WHEN rb_rating < 1 AND feedback IS NULL AND status IN ('archive', 'inbox') THEN 1 ELSE 0 END AS downloads FROM tracks
-  UNION ALL
-  SELECT lower(trim(s.artist)), 0, CASE WHEN v.value = 'like' THEN 1 ELSE 0 END, CASE WHEN v.value = 'dislike' THEN 1 ELSE 0 END, 0
-  FROM seen s JOIN votes v ON v.sc_id = s.id) x GROUP BY artist_key""")
-shared("reputation_delta", """
-SELECT artist_key, CASE WHEN likes = 0 AND downloads = 0 AND dislikes >= 3 THEN -15 ELSE least(20, 5 * likes + 2 * downloads) END AS delta FROM (
-  SELECT lower(artist) AS artist_key, count(*) FILTER (WHERE feedback = 'like') AS likes, count(*) FILTER (WHERE feedback = 'dislike') AS dislikes,
-    count(*) FILTER (WHERE feedback IS NULL) AS downloads FROM tracks GROUP BY 1) x""")
 shared("top_collection_artists", """
 SELECT artist_key, min_by(artist, rank_key) AS artist, CAST(sum(n) AS BIGINT) AS n FROM (
   SELECT lower(artist) AS artist_key, artist, count(*) AS n, lpad(CAST(1000000000 - count(*) AS STRING), 12, '0') || artist AS rank_key
@@ -119,15 +73,6 @@ SELECT count(*) FILTER (WHERE finished_at > now - INTERVAL 30 DAY) AS runs_now,
   CAST(coalesce(sum(found) FILTER (WHERE finished_at > now - INTERVAL 30 DAY), 0) AS BIGINT) AS found_now,
   CAST(coalesce(sum(found) FILTER (WHERE finished_at > now - INTERVAL 60 DAY AND finished_at <= now - INTERVAL 30 DAY), 0) AS BIGINT) AS found_before
 FROM runs CROSS JOIN p WHERE mode = 'discover'""")
-shared("track_growth", """
-SELECT sc_id, title, artist, start_likes, end_likes, end_likes - start_likes AS delta, round(CAST(end_likes - start_likes AS DOUBLE) / start_likes, 6) AS rate
-FROM growth_base WHERE start_likes >= 10 AND end_likes > start_likes ORDER BY rate DESC, delta DESC, sc_id LIMIT 50""")
-shared("artist_growth", """
-SELECT artist, CAST(sum(start_likes) AS BIGINT) AS start_likes, CAST(sum(end_likes) AS BIGINT) AS end_likes, count(*) AS tracks FROM growth_base
-GROUP BY artist HAVING sum(start_likes) >= 20 AND sum(end_likes) > sum(start_likes)""")
-shared("tag_trends", """
-SELECT tag, count(DISTINCT sc_id) AS tracks, CAST(sum(likes + reposts + comments) AS BIGINT) AS engagement FROM snapshots
-GROUP BY tag HAVING count(DISTINCT sc_id) >= 2""")
 shared("job_summary", """
 SELECT job_type, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running,
   count(*) FILTER (WHERE status = 'completed') AS completed, max(updated_at) FILTER (WHERE status IN ('running', 'completed')) AS heartbeat FROM jobs GROUP BY job_type""")
@@ -136,19 +81,12 @@ SELECT tag, count(*) AS uses, count(*) FILTER (WHERE likes > 50) AS successes, m
 shared("curator_mining", """
 SELECT e.user_id, count(DISTINCT e.track_id) AS hits FROM edges e JOIN tracks t ON t.id = e.track_id AND t.feedback = 'like'
 WHERE e.user_id % 50 <> 0 GROUP BY e.user_id HAVING count(DISTINCT e.track_id) >= 3""")
-shared("duplicate_groups_by_id", """
-SELECT key_id, id, row_number() OVER (PARTITION BY key_id ORDER BY size DESC, id) = 1 AS keeper FROM (
-  SELECT id % 97 AS key_id, id, size, count(*) OVER (PARTITION BY id % 97) AS n FROM tracks WHERE status = 'inbox') x WHERE n >= 2""")
-shared("freeable_size", """
-SELECT key_id, count(*) - 1 AS extra_files, CAST(sum(size) - max(size) AS BIGINT) AS freeable FROM (SELECT id % 97 AS key_id, size FROM tracks WHERE status = 'inbox') x GROUP BY key_id HAVING count(*) >= 2""")
 shared("set_report", """
 SELECT count(*) AS n, round(100 * CAST(count(bpm) AS DOUBLE) / count(*), 4) AS bpm_coverage, count(*) FILTER (WHERE bpm_confidence >= 0.5) AS reliable,
   min(bpm) AS min_bpm, max(bpm) AS max_bpm, median(bpm) AS median_bpm FROM tracks""")
 shared("today_list", """
 SELECT * FROM (SELECT 1 AS pos, 'inbox' AS what, count(*) AS n FROM tracks WHERE status = 'inbox' UNION ALL SELECT 2, 'pending jobs', count(*) FROM jobs WHERE status = 'pending'
   UNION ALL SELECT 3, 'later', count(*) FROM votes WHERE value = 'later') x WHERE n > 0""")
-shared("smartlist_overview", """
-SELECT count(*) FILTER (WHERE bpm BETWEEN 130 AND 140) AS driving, count(*) FILTER (WHERE taste_score >= 0.8) AS favourites, count(*) FILTER (WHERE energy >= 4 AND key_camelot IN ('1A', '2A')) AS peak FROM tracks""")
 shared("import_summary", """
 SELECT count(*) FILTER (WHERE id % 2 = 0) AS by_path, count(*) FILTER (WHERE rb_rating > 0) AS rated, count(*) FILTER (WHERE rb_play_count > 0) AS played,
   count(*) FILTER (WHERE feedback IS NULL AND (rb_rating >= 4 OR rb_play_count >= 2)) AS auto_liked FROM tracks""")
@@ -156,17 +94,6 @@ shared("dominant_label", "SELECT min_by(label, rank_key) AS label FROM (SELECT l
 shared("audit_summary", "SELECT coalesce(quality_status, 'unknown') AS verdict, count(*) AS n, count(*) FILTER (WHERE id % 4 = 0) AS cached FROM tracks GROUP BY 1")
 
 # --- windows -----------------------------------------------------------------------------
-shared("percentile_rank", "SELECT id, 100 * cume_dist() OVER (ORDER BY likes) AS likes_rank FROM items")
-shared("percentile_scoring", """
-WITH f AS (
-  SELECT id, plays, CASE WHEN plays = 0 THEN 0 ELSE CAST(likes AS DOUBLE) / plays END AS like_ratio, CASE WHEN plays = 0 THEN 0 ELSE CAST(reposts AS DOUBLE) / plays END AS repost_ratio,
-    CASE WHEN plays = 0 THEN 0 ELSE CAST(comments AS DOUBLE) / plays END AS comment_ratio, CAST(likes AS DOUBLE) / 24 AS velocity, reposts >= 10 AND reposts > 3 * likes AS spam
-  FROM items WHERE plays >= 300),
-s AS (
-  SELECT id, like_ratio, CAST(0.35 AS DOUBLE) * 100 * cume_dist() OVER (ORDER BY like_ratio) + CAST(0.25 AS DOUBLE) * 100 * cume_dist() OVER (ORDER BY repost_ratio)
-    + CAST(0.20 AS DOUBLE) * 100 * cume_dist() OVER (ORDER BY velocity) + CAST(0.10 AS DOUBLE) * 100 * cume_dist() OVER (ORDER BY comment_ratio) - CASE WHEN spam THEN 20 ELSE 0 END AS raw FROM f),
-r AS (SELECT id, like_ratio, round(raw, 6) AS score FROM s)
-SELECT * FROM (SELECT id, score, round(like_ratio, 9) AS like_ratio, round(100 * cume_dist() OVER (ORDER BY score), 6) AS percentile FROM r) x WHERE like_ratio >= 0.001 AND percentile >= 40""")
 shared("keep_first", "SELECT id, sc_id FROM (SELECT *, row_number() OVER (PARTITION BY sc_id ORDER BY id) AS k FROM snapshots) x WHERE k = 1")
 shared("sessions", """
 WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
@@ -176,13 +103,6 @@ shared("quiet_islands", """
 WITH e AS (SELECT user_id, event_id, ts, value < 20 AS quiet, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
   row_number() OVER (PARTITION BY user_id, value < 20 ORDER BY ts, event_id) AS j FROM events)
 SELECT user_id, min(k) AS first_k, max(k) AS last_k, count(*) AS n FROM e WHERE quiet GROUP BY user_id, k - j HAVING count(*) >= 2""")
-shared("retention", """
-WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), r AS (SELECT day, row_number() OVER (ORDER BY day DESC) AS k FROM d),
-w AS (SELECT day, k, date_trunc('week', day) AS week, row_number() OVER (PARTITION BY date_trunc('week', day) ORDER BY day DESC) AS in_week FROM r)
-SELECT day, CASE WHEN k <= 7 THEN 'daily' WHEN in_week = 1 AND k <= 60 THEN 'weekly' ELSE 'drop' END AS keep FROM w""")
-shared("last_runs_alarm", """
-SELECT mode, min(CASE WHEN ok AND found > 0 THEN 1 ELSE 0 END) AS all_good, max(CASE WHEN ok AND found > 0 THEN 1 ELSE 0 END) = 0 AS alarm
-FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY id DESC) AS k FROM runs) x WHERE k <= 3 GROUP BY mode""")
 shared("last_run_per_mode", "SELECT mode, max(id) AS id, max_by(finished_at, id) AS finished_at, max_by(ok, id) AS ok FROM runs GROUP BY mode")
 shared("period_change", """
 SELECT day, n, CASE WHEN before > 0 THEN round(100 * CAST(n - before AS DOUBLE) / before, 4) END AS change FROM (
@@ -193,16 +113,13 @@ s AS (SELECT user_id, k, CAST(sum(v * v) OVER (PARTITION BY user_id ORDER BY k R
 SELECT user_id, k, energy FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY energy DESC, k) AS r FROM s) x WHERE r = 1""")
 shared("second_drop", """
 SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase') x WHERE k = 2""")
-shared("cache_eviction", """
-SELECT id FROM (SELECT id, sum(size) OVER () - coalesce(sum(size) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS kept FROM tracks) x WHERE kept > 500000""")
-
 # --- orders ------------------------------------------------------------------------------
 shared("sorted_page", "SELECT id, artist, bpm FROM tracks ORDER BY lower(artist) ASC NULLS LAST, id LIMIT 100 OFFSET 50")
 shared("camelot_order", """
 SELECT id, key_camelot, bpm FROM tracks ORDER BY bpm NULLS LAST, CASE WHEN key_camelot IS NULL THEN 2 ELSE 1 END,
-  CAST(regexp_extract(coalesce(key_camelot, '0A'), '^([0-9]+)', 1) AS BIGINT), key_camelot, id LIMIT 200""")
-shared("labelled_first", "SELECT id, feedback FROM tracks ORDER BY CASE WHEN feedback IS NOT NULL THEN 0 ELSE 1 END, id LIMIT 150")
-shared("watch_order", "SELECT sc_id, profile_id, last_seen FROM store_items ORDER BY CASE WHEN profile_id = 'p0' THEN 0 ELSE 1 END, last_seen DESC, sc_id LIMIT 100")
+  CAST(regexp_extract(coalesce(key_camelot, '0A'), '^([0-9]+)', 1) AS BIGINT), key_camelot, id""")
+shared("labelled_first", "SELECT id, feedback FROM tracks ORDER BY CASE WHEN feedback IS NOT NULL THEN 0 ELSE 1 END, id")
+shared("watch_order", "SELECT sc_id, profile_id, last_seen FROM store_items ORDER BY CASE WHEN profile_id = 'p0' THEN 0 ELSE 1 END, last_seen DESC, sc_id")
 
 # --- lookups and rules -------------------------------------------------------------------
 shared("backlog_energy", "SELECT id FROM tracks WHERE energy IS NULL ORDER BY id LIMIT 100")
@@ -239,9 +156,6 @@ SELECT DISTINCT sc_id, tag FROM snapshots WHERE NOT (tag = 'error' AND sc_id % 2
 shared("daily_snapshot", """
 SELECT sc_id, CAST(recorded_at AS DATE) AS day, min(id) AS id FROM snapshots GROUP BY 1, 2""")
 shared("claim_jobs", "SELECT id, job_type FROM (SELECT *, row_number() OVER (PARTITION BY job_type ORDER BY id) AS k FROM jobs WHERE status = 'pending') x WHERE k <= 4")
-shared("requeue_stale", """
-SELECT id, CASE WHEN status = 'running' AND updated_at < now_ts - CASE job_type WHEN 'embedding' THEN INTERVAL 120 MINUTE ELSE INTERVAL 30 MINUTE END THEN 'pending' ELSE status END AS status
-FROM jobs CROSS JOIN (SELECT max(updated_at) AS now_ts FROM jobs) m""")
 shared("alarm_transitions", """
 SELECT id, mode, CASE WHEN bad AND NOT was THEN 'alarm' ELSE 'recovery' END AS message FROM (
   SELECT id, mode, bad, coalesce(lag(bad) OVER (PARTITION BY mode ORDER BY id), FALSE) AS was FROM (SELECT id, mode, NOT ok AS bad FROM runs) r) x WHERE bad <> was""")
@@ -255,39 +169,7 @@ SELECT t.id FROM tracks t WHERE t.energy IS NULL AND NOT EXISTS (SELECT 1 FROM j
 shared("dead_man", "SELECT mode, max(finished_at) AS last_at, (SELECT max(finished_at) FROM runs) - INTERVAL 1 DAY > max(finished_at) AS overdue FROM runs GROUP BY mode")
 
 # --- scalar functions --------------------------------------------------------------------
-shared("transition_cost", """
-WITH k AS (SELECT id, bpm, CAST(regexp_extract(key_camelot, '^([0-9]+)', 1) AS BIGINT) AS n, substr(key_camelot, length(key_camelot), 1) AS l FROM tracks WHERE key_camelot IS NOT NULL),
-p AS (SELECT a.id, b.id AS next_id, a.bpm, b.bpm AS next_bpm, (b.n - a.n + 12) % 12 AS step, a.l = b.l AS same FROM k a JOIN k b ON b.id = a.id + 1)
-SELECT id, next_id, CASE WHEN abs(bpm - next_bpm) > 4 THEN NULL ELSE
-  CASE WHEN step = 0 AND same THEN 0.0E0 WHEN same AND step IN (1, 11) THEN 1.0E0 WHEN step = 0 THEN 1.5E0 WHEN same AND step = 2 THEN 3.0E0 WHEN same AND step IN (3, 9) THEN 5.0E0 ELSE 8.0E0 END
-  + CASE WHEN bpm IS NULL OR next_bpm IS NULL THEN 1 ELSE greatest(0, abs(bpm - next_bpm) - 3) END END AS cost FROM p""")
-shared("energy_level", """
-SELECT id, greatest(1, least(5, CASE WHEN bpm IS NULL THEN 3 WHEN bpm < 138 THEN 1 WHEN bpm < 145 THEN 2 WHEN bpm < 152 THEN 3 WHEN bpm < 160 THEN 4 ELSE 5 END
-  + CASE WHEN lufs > -6 THEN 1 ELSE 0 END + CASE WHEN centroid > 3500 THEN 1 WHEN centroid < 1800 THEN -1 ELSE 0 END)) AS energy FROM tracks""")
 shared("bpm_bucket", "SELECT id, CAST(floor(bpm / 5) * 5 AS BIGINT) AS low, CAST(CAST(floor(bpm / 5) * 5 AS BIGINT) AS STRING) || '-' || CAST(CAST(floor(bpm / 5) * 5 AS BIGINT) + 5 AS STRING) AS label FROM tracks WHERE bpm IS NOT NULL")
-shared("camelot_distance", """
-SELECT id, CASE WHEN key_camelot IS NULL THEN NULL ELSE least(abs(n - 8), 12 - abs(n - 8)) + CASE WHEN l = 'A' THEN 0 ELSE 1 END END AS distance FROM (
-  SELECT id, key_camelot, CAST(regexp_extract(coalesce(key_camelot, '0A'), '^([0-9]+)', 1) AS BIGINT) AS n, substr(coalesce(key_camelot, 'A'), length(coalesce(key_camelot, 'A')), 1) AS l FROM tracks) x""")
-shared("phrase_snap", """
-SELECT id, beats, CASE WHEN abs(beats - 32 * floor(beats / 32 + 0.5)) <= 1.75 THEN 32 * floor(beats / 32 + 0.5) WHEN abs(beats - 16 * floor(beats / 16 + 0.5)) <= 1.75 THEN 16 * floor(beats / 16 + 0.5)
-  ELSE 4 * floor(beats / 4 + 0.5) END * 1.0E0 AS snapped FROM (SELECT id, round(duration * bpm / 60, 3) AS beats FROM tracks WHERE bpm IS NOT NULL) x""")
-shared("gain_plan", "SELECT id, CASE WHEN abs(-7 - lufs) < 0.5E0 THEN 0.0E0 WHEN lufs > -7 THEN -7 - lufs ELSE least(-7 - lufs, 2.0E0) END AS gain FROM tracks")
-shared("rating_step", "SELECT id, CASE WHEN rb_rating IS NULL THEN NULL ELSE least(5, greatest(0, CAST(floor((rb_rating * 51 + 25) / 51.0E0) AS INT))) END AS stars FROM tracks")
-shared("velocity_recency", """
-SELECT id, CASE WHEN likes <= 0 THEN 0.0E0 ELSE round(CAST(likes AS DOUBLE) / greatest(1, date_diff_hours), 6) END AS velocity FROM (
-  SELECT id, likes, (epoch_s(last_at) - epoch_s(created_at)) / 3600.0E0 AS date_diff_hours FROM items) x""".replace("epoch_s(", "epoch("),
-       """
-SELECT id, CASE WHEN likes <= 0 THEN 0.0E0 ELSE round(CAST(likes AS DOUBLE) / greatest(1, hours), 6) END AS velocity FROM (
-  SELECT id, likes, timestampdiff(MICROSECOND, created_at, last_at) / 1000000 / 3600.0E0 AS hours FROM items) x""")
-shared("url_host", "SELECT page_id, regexp_extract(lower(url), '^https?://(?:www\\.)?([^/:?#]+)', 1) AS host FROM pages".replace("\\\\", "\\"),
-       "SELECT page_id, regexp_extract(lower(url), r'^https?://(?:www\\.)?([^/:?#]+)', 1) AS host FROM pages")
-shared("classify_url", """
-SELECT page_id, CASE WHEN contains(lower(url), 'gate') THEN 'gate' WHEN contains(lower(url), 'shop') OR contains(lower(url), 'store') THEN 'store' WHEN contains(lower(url), 'cloud') THEN 'cloud' ELSE 'none' END AS kind FROM pages""")
-shared("artist_title", """
-SELECT conv_id, turn, CASE WHEN strpos(text, ' - ') > 0 THEN substr(text, 1, strpos(text, ' - ') - 1) END AS artist, CASE WHEN strpos(text, ' - ') > 0 THEN substr(text, strpos(text, ' - ') + 3) ELSE text END AS title FROM conversations""",
-       """
-SELECT conv_id, turn, CASE WHEN locate(' - ', text) > 0 THEN substr(text, 1, locate(' - ', text) - 1) END AS artist, CASE WHEN locate(' - ', text) > 0 THEN substr(text, locate(' - ', text) + 3) ELSE text END AS title FROM conversations""")
-
 # --- similarity --------------------------------------------------------------------------
 shared("cosine_neighbours", """
 WITH q AS (SELECT vec_id AS query_id, embedding AS q, label FROM embeddings WHERE vec_id % 100 = 0)
@@ -299,6 +181,19 @@ SELECT query_id, vec_id, score FROM (SELECT query_id, vec_id, score, row_number(
   SELECT query_id, e.vec_id, round(aggregate(zip_with(q, e.embedding, (x, y) -> CAST(x AS DOUBLE) * y), 0.0D, (a, x) -> a + x)
     / sqrt(aggregate(q, 0.0D, (a, x) -> a + CAST(x AS DOUBLE) * x) * aggregate(e.embedding, 0.0D, (a, x) -> a + CAST(x AS DOUBLE) * x)), 6) AS score
   FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> query_id) s) x WHERE k <= 10""")
+shared("camelot_distance", """
+SELECT id, CASE WHEN key_camelot IS NULL THEN NULL ELSE least(abs(n - 8), 12 - abs(n - 8)) + CASE WHEN l = 'A' THEN 0 ELSE 1 END END AS distance FROM (
+  SELECT id, key_camelot, CAST(regexp_extract(coalesce(key_camelot, '0A'), '^([0-9]+)', 1) AS BIGINT) AS n, substr(coalesce(key_camelot, 'A'), length(coalesce(key_camelot, 'A')), 1) AS l FROM tracks) x""")
+shared("energy_level", """
+SELECT id, greatest(1, least(5, CASE WHEN bpm IS NULL THEN 3 WHEN bpm < 138 THEN 1 WHEN bpm < 145 THEN 2 WHEN bpm < 152 THEN 3 WHEN bpm < 160 THEN 4 ELSE 5 END
+  + CASE WHEN lufs > -6 THEN 1 ELSE 0 END + CASE WHEN centroid > 3500 THEN 1 WHEN centroid < 1800 THEN -1 ELSE 0 END)) AS energy FROM tracks""")
+shared("rating_step", "SELECT id, CASE WHEN rb_rating IS NULL THEN NULL ELSE least(5, greatest(0, CAST(floor((rb_rating * 51 + 25) / 51.0E0) AS INT))) END AS stars FROM tracks")
+shared("url_host", "SELECT page_id, regexp_extract(lower(url), '^https?://(?:www\\.)?([^/:?#]+)', 1) AS host FROM pages".replace("\\\\", "\\"),
+       "SELECT page_id, regexp_extract(lower(url), r'^https?://(?:www\\.)?([^/:?#]+)', 1) AS host FROM pages")
+shared("artist_title", """
+SELECT conv_id, turn, CASE WHEN strpos(text, ' - ') > 0 THEN substr(text, 1, strpos(text, ' - ') - 1) END AS artist, CASE WHEN strpos(text, ' - ') > 0 THEN substr(text, strpos(text, ' - ') + 3) ELSE text END AS title FROM conversations""",
+       """
+SELECT conv_id, turn, CASE WHEN locate(' - ', text) > 0 THEN substr(text, 1, locate(' - ', text) - 1) END AS artist, CASE WHEN locate(' - ', text) > 0 THEN substr(text, locate(' - ', text) + 3) ELSE text END AS title FROM conversations""")
 shared("training_labels", """
 SELECT e.vec_id, CASE WHEN v.value = 'like' OR t.rb_rating >= 4 THEN 1 ELSE 0 END AS label FROM embeddings e LEFT JOIN votes v ON v.sc_id = e.vec_id LEFT JOIN tracks t ON t.id = e.vec_id
 WHERE v.value IN ('like', 'dislike') OR t.rb_rating >= 4""")

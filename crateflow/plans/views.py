@@ -53,13 +53,20 @@ SELECT user_id AS id, 'artist ' || CAST(user_id % 20 AS STRING) AS artist,
   count(*) FILTER (WHERE event_type = 'purchase') AS reposts, count(*) FILTER (WHERE event_type = 'signup') AS comments,
   min(ts) AS created_at, max(ts) AS last_at FROM events GROUP BY user_id""",
     "seen": """
-SELECT doc_id AS id, 'https://www.host.example/' || source || '/' || CAST(doc_id AS STRING) AS url, substr(text, 1, 40) AS title, source AS artist FROM documents""",
-    "growth_base": """
-SELECT s.sc_id, min_by(likes, struct_pack_key) AS start_likes, max_by(likes, struct_pack_key) AS end_likes,
-  max_by(artist, struct_pack_key) AS artist, max_by(title, struct_pack_key) AS title, count(*) AS n
-FROM (SELECT *, CAST(recorded_at AS STRING) || lpad(CAST(id AS STRING), 20, '0') AS struct_pack_key FROM snapshots
-      WHERE recorded_at >= (SELECT max(recorded_at) FROM snapshots) - INTERVAL 14 DAY) s
-GROUP BY s.sc_id""",
+SELECT doc_id AS id, 'https://www.host.example/' || source || '/' || CAST(doc_id AS STRING) AS url, text AS title, source AS artist,
+  CASE WHEN doc_id % 3 = 0 THEN 'cutoff too low' ELSE NULL END AS reason FROM documents""",
+    "names": """
+SELECT p_partkey AS id, 'B' || substr(p_brand, 7) AS artist,
+  p_name || ' N' || CAST(p_partkey % 499 AS STRING) || ' M' || CAST(p_partkey % 211 AS STRING) || CASE p_partkey % 5 WHEN 0 THEN ' (Free Download)' WHEN 1 THEN ' [K' || CAST(p_partkey % 3 AS STRING) || ' Edit]' ELSE '' END AS title,
+  CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 200000 + 1000 * (p_partkey % 9) END AS duration_ms,
+  CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 200.0E0 + p_partkey % 9 END AS seconds,
+  CASE WHEN p_partkey % 2 = 0 THEN 'asked' ELSE 'held' END AS side
+FROM part""",
+    "offers": """
+SELECT page_id AS id, url, page_id % 11 = 0 AS downloadable, page_id % 22 = 0 AS has_downloads_left,
+  CASE page_id % 6 WHEN 0 THEN 'https://www.hypeddit.com/t/' || CAST(page_id AS STRING) WHEN 1 THEN 'https://label.bandcamp.com/a' WHEN 2 THEN 'http://notbandcamp.com/a' WHEN 3 THEN '' ELSE NULL END AS purchase_url,
+  'get it https://' || CASE page_id % 7 WHEN 0 THEN 'we.tl/x' WHEN 1 THEN 'mega.nz/x' WHEN 2 THEN 'drive.google.com/x' WHEN 3 THEN 'beatport.com/x' WHEN 4 THEN 'sub.toneden.io/x' ELSE 'example.org/x' END || ' (or http://dropbox.com.evil.tld/y)' AS description
+FROM pages""",
 }
 
 
