@@ -4,17 +4,23 @@ The distinct shingles of a text (five words; see ``shingles``) are hashed by ``P
 universal permutations h -> a * h + b, a odd, modulo 2**32, and the least value under each is
 kept, in numpy over whole batches. A fingerprint is these values in hexadecimal, 16 bits each.
 The likeness of two fingerprints is the share of equal values, an estimate of the Jaccard
-likeness of the shingle sets. ``near_duplicates`` joins bands of the values in Spark and
-verifies candidates by the exact Jaccard likeness.
+likeness of the shingle sets.
+
+Bands of ``ROWS`` values are joined in Spark, and pairs that share one are verified by the exact
+Jaccard likeness of their shingle sets: they and equal sets make up the classes (``classes``). A
+pair of likeness 0.8 shares a band with a chance of 0.99, and every pair that does is verified or
+inside a class already.
 
 Null texts are empty; a text without words has the fingerprint of the empty set, which is like
 itself (1) and no other (0). Texts of any length are hashed whole. Repeated rows give repeated
-results, an empty table an empty one. Other columns are left out.
+results, an empty table an empty one. Other columns are left out. A row without doc_id has
+fingerprints and no class.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common, components, shingles
+from . import bitmap, common, components, shingles
 
-PERMUTATIONS, BANDS = 96, 24
+PERMUTATIONS, BANDS = 96, 16
+ROWS = PERMUTATIONS // BANDS
 #: Rounds in which the members of a band are compared with one of them.
 PIVOTS = 3
 _rng = np.random.default_rng(20240229)
@@ -60,54 +67,81 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+_PLACED = "bucket int, doc_id long, tie long, carried boolean, packed binary"
+
+
 def _neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, text in descending order over buckets of doc_id; the last row of each bucket
-    (``carried``) is a copy of the next bucket's first one, so that every row's next row is
-    in its own task. Boundaries come from an approximate quantile of doc_id: one a task."""
+    """bucket, doc_id, carried, packed (the text, deflated) in descending order over buckets of doc_id; the
+    last row of each bucket (``carried``) is a copy of the next bucket's first one, so that every row's
+    next row is in its own task. Boundaries come from an approximate quantile of doc_id; they and the
+    first rows are one a bucket. Null ids come last, in a bucket of their own."""
     spark = docs.sparkSession
     texts = common.texts_of(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tie", F.xxhash64("text"))
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = texts.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # Bucket 0 holds the largest ids; null ids come last, in a bucket of their own.
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0))
-    placed = texts.withColumn("bucket", bucket)
-    first = {r.bucket: (r.doc_id, r.tie) for r in placed.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "tie"), F.struct("doc_id", -F.col("tie").cast("decimal(20,0)"))).alias("f")).select("bucket", "f.*").collect()}  # one row a bucket
-    order = sorted(first)
-    heads = [(order[k - 1], *first[b]) for k, b in enumerate(order)]  # the bucket before; before the first the last
-    if not heads:
-        return placed.select("bucket", "doc_id", "text", F.lit(False).alias("carried"))
-    table = spark.createDataFrame(heads, "to int, doc_id long, tie long")
-    same = placed["doc_id"].eqNullSafe(table["doc_id"]) & (placed["tie"] == table["tie"])
-    copies = placed.join(F.broadcast(table), same).select("to", placed["doc_id"], placed["text"], placed["tie"], F.lit(True).alias("carried"))
-    own = placed.select("bucket", "doc_id", "text", "tie", F.lit(False).alias("carried"))
-    return own.union(copies).repartition(n // 4, "bucket").sortWithinPartitions("bucket", "carried", F.col("doc_id").desc_nulls_last(), "tie").select("bucket", "doc_id", "text", "carried")
-
-
-_FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text of ``docs`` (doc_id, text), of its edited text, and their
-    likeness to each other and to the next document's (descending doc_id, equal ids by a hash
-    of their texts; after the last the first)."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = np.array(sorted(set(texts.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] or [])), dtype=np.int64)
+
+    def buckets(ids: pa.Array) -> np.ndarray:
+        """Bucket 0 holds the largest ids."""
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, len(cuts) - np.searchsorted(cuts, known, side="left"))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            for b, i, t in zip(buckets(batch.column(0)).tolist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b not in best or (i is not None and (-i, t) < (-best[b][0], best[b][1])) or (i is None and t < best[b][1]):
+                    best[b] = (i, t)
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([i for i, _ in best.values()], pa.int64()), pa.array([t for _, t in best.values()], pa.int64())], names=["bucket", "doc_id", "tie"])
+
+    each = texts.select("doc_id", "tie").mapInArrow(firsts, "bucket int, doc_id long, tie long")
+    order = F.struct((-F.coalesce("doc_id", F.lit(0)).cast("decimal(20,0)")).alias("i"), "tie")
+    first = {r.bucket: (r.doc_id, r.tie) for r in each.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "tie"), order).alias("f")).select("bucket", "f.*").collect()}
+    full = sorted(first)
+    heads = {first[b]: full[k - 1] for k, b in enumerate(full)}  # to the bucket before; before the first the last
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                rows = []
+                for b, i, t, x in zip(buckets(part.column(0)).tolist(), part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    packed = zlib.compress(x.encode("utf-8", "surrogatepass"), 1)
+                    rows.append((b, i, t, False, packed))
+                    if (to := heads.get((i, t))) is not None:
+                        rows.append((to, i, t, True, packed))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=y) for c, y in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "doc_id", "tie", "carried", "packed"])
+
+    placed = texts.select("doc_id", "text", "tie").mapInArrow(work, _PLACED)
+    return placed.repartition(n, "bucket").sortWithinPartitions("bucket", "carried", F.col("doc_id").desc_nulls_last(), "tie").select("bucket", "doc_id", "carried", "packed")
+
+
+_SIGNED = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "sign": pa.binary(), "edited_sign": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(), "n": pa.int64(), "hi": pa.int64(), "lo": pa.int64()}
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, sign binary, edited_sign binary, near_edited double, near_next double, n long, hi long, lo long"
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """Every row's fingerprint and its edited text's, as bytes, their likeness to each other and to the
+    next document's (descending doc_id, equal ids by a hash of their texts; after the last the first),
+    the size of its shingle set and a digest (hi, lo) of it."""
 
     def slices(batches: Iterator[pa.RecordBatch]):
         """Lists of (doc_id, text, next text)."""
         out, size, last = [], 0, None
-        for bucket, i, text, carried in rows(batches):
-            if last is not None and last[0] == bucket and not last[3]:
-                out.append((last[1], last[2], text))
-                size += 2 * len(last[2])
-                if size > common.SLICE_CHARS // 2 or len(out) >= 512:
-                    yield out
-                    out, size = [], 0
-            last = (bucket, i, text, carried)
+        for batch in batches:
+            for bucket, i, carried, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
+                if last is not None and last[0] == bucket and not last[3]:
+                    out.append((last[1], last[2], text))
+                    size += 2 * len(last[2])
+                    if size > common.SLICE_CHARS // 2 or len(out) >= 512:
+                        yield out
+                        out, size = [], 0
+                last = (bucket, i, text, carried)
         if out:
             yield out
 
@@ -122,68 +156,119 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             own, other = all_[:n], all_[n : 2 * n]
             following = np.roll(own, -1, axis=0)
             following[extra] = all_[2 * n :]
-            columns = [[i for i, _, _ in part], [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], [r.tobytes().hex() for r in own], [r.tobytes().hex() for r in other], likeness(own, other), likeness(own, following)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, (_, k) in zip(columns, _FIELDS, strict=True)], names=[f for f, _ in _FIELDS])
+            sets = shingles.distinct_sets(texts)
+            keys = [_digest(s) for s in sets]
+            columns = [[i for i, _, _ in part], [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], [r.tobytes() for r in own], [r.tobytes() for r in other], likeness(own, other), likeness(own, following), [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, _SIGNED.values(), strict=True)], names=list(_SIGNED))
 
     return _neighbours(docs).mapInArrow(work, SCHEMA)
 
 
-def _verified(pairs: DataFrame, kept: DataFrame, least: float) -> DataFrame:
-    """a, b, jaccard of the pairs (a, b) whose exact likeness reaches ``least``."""
-    left, right = kept.select(F.col("id").alias("a"), F.col("s").alias("sa")), kept.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both)).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
+def _bands(signs: np.ndarray) -> np.ndarray:
+    """texts x BANDS hashes of the bands' values."""
+    h = np.zeros((len(signs), BANDS), dtype=np.uint64)
+    for k in range(ROWS):
+        h = (h ^ signs[:, k::ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return ((h + np.arange(BANDS, dtype=np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def _banded(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every row's id and set (id, key, least id of the set as rep); the links found (a, b,
-    jaccard); and the components they make (node, root).
+def _banded(reps: DataFrame, filter_=None) -> DataFrame:
+    """rep, n, band of every set (rep, n, sign); those alone that ``filter_``, a shared bitmap, holds."""
 
-    In ``PIVOTS`` rounds the members of a band are compared with one of them only, first the
-    smallest id, then one of any component. Members of different components that still share
-    a band are then all compared, but for those whose sizes rule ``least`` out."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                flat = _bands(np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u2").reshape(batch.num_rows, PERMUTATIONS)).ravel()
+                at = np.repeat(np.arange(batch.num_rows), BANDS)
+                if filter_ is not None:
+                    keep = filter_.value.holds(flat)
+                    flat, at = flat[keep], at[keep]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(flat)], names=["rep", "n", "band"])
+
+    return reps.select("rep", "n", "sign").mapInArrow(work, "rep long, n long, band long")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, s: the shingle sets of the documents ``wanted`` (id, lo); repeated rows come again."""
+    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap.bitmap(wanted, "id"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in common.slices(batches):
-            sets = shingles.distinct_sets(texts)
-            bands = [[f"{k}:{r[k * 4 : k * 4 + 4].tobytes().hex()}" for k in range(BANDS)] if len(s) else [] for r, s in zip(signatures(texts), sets, strict=True)]
-            keys = [hashlib.sha256(s.tobytes()).hexdigest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.string()))], names=["id", "key", "s", "bands"])
+        for batch in batches:
+            keep = filter_.value.holds(batch.column(0).to_numpy(zero_copy_only=False))
+            for ids, texts in common.slices(iter([batch.filter(pa.array(keep))])):
+                sets = shingles.distinct_sets(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_digest(s)[1] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "lo", "s"])
+
+    found = common.texts_of(docs).where("doc_id is not null").mapInArrow(work, "id long, lo long, s array<long>")
+    return found.join(wanted, ["id", "lo"]).select("id", "s")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """u, v of the pairs (a, b) whose exact likeness reaches ``least``."""
+    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def classes(docs: DataFrame, rows: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, class_id of the documents that share a class with another set or text: the least id that
+    equal shingle sets and pairs of at least ``least`` that share a band lead to. ``rows``: ``signed(docs)``.
+
+    In ``PIVOTS`` rounds the members of a band are compared with one of them only, first the
+    smallest id, then one of any component. Members of different components that still share a
+    band are then all compared, but for those whose sizes rule ``least`` out."""
+    shared = docs.sparkSession.sparkContext.broadcast
 
     def alike(n: str, m: str) -> Column:
         return F.least(n, m) / F.greatest(n, m) >= least
 
-    rows = common.stored(common.texts_of(docs).where("doc_id is not null").mapInArrow(work, "id long, key string, s array<long>, bands array<string>"), "minhash")
-    kept = common.stored(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("s").alias("s"), F.first("bands").alias("bands")), "sets")
-    members = rows.select("id", "key").join(kept.select("key", F.col("id").alias("rep")), "key")
-    bands = kept.select("id", F.size("s").alias("n"), F.explode("bands").alias("band"))
-    links, tree = None, None
+    known = rows.where("n > 0 AND doc_id IS NOT NULL")
+    reps = common.stored(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sign").alias("sign"), F.count("*").alias("copies")), "reps")
+    parts = common.parts_for(reps.count())
+    held = common.stored(_banded(reps).groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band"), "bands", parts)
+    own = common.stored(_banded(reps, shared(bitmap.bitmap(held, "band"))).join(held, "band").coalesce(parts), "own", parts)
+    wanted = common.stored(own.select("rep").distinct().join(reps.select("rep", "lo"), "rep").select(F.col("rep").alias("id"), "lo"), "wanted", parts)
+    sets = common.stored(_sets_of(docs, wanted), "band-sets")
+    tree = None
     for k in range(PIVOTS + 1):
-        roots = bands.withColumn("root", F.col("id")) if tree is None else bands.join(tree, bands["id"] == tree["node"], "left").select("id", "n", "band", F.coalesce("root", "id").alias("root"))
-        held = roots.groupBy("band").agg(F.min(F.struct((F.xxhash64("root", F.lit(k)) if k else F.lit(0)).alias("h"), "id", "n", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
-        own = common.stored(roots.join(held.where("low <> high").select("band", "p"), "band"), "bands")
+        rooted = own.withColumn("root", F.col("rep")) if tree is None else own.join(tree, own["rep"] == tree["node"], "left").select("rep", "n", "band", F.coalesce("root", "rep").alias("root"))
+        pivot = rooted.groupBy("band").agg(F.min(F.struct((F.xxhash64("root", F.lit(k)) if k else F.lit(0)).alias("h"), "rep", "n", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "p")
+        mixed = rooted.join(pivot, "band")
         if k < PIVOTS:
-            pairs = own.where((F.col("root") != F.col("p.root")) & alike("n", "p.n")).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+            pairs = mixed.where((F.col("root") != F.col("p.root")) & alike("n", "p.n")).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
         else:
-            a, b = own.drop("p").alias("a"), own.drop("p").alias("b")
-            meets = (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.id") < F.col("b.id")) & alike("a.n", "b.n")
-            pairs = a.join(b, meets).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        found = common.stored(_verified(pairs.distinct(), kept, least), "found")
-        links = found if links is None else links.union(found)
-        tree = components.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return members, links, tree
-
-
-def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs (a < b) of ids of different shingle sets whose signatures share a band and whose
-    exact Jaccard likeness reaches ``least``. Texts of equal sets are represented by their
-    smallest id, so copies are not expanded into pairs. Nor is a group of near copies: its pairs
-    are those that hold it together, and every pair left out joins two of one ``near_classes``."""
-    return _banded(docs, least)[1].distinct()
-
-
-def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, class_id of every row with an id: the least id that equal shingle sets and pairs
-    of at least ``least`` that share a band lead to."""
-    members, _, tree = _banded(docs, least)
-    return members.join(tree, members["rep"] == tree["node"], "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
+            mixed = common.stored(mixed.drop("p"), "mixed", parts)
+            a, b = mixed.alias("a"), mixed.alias("b")
+            meets = (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.rep") < F.col("b.rep")) & alike("a.n", "b.n")
+            pairs = a.join(b, meets).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+        found = common.stored(_verified(pairs.coalesce(parts).distinct(), sets, least), "found", parts)
+        if tree is None:
+            tree = components.components(found)
+        elif not found.isEmpty():
+            tree = components.components(tree.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
+    common.remove(held, own, wanted, sets)
+    grouped = reps.join(tree, reps["rep"] == tree["node"], "left").where("copies > 1 OR node IS NOT NULL").select("hi", "lo", F.coalesce("root", "rep").alias("class_id"))
+    return common.stored(known.select("doc_id", "hi", "lo").join(grouped, ["hi", "lo"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "classes")
+
+
+def fingerprints(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (see
+    ``signed``) and class_id (see ``classes``; a document alone is its own class)."""
+    rows = common.stored(signed(docs), "signatures")
+    found = classes(docs, rows, least).withColumnRenamed("doc_id", "member")
+    return rows.join(found, rows["doc_id"] == found["member"], "left").select(
+        "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("sign")).alias("fingerprint"), F.lower(F.hex("edited_sign")).alias("edited_fingerprint"), "near_edited", "near_next", F.coalesce("class_id", "doc_id").alias("class_id")
+    )
+
+
+#: doc_id, n_chars and edited_sha256 of the same table in DuckDB's SQL.
+EDITED_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS f FROM t)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(left(t, CAST(n - n // 3 AS INTEGER)) || left(f, CAST(n // 3 AS INTEGER))) AS edited_sha256 FROM n"""
+
+
+def edited_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256 of every text."""
+    return signed(docs).select("doc_id", "n_chars", "edited_sha256")

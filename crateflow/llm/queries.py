@@ -50,6 +50,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(common.table(spark, sf_dir, "documents"))
 
 
+def edited_text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7's result that SQL can express."""
+    return fingerprints.edited_texts(common.table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs)).select("doc_id", (sampling.fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
@@ -63,5 +68,5 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_quality, op4_licenses, op5_byte_bpe, op6_exact_topk, op7_fingerprints, op8_language, op9_token_ids, op10_pfair_mix, license_base_places)}
-SQL = {"op2_ngram_join": ngram_join.SQL, "op6_exact_topk": topk.SQL, "op10_pfair_mix": mixing.SQL, "license_base_places": licenses.BASE_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_quality, op4_licenses, op5_byte_bpe, op6_exact_topk, op7_fingerprints, op8_language, op9_token_ids, op10_pfair_mix, license_base_places, edited_text_hashes)}
+SQL = {"op2_ngram_join": ngram_join.SQL, "op6_exact_topk": topk.SQL, "op10_pfair_mix": mixing.SQL, "license_base_places": licenses.BASE_SQL, "edited_text_hashes": fingerprints.EDITED_SQL}

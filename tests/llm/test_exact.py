@@ -203,50 +203,10 @@ def test_base_phrases(docs, texts):
         assert {x for x in r.base_labels.split(",") if x} <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
-def test_fingerprints(docs, texts):
-    out = {r.doc_id: r for r in fingerprints.fingerprints(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
-    n = len(texts)
-    for k in range(n):
-        own, following = texts[k] or "", texts[k - 1 if k else n - 1] or ""
-        cut = len(own) // 3
-        edited = own[: len(own) - cut] + following[:cut]
-        assert (out[k].n_chars, out[k].edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
-        a, b = shingle_set(own), shingle_set(edited)
-        assert abs(out[k].near_edited - (len(a & b) / len(a | b) if a | b else 1)) < 0.25
-        assert out[k].fingerprint == next(out[j].fingerprint for j in range(n) if shingle_set(texts[j]) == a)
-    assert fingerprints.fingerprints(docs).count() == docs.count()
-
-
-def test_minhash_pairs_are_true(docs, texts):
-    pairs = {(r.a, r.b) for r in fingerprints.near_duplicates(docs).collect()}
-    assert pairs and all(alike(shingle_set(texts[a]), shingle_set(texts[b])) for a, b in pairs)
-
-
-def test_minhash_classes_hold_every_pair_that_shares_a_band(spark):
-    # Fourteen pairs of near copies of one passage, each changed at its own places: a band's smallest id is mostly of another pair.
-    rng = random.Random(3)
-    passage, texts = [f"w{k}" for k in range(320)], []
-    for k in range(28):
-        near = list(passage)
-        for j in range(4):
-            near[5 * (k % 14 + 14 * j) + 2] = f"x{rng.randrange(10**6)}"
-        texts.append(" ".join(near))
-    texts.append(texts[7])
-    sets, signs = [shingle_set(t) for t in texts], fingerprints.signatures(texts).reshape(len(texts), fingerprints.BANDS, -1)
-    near = [(a, b) for a in range(len(texts)) for b in range(a) if (signs[a] == signs[b]).all(axis=1).any() and alike(sets[a], sets[b])]
-    least = list(range(len(texts)))
-    for _ in texts:
-        for a, b in near:
-            least[a] = least[b] = min(least[a], least[b])
-    assert len(set(least)) == 14
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in fingerprints.near_classes(docs).collect()} == dict(enumerate(least))
-
-
 def test_empty_tables(nothing):
     assert ngram_join.link_classes(nothing).count() == 0
     assert bpe.encode_documents(nothing).count() == 0
     assert repair.read(repair.write(nothing)).count() == 0
     assert mixing.schedule(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
     assert licenses.scan_documents(nothing).count() == 0
-    assert fingerprints.fingerprints(nothing).count() == 0 and fingerprints.near_duplicates(nothing).count() == 0
+    assert fingerprints.fingerprints(nothing).count() == 0
