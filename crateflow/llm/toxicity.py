@@ -5,16 +5,17 @@ beginnings and whole words that toxic texts hold far more often), and patterns (
 masked words, rows of exclamation marks, insults in the second person). A voter votes toxic
 or abstains; one more votes clean where no lexicon speaks.
 
-A generative label model estimates by expectation-maximisation how often each voter votes in
-either class (labelled texts keep their label in that step) and from what is left the
-correlations between voters given the class. Only voters that vote give evidence, and it is
-divided by one plus their correlations with the others that vote, so that voters that repeat
-each other count about once. The model's posteriors, never the labels themselves, train a
-linear classifier over the presence of the lexicons' entries and the patterns; that
-classifier scores every whole text.
-
-Mining takes at most ``LABELLED`` labelled texts, the label
-model and the classifier these and at most ``UNLABELLED`` others, by a hash of doc_id.
+A generative label model estimates by expectation-maximisation, from the votes alone and without
+any label, how often each voter votes in either class, and from what is left the correlations
+between voters given the class. Only voters that vote give evidence, and it is divided by one
+plus their correlations with the others that vote, so that voters that repeat each other count
+about once. The model's posteriors, never labels, train a linear classifier over the presence of
+the lexicons' entries and the patterns; that classifier scores every whole text. Labels of the
+fitting rows serve the mining alone.
+
+Mining takes at most ``LABELLED`` labelled texts and keeps the ``ENTRIES`` entries of most toxic
+texts; the label model and the classifier take these texts and at most ``UNLABELLED`` others, by a
+hash of doc_id.
 
 Null and empty texts hold no entry and get the score of that, near 0. Without labels the
 hand-written voters work alone. Texts of any length count whole; repeated rows give repeated
@@ -49,6 +50,10 @@ LEXICONS = {
     "de": "idiot idioten trottel dumm dummkopf arschloch scheiße schwein hure abschaum versager hurensohn wichser missgeburt".split(),
     "fr": "idiot idiote imbécile connard connasse salaud salope merde pute ordure crétin débile abruti enculé".split(),
     "es": "idiota imbécil estúpido estúpida mierda puta cabrón pendejo basura escoria gilipollas maricón".split(),
+    "it": "idiota stupido stupida stronzo stronza merda puttana bastardo coglione deficiente feccia cretino".split(),
+    "pt": "idiota imbecil estúpido burro merda puta lixo otário desgraçado vagabundo babaca escória".split(),
+    "contempt": "subhuman parasite parasites cockroach cockroaches maggot maggots garbage worthless braindead disgrace untermensch ungeziefer sous-homme vermine parásito escoria".split(),
+    "threat": "strangle stab gutted beheaded lynch exterminate umbringen abstechen erwürgen égorger étrangler matar degollar".split(),
 }
 #: Patterns of toxic texts.
 PATTERNS = [
@@ -57,6 +62,14 @@ PATTERNS = [
     re.compile(r"\byou(?:'re| are)? (?:an? |such an? )?(?:total |complete |absolute )?(?:idiot|moron|loser|clown|disgrace|failure|pig|rat)\b", re.I),
     re.compile(r"\b(?:kill|hate|hurt) (?:you|yourself|them all)\b", re.I),
     re.compile(r"\b(?:shut up|get lost|go to hell|drop dead)\b", re.I),
+    re.compile(r"\b(?:i|we)(?:'ll| will| am going to| are going to) (?:find|hurt|kill|end|destroy) (?:you|them)\b", re.I),
+    re.compile(r"\b(?:nobody|no one) (?:likes|loves|wants|needs) you\b", re.I),
+    re.compile(r"\b(?:die|rot|burn) in (?:hell|a fire)\b", re.I),
+    re.compile(r"\b(?:du|ihr) (?:bist|seid) (?:ein |eine |so )?(?:dumm|idiot|versager|abschaum|trottel)\w*\b", re.I),
+    re.compile(r"\b(?:tu es|t'es|vous êtes) (?:un |une |des )?(?:idiot|con|connard|débile|nul)\w*\b", re.I),
+    re.compile(r"\beres (?:un |una )?(?:idiota|imbécil|estúpid[oa]|basura)\b", re.I),
+    re.compile(r"\b(?:halt die fresse|ferme ta gueule|cállate la boca|sta' zitto)\b", re.I),
+    re.compile(r"\b[a-z]*[@$#0][a-z]*(?:hole|tch|ck|unt)\b", re.I),
 ]
 
 
@@ -112,17 +125,15 @@ class Lexicon:
         return np.column_stack([*[o.astype(int) for o in out], np.where(lexical, 0, -1)])
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic, each voter's chance to vote by class, correlations given the class).
-    ``known``: 0 or 1 for labelled texts, else -1."""
+def label_model(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of toxic, each voter's chance to vote by class, correlations given the class)."""
     spoke = (votes != 0).astype(float)
     post = np.where(spoke[:, :-1].any(axis=1), 0.7, 0.02)
     relation = np.eye(votes.shape[1])
     for _ in range(rounds):
-        believed = np.where(known >= 0, known, post)
-        weight = np.stack([1 - believed, believed])
+        weight = np.stack([1 - post, post])
         chance = (weight @ spoke + 0.5) / (weight.sum(axis=1, keepdims=True) + 1)
-        prior = np.clip(believed.mean(), 0.005, 0.995)
+        prior = np.clip(post.mean(), 0.005, 0.995)
         strong = np.where(np.abs(relation) > 0.1, np.abs(relation), 0.0)
         np.fill_diagonal(strong, 0)
         part = spoke / (1 + spoke @ strong)
@@ -151,9 +162,11 @@ class Model:
     def __init__(self, lexicon: Lexicon, weights: np.ndarray):
         self.lexicon, self.weights = lexicon, weights
 
-    def score(self, text: str | None) -> float:
-        z = float(self.weights[self.lexicon.find(text)].sum() + self.weights[-1])
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        own = [self.lexicon.find(t) for t in texts]
+        at = np.repeat(np.arange(len(own)), [len(f) for f in own])
+        z = np.bincount(at, weights=self.weights[np.fromiter((k for f in own for k in f), dtype=np.int64, count=len(at))], minlength=len(own)) + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def mine(texts: DataFrame) -> list[tuple[str, bool]]:
@@ -178,14 +191,14 @@ def mine(texts: DataFrame) -> list[tuple[str, bool]]:
     return sorted((r.entry, r.toxic >= STRONG and not r.clean) for r in best.collect())
 
 
-def fit_arrays(lexicon: Lexicon, found: list[list[int]], known: list[int]) -> Model:
-    """The label model and the classifier from what each fitting text holds; ``known`` as in ``label_model``."""
+def fit_arrays(lexicon: Lexicon, found: list[list[int]]) -> Model:
+    """The label model and the classifier from what each fitting text holds."""
     x = np.zeros((len(found), lexicon.width), dtype=np.float32)
     for row, own in zip(x, found, strict=True):
         row[own] = 1
     if not len(x):
         return Model(lexicon, np.append(np.full(lexicon.width, 2.0), -3.0))
-    post, _, _ = label_model(lexicon.votes(x), np.array(known))
+    post, _, _ = label_model(lexicon.votes(x))
     return Model(lexicon, fit_linear(x, post))
 
 
@@ -201,11 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2)
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [lexicon.find(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "toxic", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "found"])
 
-    rows = kept.union(unlabelled).mapInArrow(find, "doc_id long, toxic int, found array<int>").collect()  # bounded by the two limits
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.toxic))
-    return fit_arrays(lexicon, [r.found for r in rows], [r.toxic for r in rows])
+    rows = kept.union(unlabelled).mapInArrow(find, "doc_id long, found array<int>").collect()  # bounded by the two limits
+    return fit_arrays(lexicon, sorted(list(r.found) for r in rows))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -214,6 +226,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shared.value.score(t) for t in texts], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shared.value.scores(texts), pa.float64())], names=["doc_id", "score"])
 
     return common.texts_of(docs).mapInArrow(work, "doc_id long, score double")

@@ -53,10 +53,21 @@ def test_label_model_trusts_voters_that_agree():
     truth = rng.random(600) < 0.3
     good = [np.where(truth & (rng.random(600) < 0.8), 1, 0) for _ in range(3)]
     votes = np.column_stack([*good, np.where(np.any(good, axis=0), 0, -1)])
-    post, _, _ = toxicity.label_model(votes, np.full(600, -1))
+    post, _, _ = toxicity.label_model(votes)
     assert auc(post, truth.astype(int)) > 0.95
 
 
+def test_label_model_does_not_count_a_repeated_voter_twice():
+    rng = np.random.default_rng(4)
+    truth = rng.random(2000) < 0.3
+    bad = np.where(rng.random(2000) < 0.25, 1, 0)  # votes at random, five times the same
+    good = [np.where(truth & (rng.random(2000) < 0.7) | (rng.random(2000) < 0.02), 1, 0) for _ in range(3)]
+    votes = np.column_stack([*good, *[bad] * 5, np.where(np.any(good, axis=0) | (bad > 0), 0, -1)])
+    post, chance, relation = toxicity.label_model(votes)
+    assert relation[3, 4] > 0.9 and abs(relation[0, 3]) < 0.5
+    assert auc(post, truth.astype(int)) > 0.8 and (chance[1, :3] > chance[0, :3]).all()
+
+
 def test_risk_is_fitted_without_negatives():
     rng = np.random.default_rng(2)
     p = rng.normal(1.5, 1, (400, 4)).astype(np.float32)
