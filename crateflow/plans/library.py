@@ -109,8 +109,9 @@ SELECT day, n, CASE WHEN before > 0 THEN round(100 * CAST(n - before AS DOUBLE)
   SELECT day, n, lag(n) OVER (ORDER BY day) AS before FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) d) x""")
 shared("loudest_window", """
 WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CAST(floor(coalesce(value, 0)) AS BIGINT) AS v FROM events),
-s AS (SELECT user_id, k, CAST(sum(v * v) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS BIGINT) AS energy FROM f)
-SELECT user_id, k, energy FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY energy DESC, k) AS r FROM s) x WHERE r = 1""")
+s AS (SELECT user_id, k, CAST(sum(v * v) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS BIGINT) AS energy,
+  count(*) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS width FROM f)
+SELECT user_id, k, energy FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY energy DESC, k) AS r FROM s WHERE width = 5) x WHERE r = 1""")
 shared("second_drop", """
 SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase') x WHERE k = 2""")
 # --- orders ------------------------------------------------------------------------------
@@ -171,16 +172,6 @@ shared("dead_man", "SELECT mode, max(finished_at) AS last_at, (SELECT max(finish
 # --- scalar functions --------------------------------------------------------------------
 shared("bpm_bucket", "SELECT id, CAST(floor(bpm / 5) * 5 AS BIGINT) AS low, CAST(CAST(floor(bpm / 5) * 5 AS BIGINT) AS STRING) || '-' || CAST(CAST(floor(bpm / 5) * 5 AS BIGINT) + 5 AS STRING) AS label FROM tracks WHERE bpm IS NOT NULL")
 # --- similarity --------------------------------------------------------------------------
-shared("cosine_neighbours", """
-WITH q AS (SELECT vec_id AS query_id, embedding AS q, label FROM embeddings WHERE vec_id % 100 = 0)
-SELECT query_id, vec_id, score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM (
-  SELECT query_id, e.vec_id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> query_id) s) x WHERE k <= 10""",
-       """
-WITH q AS (SELECT vec_id AS query_id, embedding AS q, label FROM embeddings WHERE vec_id % 100 = 0)
-SELECT query_id, vec_id, score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM (
-  SELECT query_id, e.vec_id, round(aggregate(zip_with(q, e.embedding, (x, y) -> CAST(x AS DOUBLE) * y), 0.0D, (a, x) -> a + x)
-    / sqrt(aggregate(q, 0.0D, (a, x) -> a + CAST(x AS DOUBLE) * x) * aggregate(e.embedding, 0.0D, (a, x) -> a + CAST(x AS DOUBLE) * x)), 6) AS score
-  FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> query_id) s) x WHERE k <= 10""")
 shared("camelot_distance", """
 SELECT id, CASE WHEN key_camelot IS NULL THEN NULL ELSE least(abs(n - 8), 12 - abs(n - 8)) + CASE WHEN l = 'A' THEN 0 ELSE 1 END END AS distance FROM (
   SELECT id, key_camelot, CAST(regexp_extract(coalesce(key_camelot, '0A'), '^([0-9]+)', 1) AS BIGINT) AS n, substr(coalesce(key_camelot, 'A'), length(coalesce(key_camelot, 'A')), 1) AS l FROM tracks) x""")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crateflow.functions import music, scoring, style, text, tracklist, urls
-from crateflow.operators import fuzzy, library, merges, ranking, recordings, rules, scores, sets, taste, trends
+from crateflow.operators import fuzzy, library, merges, ranking, recordings, rules, scores, sets, taste, trends, vectors
 
 from . import registry, sqlplan, views
 
@@ -382,6 +382,16 @@ def text_bpm(table):
     return t.select("id", music.estimate_bpm(title, F.lit(None).cast("array<string>"), F.lit("")).alias("said"), music.bpm_range_label(F.col("bpm") - 60).alias("label"))
 
 
+@query("""
+WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.label % 2 = q.label % 2 AND e.vec_id <> q.vec_id)
+SELECT query_id, vec_id, score FROM s WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""")
+def cosine_neighbours(table):
+    """Every vector whose id is divisible by 100, against all rows of its model."""
+    rows = table("embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("model"), F.col("embedding").alias("vector"))
+    return vectors.similar(rows.where("id % 100 = 0"), rows, top=10).select("query_id", F.col("id").alias("vec_id"), "score")
+
+
 # --- without SQL: checked on small tables by the tests ------------------------------------------
 @query()
 def harmonic_sets(table):

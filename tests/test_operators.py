@@ -342,3 +342,25 @@ def test_taste_examples(spark):
     tracks = spark.createDataFrame([(1, 11, "x", None, None), (2, 11, None, "dislike", None), (3, 13, None, "like", None), (4, 14, None, None, 4), (5, 15, None, None, 3), (6, 16, None, "later", None), (7, 17, None, "dislike", None), (8, 18, None, None, None), (9, 19, "x", None, None), (10, 20, None, None, None)], "id long, sc_id long, adopted string, feedback string, rb_rating int")
     votes = spark.createDataFrame([(18, "dislike"), (15, "later"), (16, "like")], "sc_id long, value string")
     assert rows(taste.examples(embedded, tracks, votes), "id", "label") == [(1, 1), (2, 1), (3, 1), (4, 1), (6, 1), (7, 0), (8, 0)]
+
+
+def test_vectors_alike(spark):
+    from crateflow.operators import vectors
+
+    rng = np.random.default_rng(8)
+    data = [(k, k % 2, rng.normal(0, 1, 4).round(1).tolist()) for k in range(60)] + [(60, 0, [0.0] * 4), (61, 0, [1.0]), (62, 0, None)]
+    data[4] = (4, 0, data[2][2])
+    rows_ = spark.createDataFrame(data, "id long, model int, vector array<double>")
+    got = [(r.query_id, r.rank, r.id, r.score) for r in vectors.similar(rows_.where("id % 20 = 0"), rows_, top=3, cells=5).collect()]
+    want = []
+    for q, m, v in data:
+        if q % 20 == 0:
+            scored = []
+            for k, n, w in data:
+                if k != q and n == m and w is not None and len(w) == len(v):
+                    norm = np.linalg.norm(v) * np.linalg.norm(w)
+                    c = round(float(np.dot(v, w) / norm), 6) if norm > 0 else 0.0
+                    if c >= 0:
+                        scored.append((-c, k))
+            want += [(q, r + 1, k, -c) for r, (c, k) in enumerate(sorted(scored)[:3])]
+    assert [(a, b, c, pytest.approx(d, abs=2e-6)) for a, b, c, d in sorted(want)] == sorted(got)
