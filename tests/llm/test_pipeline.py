@@ -25,7 +25,7 @@ def test_stages_in_order(spark, tmp_path):
 
 def test_stages_of_odd_and_empty_tables(spark, docs, nothing, tmp_path):
     for given in (docs, nothing):
-        for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:]:
+        for name, stage in corpus_pipeline.STAGES:
             assert stage(spark, given, SF).count() <= given.count(), name
 
 
