@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bitmap, common, components, shingles
+from . import bitmap, common, components, ngram_join, shingles
 
 PERMUTATIONS, BANDS = 96, 16
 ROWS = PERMUTATIONS // BANDS
-#: Rounds in which the members of a band are compared with one of them.
-PIVOTS = 3
+#: Rounds in which the members of a band are compared with one of them; members of a band that are
+#: compared with each other after that.
+PIVOTS, FEW = 3, 16
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -216,8 +217,10 @@ def classes(docs: DataFrame, rows: DataFrame, least: float = 0.8) -> DataFrame:
     equal shingle sets and pairs of at least ``least`` that share a band lead to. ``rows``: ``signed(docs)``.
 
     In ``PIVOTS`` rounds the members of a band are compared with one of them only, first the
-    smallest id, then one of any component. Members of different components that still share a
-    band are then all compared, but for those whose sizes rule ``least`` out."""
+    smallest id, then one of any component. Where members of different components still share a
+    band, those of small bands (``FEW``) are compared with each other, but for those whose sizes
+    rule ``least`` out; those of larger bands, which share common passages, go through the exact
+    prefix join of ``ngram_join`` (at ``least`` 0.8, its own), which makes no pairs of a group."""
     shared = docs.sparkSession.sparkContext.broadcast
 
     def alike(n: str, m: str) -> Column:
@@ -233,13 +236,14 @@ def classes(docs: DataFrame, rows: DataFrame, least: float = 0.8) -> DataFrame:
     tree = None
     for k in range(PIVOTS + 1):
         rooted = own.withColumn("root", F.col("rep")) if tree is None else own.join(tree, own["rep"] == tree["node"], "left").select("rep", "n", "band", F.coalesce("root", "rep").alias("root"))
-        pivot = rooted.groupBy("band").agg(F.min(F.struct((F.xxhash64("root", F.lit(k)) if k else F.lit(0)).alias("h"), "rep", "n", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "p")
+        least_root = F.min(F.struct((F.xxhash64("root", F.lit(k)) if k else F.lit(0)).alias("h"), "rep", "n", "root"))
+        pivot = rooted.groupBy("band").agg(least_root.alias("p"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "p", "size")
         mixed = rooted.join(pivot, "band")
         if k < PIVOTS:
             pairs = mixed.where((F.col("root") != F.col("p.root")) & alike("n", "p.n")).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
         else:
             mixed = common.stored(mixed.drop("p"), "mixed", parts)
-            a, b = mixed.alias("a"), mixed.alias("b")
+            a, b = mixed.where(F.col("size") <= FEW).alias("a"), mixed.alias("b")
             meets = (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.rep") < F.col("b.rep")) & alike("a.n", "b.n")
             pairs = a.join(b, meets).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
         found = common.stored(_verified(pairs.coalesce(parts).distinct(), sets, least), "found", parts)
@@ -247,7 +251,12 @@ def classes(docs: DataFrame, rows: DataFrame, least: float = 0.8) -> DataFrame:
             tree = components.components(found)
         elif not found.isEmpty():
             tree = components.components(tree.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
-    common.remove(held, own, wanted, sets)
+    crowded = mixed.where(F.col("size") > FEW).select(F.col("rep").alias("id")).distinct()
+    full = common.stored(sets.dropDuplicates(["id"]).join(crowded, "id").select(F.col("id").alias("set"), F.col("id").alias("rep"), F.col("s").alias("tokens")), "crowded", parts)
+    if not full.isEmpty():
+        more = ngram_join.component_stars(full, parts).union(tree)
+        tree = components.components(more.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    common.remove(held, own, wanted, sets, mixed, full)
     grouped = reps.join(tree, reps["rep"] == tree["node"], "left").where("copies > 1 OR node IS NOT NULL").select("hi", "lo", F.coalesce("root", "rep").alias("class_id"))
     return common.stored(known.select("doc_id", "hi", "lo").join(grouped, ["hi", "lo"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "classes")
 

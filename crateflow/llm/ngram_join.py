@@ -194,15 +194,8 @@ def _matched(pairs: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
     return both.where(F.size(F.array_intersect("x", "y")) >= F.least("k", "l")).select("a", "b")
 
 
-def link_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    sets = common.stored(_prefixes(docs), "prefixes")
-    parts = common.parts_for(sets.count())
-    classes = common.stored(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes", parts)
-
-    # The whole sets of the representatives that may link.
-    wanted = common.stored(classes.join(_survivors(sets, parts).withColumnRenamed("set", "lo"), "lo").where("rep is not null").select(F.col("rep").alias("doc_id")).coalesce(parts).distinct(), "wanted", parts)
-    full = common.stored(_whole(docs, wanted), "sets")
+def component_stars(full: DataFrame, parts: int) -> DataFrame:
+    """node, root of the representatives of sets (set, rep, tokens) that link, by steps 2 to 4."""
     lists = common.stored(_adaptive(full, parts), "lists", parts)
     names = full.select("set", "rep")
 
@@ -223,7 +216,21 @@ def link_classes(docs: DataFrame) -> DataFrame:
     own = common.stored(lists.join(roots.groupBy("set").agg(F.min("root").alias("root")), "set"), "own", parts)
     pairs = common.stored(_candidates(own, parts), "candidates", parts)
     tree = _grown(tree, _linked(_matched(pairs, lists, parts), full, parts), parts)
-    common.remove(wanted, full, lists, own, pairs, roots)
+    common.remove(lists, own, pairs, roots)
+    return tree
+
+
+def link_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    sets = common.stored(_prefixes(docs), "prefixes")
+    parts = common.parts_for(sets.count())
+    classes = common.stored(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes", parts)
+
+    # The whole sets of the representatives that may link.
+    wanted = common.stored(classes.join(_survivors(sets, parts).withColumnRenamed("set", "lo"), "lo").where("rep is not null").select(F.col("rep").alias("doc_id")).coalesce(parts).distinct(), "wanted", parts)
+    full = common.stored(_whole(docs, wanted), "sets")
+    tree = component_stars(full, parts)
+    common.remove(wanted, full)
     labels = classes.join(tree, classes["rep"] == tree["node"], "left").select("hi", "lo", F.coalesce("root", "rep").alias("component"))
     return sets.select("doc_id", "n", "hi", "lo").join(labels, ["hi", "lo"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")

@@ -70,10 +70,22 @@ def test_classes_hold_nearly_every_alike_pair_and_no_other(spark):
     # Classes are never coarser than the true ones.
     true = by_hand(texts, pairs)
     assert all(true[k] == true[c] for k, c in got.items()) and all(c <= k for k, c in got.items())
-    # They are the ones that verified pairs sharing a band make.
+    # Every verified pair that shares a band is inside a class.
     signs = fingerprints.signatures(texts).reshape(len(texts), fingerprints.BANDS, -1)
-    near = [(a, b) for a, b in pairs if (signs[a] == signs[b]).all(axis=1).any()]
-    assert list(map(got.__getitem__, range(len(texts)))) == by_hand(texts, near)
+    assert all(got[a] == got[b] for a, b in pairs if (signs[a] == signs[b]).all(axis=1).any())
+
+
+def test_texts_that_share_a_passage_make_no_pairs_and_lose_none(spark):
+    rng = random.Random(6)
+    passage = [f"p{j}" for j in range(150)]
+    texts = [" ".join(passage + [f"own{k}-{j}" for j in range(60)]) for k in range(120)]  # likeness about 0.55
+    texts += [" ".join(passage + [f"own{k}-{j}" for j in range(58)] + ["x", f"y{rng.randrange(9)}"]) for k in range(0, 120, 4)]
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if alike(sets[a], sets[b])]
+    assert len(pairs) == 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in fingerprints.fingerprints(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == by_hand(texts, pairs)
 
 
 def test_edited_texts_are_those_of_the_sql(spark):
