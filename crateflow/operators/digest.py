@@ -81,7 +81,7 @@ def ordered(digest: DataFrame, sort: str = "", descending: bool = False) -> Data
     status = F.when(F.col("in_collection"), "collection").when(F.col("in_inbox"), "inbox").otherwise("open")
     value = {"date": F.col("reported_at").cast("string"), "status": status, "plays": F.col("plays"), "likes": F.col("likes")}.get(sort)
     value = F.lower(F.coalesce(sort, F.lit(""))) if value is None else value
-    empty = value.cast("string") == ""
+    empty = F.coalesce(value.cast("string"), F.lit("")) == ""
     return digest.orderBy(empty.asc(), value.desc() if descending else value.asc(), *newest)
 
 

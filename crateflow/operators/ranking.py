@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import storage
+
 #: Ranges that values are dealt to.
 RANGES = 64
 
@@ -17,22 +19,31 @@ def _range_of(value: Column, cuts: list) -> Column:
 
 def percent_ranks(df: DataFrame, columns: list[str], ranges: int = RANGES) -> DataFrame:
     """``df`` with, for each of ``columns``, ``<column>_rank``: the share in per cent of all rows whose
-    value is at most the row's. Null values have no rank and do not count.
+    value is at most the row's. Null values have no rank and do not count. Columns of one call are
+    compared as their common type.
 
-    Rows are counted by value first, so equal values meet in one row; these counts are dealt to
-    ranges of values, summed inside each, and raised by what the lower ranges hold."""
+    All columns are stacked and counted by value in one pass, so equal values meet in one row; the
+    counts are dealt to ranges of values, summed inside each and raised by what lower ranges hold. The
+    ranks, one row a distinct value, are stored; each column is looked up there. A value that most
+    rows share is a hot key of that look-up only: the many rows are its side that may be split."""
     if not columns:
         return df
-    cuts = df.agg(*[F.percentile_approx(c, [k / ranges for k in range(1, ranges)], 100 * ranges).alias(c) for c in columns]).first()
-    base = df  # counted from what was given, so that ranks of one column do not work out the others'
-    for c in columns:
-        edges = sorted(set(cuts[c] or []))
-        counts = base.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")).withColumn("range", _range_of(F.col("v"), edges))
-        # At most ``ranges`` rows.
-        sums = counts.groupBy("range").agg(F.sum("n").alias("all")).select("range", (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("before"), F.sum("all").over(Window.partitionBy(F.lit(1))).alias("total"))
-        inside = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("range").orderBy("v")))
-        ranked = inside.join(F.broadcast(sums), "range").select("v", (100.0 * (F.col("upto") + F.col("before")) / F.col("total")).alias(f"{c}_rank"))
-        df = df.join(ranked, F.col(c) == F.col("v"), "left").drop("v")
+    cuts = df.agg(*[F.percentile_approx(c, [k / ranges for k in range(1, ranges)], 100 * ranges).alias(f"cuts_{k}") for k, c in enumerate(columns)]).first()
+    placed = F.lit(0)
+    for k in range(len(columns)):
+        placed = F.when(F.col("column_") == k, _range_of(F.col("value_"), sorted(set(cuts[k] or [])))).otherwise(placed)
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("column_"), F.col(c).alias("value_")) for k, c in enumerate(columns)])).alias("cell_")).select("cell_.*")
+    counts = stacked.where("value_ is not null").groupBy("column_", "value_").agg(F.count("*").alias("rows_")).withColumn("range_", placed)
+    inside = counts.withColumn("upto_", F.sum("rows_").over(Window.partitionBy("column_", "range_").orderBy("value_")))
+    # At most ``ranges`` rows a column.
+    last = inside.groupBy("column_", "range_").agg(F.max("upto_").alias("all_"))
+    of_column = Window.partitionBy("column_")
+    sums = last.select("column_", "range_", (F.sum("all_").over(of_column.orderBy("range_")) - F.col("all_")).alias("before_"), F.sum("all_").over(of_column).alias("total_"))
+    rank = 100.0 * (F.col("upto_") + F.col("before_")) / F.col("total_")
+    ranked = storage.stored(inside.join(F.broadcast(sums), ["column_", "range_"]).select("column_", "value_", rank.alias("rank_")), "ranks")
+    for k, c in enumerate(columns):
+        own = ranked.where(F.col("column_") == k).select(F.col("value_").alias(f"value_{k}_"), F.col("rank_").alias(f"{c}_rank"))
+        df = df.join(own, F.col(c) == F.col(f"value_{k}_"), "left").drop(f"value_{k}_")
     return df
 
 

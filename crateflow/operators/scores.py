@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crateflow.functions import scoring, urls
+from crateflow.functions import scoring, text, urls
 
-from . import ranking
+from . import ranking, storage
 
 #: Weights of the five signals.
 WEIGHTS = {"like_ratio": 0.35, "repost_ratio": 0.25, "velocity": 0.20, "comment_ratio": 0.10, "recency": 0.10}
@@ -19,10 +19,15 @@ def score(items: DataFrame, as_of: Column, reputations: DataFrame | None = None,
     """``items`` with ratios, velocity, reasons, score and percentile, best first.
 
     Columns used: id, plays, likes, reposts, comments, created_at, and where present artist, artist_url,
-    title, description, reference_hit. ``reputations``: artist_key, likes, downloads, dislikes, stars. With
+    title, description, tags (a list, or JSON text of one), reference_hit. ``reputations``: artist_key, likes, downloads, dislikes, stars. With
     ``apply_filter`` blocked accounts and rarely played tracks leave the pool before, and poor ones after
     ranking; lists made by hand are scored without."""
     has = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("string")
+    none = F.array().cast("array<string>")
+    tags = none
+    if "tags" in items.columns:  # a list, or JSON text of one; each tag is searched by itself
+        own = F.col("tags") if items.schema["tags"].dataType.typeName() == "array" else text.json_tags(F.col("tags"))
+        tags = F.coalesce(own, none)
     pool = items
     if apply_filter:
         slugs = [s.lower().rstrip("/").rsplit("/", 1)[-1] for s in blocked if s]
@@ -32,7 +37,7 @@ def score(items: DataFrame, as_of: Column, reputations: DataFrame | None = None,
     pool = pool.select(
         "*", scoring.ratio(F.col("likes"), F.col("plays")).alias("like_ratio"), scoring.ratio(F.col("reposts"), F.col("plays")).alias("repost_ratio"), scoring.ratio(F.col("comments"), F.col("plays")).alias("comment_ratio"),
         scoring.velocity(F.col("likes"), F.col("created_at"), as_of).alias("velocity"), scoring.recency(F.col("created_at"), as_of, most_days).alias("recency"),
-        scoring.spam_reasons(F.col("reposts"), F.col("likes"), F.col("comments"), F.array(has("title"), has("description")), phrases).alias("reasons"),
+        scoring.spam_reasons(F.col("reposts"), F.col("likes"), F.col("comments"), F.concat(F.array(has("title"), has("description")), tags), phrases).alias("reasons"),
     )
     if reputations is not None:
         known = reputations.select(F.col("artist_key").alias("key_"), scoring.reputation_delta(F.col("likes"), F.col("downloads"), F.col("dislikes"), F.col("stars")).alias("reputation"))
@@ -47,7 +52,7 @@ def score(items: DataFrame, as_of: Column, reputations: DataFrame | None = None,
         total += F.when(F.col("reference_hit"), reference_boost).otherwise(0.0)
     total += F.when(F.size("reasons") > 0, -spam_penalty).otherwise(0.0) + F.coalesce("reputation", F.lit(0.0))
     # Sums of doubles may differ in their last digits, which must not part equal scores.
-    scored = ranking.percent_ranks(ranked.withColumn("score", F.round(total, 9)), ["score"]).withColumnRenamed("score_rank", "percentile")
+    scored = ranking.percent_ranks(storage.stored(ranked.withColumn("score", F.round(total, 9)), "scores"), ["score"]).withColumnRenamed("score_rank", "percentile")
     if apply_filter:
         scored = scored.where((F.col("like_ratio") >= min_like_ratio) & (F.col("percentile") >= min_percentile))
     return scored.orderBy(F.desc("score"), "id")

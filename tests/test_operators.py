@@ -26,6 +26,11 @@ def test_percent_ranks_are_shares_of_values_not_above(spark):
     for k, v in enumerate(values):
         assert got[k] is None if v is None else got[k] == pytest.approx(100 * sum(w <= v for w in known) / len(known))
     assert ranking.percent_ranks(df.limit(0), ["v"]).count() == 0
+    clashing = df.selectExpr("id", "v AS value_", "-v AS rank_", "1 AS column_", "2 AS v")  # names that the work itself uses
+    both = {r.id: (r.value__rank, r.rank__rank, r.v_rank) for r in ranking.percent_ranks(clashing, ["value_", "rank_", "v"], ranges=3).collect()}
+    for k, v in enumerate(values):
+        up, down = (None, None) if v is None else (pytest.approx(100 * sum(w <= v for w in known) / len(known)), pytest.approx(100 * sum(w >= v for w in known) / len(known)))
+        assert both[k] == (up, down, 100.0)
 
 
 def test_running_sum_and_eviction(spark):
@@ -58,6 +63,11 @@ def test_scores_add_up(spark):
     assert {k: r.percentile for k, r in got.items()} == {k: 100 * sum(v <= want[k] for v in want.values()) / 4 for k in want}
     assert 2 not in {r.id for r in scores.score(items, F.lit(now), blocked=("https://x/BAD/",), min_like_ratio=0.0, min_percentile=0.0).collect()}
     assert len(scores.score(items, F.lit(now), apply_filter=False).collect()) == 5
+    for tags in ("array('x', 'The PROMO network', null)", "'[\"promo network\"]'"):  # phrases are searched in each tag by itself
+        tagged = items.withColumn("tags", F.when(F.col("id") == 5, F.expr(tags)))
+        assert {r.id for r in scores.score(tagged, F.lit(now), apply_filter=False).where("size(reasons) > 0").collect()} == {3, 5}
+    apart = items.withColumn("tags", F.expr("array('promo', 'network')"))
+    assert {r.id for r in scores.score(apart, F.lit(now), apply_filter=False).where("size(reasons) > 0").collect()} == {3}
 
 
 def test_reputations_count_each_track_once(spark):
@@ -120,6 +130,8 @@ def test_digest(spark):
     ids = lambda df: [r.sc_id for r in df.collect()]
     assert sorted(ids(digest.search(d, status="open"))) == [5, 6] and ids(digest.search(d, kind="gate")) == [5] and sorted(ids(digest.search(d, feedback="none"))) == [2, 3, 4, 5, 6] and sorted(ids(digest.search(d, query="FREE"))) == [2]
     assert ids(digest.ordered(d)) == [6, 5, 4, 3, 2, 1] and ids(digest.ordered(d, "feedback")) == [1, 6, 5, 4, 3, 2] and ids(digest.ordered(d, "feedback", True)) == [1, 6, 5, 4, 3, 2]
+    dated = spark.createDataFrame([(1, "2024-01-02"), (2, None), (3, "2024-01-01")], "sc_id int, reported_at string").selectExpr("sc_id", "reported_at", "false AS in_inbox", "false AS in_collection")
+    assert ids(digest.ordered(dated, "date")) == [3, 1, 2] and ids(digest.ordered(dated, "date", True)) == [1, 3, 2]  # a row without a date comes last
     assert ids(digest.page(digest.ordered(d), 2, 1)) == [5, 4] and ids(digest.page(digest.ordered(d), -1)) == [] and len(ids(digest.page(d, 10**6))) == 6
 
 
