@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import automata
 
 #: Bytes of a chunk; bytes of text counted together; states and pieces that a worker keeps.
-CHUNK, SLICE_BYTES, STATES, PIECES = 1 << 18, 4_000_000, 400_000, 600_000
+CHUNK, SLICE_BYTES, STATES, PIECES = 1 << 16, 4_000_000, 400_000, 600_000
 #: Tokens beyond which a document is over the limit.
 LIMIT = 512
 
@@ -273,7 +273,7 @@ class Tokenizer:
             lead, kind = lead[~gone[lead]], kind[~gone[lead]]
         after = np.append(kind[1:], END)
         visible = after <= OTHER
-        symbol = np.choose(kind, [_L, _N, _O, _W, _W, _E, _E]).astype(np.int8)
+        symbol = np.array([_L, _N, _O, _W, _W, _E, _E], dtype=np.int8)[kind]
         symbol[(kind == BLANK) & visible] = _BV
         symbol[(kind == SPACE) & visible] = _SV
         quote = np.flatnonzero((data[lead] == 0x27) & (after == LETTER))
