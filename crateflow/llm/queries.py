@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fingerprints, language, licenses, mixing, ngram_join, quality, repair, runs, sampling, token_counts, topk, toxicity
+from . import bpe, common, fingerprints, infill, language, licenses, mixing, ngram_join, quality, repair, runs, sampling, token_counts, topk, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(common.table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.fill_in_middle(common.table(spark, sf_dir, "documents")))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"))
 
@@ -76,5 +80,5 @@ def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(runs.collapsed(common.table(spark, sf_dir, "documents"), plant=True))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_quality, op4_licenses, op5_byte_bpe, op6_exact_topk, op7_fingerprints, op8_language, op9_token_ids, op10_pfair_mix, op12_token_counts, op13_period_runs, license_base_places, edited_text_hashes)}
-SQL = {"op2_ngram_join": ngram_join.SQL, "op6_exact_topk": topk.SQL, "op10_pfair_mix": mixing.SQL, "license_base_places": licenses.BASE_SQL, "edited_text_hashes": fingerprints.EDITED_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_quality, op4_licenses, op5_byte_bpe, op6_exact_topk, op7_fingerprints, op8_language, op9_token_ids, op10_pfair_mix, op11_fill_in_middle, op12_token_counts, op13_period_runs, license_base_places, edited_text_hashes)}
+SQL = {"op11_fill_in_middle": infill.SQL, "op2_ngram_join": ngram_join.SQL, "op6_exact_topk": topk.SQL, "op10_pfair_mix": mixing.SQL, "license_base_places": licenses.BASE_SQL, "edited_text_hashes": fingerprints.EDITED_SQL}
