@@ -16,7 +16,7 @@ LANE = 128
 
 def prefix_maps(maps: np.ndarray) -> np.ndarray:
     """``maps[s, k]``: the state after lane k when entered in s. Gives the same for lanes 0 to k."""
-    out, reach = maps.copy(), 1
+    out, reach = maps.astype(np.intp), 1
     while reach < out.shape[1]:
         out[:, reach:] = np.take_along_axis(out[:, reach:], out[:, :-reach], axis=0)
         reach *= 2
@@ -28,14 +28,17 @@ class Scan:
 
     def __init__(self, table: np.ndarray, symbols: np.ndarray, lane: int = LANE):
         kinds, self.states = table.shape
+        if (kinds + 1) * self.states >= 1 << 15:
+            raise ValueError("the automaton is too large")
         self.count, self.lane = len(symbols), lane
         # A symbol more that leaves every state as it is fills the last lane.
-        self.table = np.concatenate([table, np.arange(self.states, dtype=table.dtype)[None]]).astype(np.intp).ravel()
+        self.table = np.concatenate([table, np.arange(self.states, dtype=table.dtype)[None]]).astype(np.int16).ravel()
         self.lanes = max(1, -(-len(symbols) // lane))
-        padded = np.full(self.lanes * lane, kinds, dtype=np.intp)
+        padded = np.full(self.lanes * lane, kinds, dtype=np.int16)
         padded[: len(symbols)] = symbols
-        self.columns = np.ascontiguousarray(padded.reshape(self.lanes, lane).T) * self.states
-        state = np.repeat(np.arange(self.states)[:, None], self.lanes, axis=1)
+        self.columns = np.ascontiguousarray(padded.reshape(self.lanes, lane).T)
+        self.columns *= np.int16(self.states)
+        state = np.repeat(np.arange(self.states, dtype=np.int16)[:, None], self.lanes, axis=1)
         for column in self.columns:
             state = self.table[column + state]
         self.upto = prefix_maps(state)
@@ -46,7 +49,7 @@ class Scan:
 
     def states_before(self, state: int) -> np.ndarray:
         """The state before each symbol, begun in ``state``."""
-        now = np.concatenate([[state], self.upto[state, :-1]])
+        now = np.concatenate([[state], self.upto[state, :-1]]).astype(np.int16)
         out = np.empty((self.lane, self.lanes), dtype=np.int8)
         for k, column in enumerate(self.columns):
             out[k] = now

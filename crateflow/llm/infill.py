@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import automata
 
 #: Bytes of a chunk, and of text that is cut together.
-CHUNK, SLICE_BYTES = 1 << 16, 4_000_000
+CHUNK, SLICE_BYTES = 1 << 16, 1_000_000
 #: Marks of prefix, suffix and middle.
 SENTINELS = ("<P>", "<S>", "<M>")
 #: Of a hundred documents so many are rearranged, and of those so many with the suffix first.
