@@ -99,19 +99,10 @@ shared("sessions", """
 WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
 SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM r GROUP BY user_id, run HAVING count(*) >= 3""")
-shared("quiet_islands", """
-WITH e AS (SELECT user_id, event_id, ts, value < 20 AS quiet, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
-  row_number() OVER (PARTITION BY user_id, value < 20 ORDER BY ts, event_id) AS j FROM events)
-SELECT user_id, min(k) AS first_k, max(k) AS last_k, count(*) AS n FROM e WHERE quiet GROUP BY user_id, k - j HAVING count(*) >= 2""")
 shared("last_run_per_mode", "SELECT mode, max(id) AS id, max_by(finished_at, id) AS finished_at, max_by(ok, id) AS ok FROM runs GROUP BY mode")
 shared("period_change", """
 SELECT day, n, CASE WHEN before > 0 THEN round(100 * CAST(n - before AS DOUBLE) / before, 4) END AS change FROM (
   SELECT day, n, lag(n) OVER (ORDER BY day) AS before FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) d) x""")
-shared("loudest_window", """
-WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CAST(floor(coalesce(value, 0)) AS BIGINT) AS v FROM events),
-s AS (SELECT user_id, k, CAST(sum(v * v) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS BIGINT) AS energy,
-  count(*) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS width FROM f)
-SELECT user_id, k, energy FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY energy DESC, k) AS r FROM s WHERE width = 5) x WHERE r = 1""")
 shared("second_drop", """
 SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase') x WHERE k = 2""")
 # --- orders ------------------------------------------------------------------------------

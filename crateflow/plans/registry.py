@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import catalog  # noqa: F401
+    from . import library, operations, series  # noqa: F401  (they register their queries)
