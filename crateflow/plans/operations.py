@@ -400,11 +400,44 @@ def harmonic_sets(table):
     return sets.order(own.withColumn("pos", F.col("id")))
 
 
-@query()
+PRINTS = """
+WITH v AS (SELECT vec_id AS id, vec_id % 97 AS seconds, [floor((coalesce(x, 0)::DOUBLE + 1) * 2147483647)::BIGINT & 4294967295 for x in embedding] AS f FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT id, seconds, f FROM v UNION ALL SELECT id + 1000000, seconds + 1, list_transform(f[1 + id % 9 :], lambda x, i: CASE WHEN i % 4 = 0 THEN xor(x, 286331153) ELSE x END) FROM v WHERE id % 3 = 0
+  UNION ALL SELECT id + 2000000, seconds, f FROM v WHERE id % 5 = 0),
+x AS (SELECT id, seconds, unnest(f) AS value, unnest(range(len(f))) AS at, len(f) AS n FROM p),
+s AS (SELECT a.id AS a, b.id AS b, a.at - b.at AS shift, sum(bit_count(xor(a.value, b.value))) AS wrong, count(*) AS m FROM x a JOIN x b ON a.id < b.id AND abs(a.seconds - b.seconds) <= 3 AND abs(a.at - b.at) <= 14 GROUP BY 1, 2, 3 HAVING count(*) >= 50),
+r AS (SELECT a, b, min(wrong / (32.0 * m)) AS errors FROM s GROUP BY 1, 2 HAVING min(wrong / (32.0 * m)) <= 0.15)
+"""
+
+
+def _prints(table) -> DataFrame:
+    """Vectors read as fingerprints, with shifted, noisy copies of a third and plain ones of a fifth."""
+    value = F.transform("embedding", lambda x: F.floor((F.coalesce(x, F.lit(0.0)).cast("double") + 1) * 2147483647).cast("long").bitwiseAND(F.lit(4294967295)))
+    v = table("embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), value.alias("fingerprint"), (F.col("vec_id") % 97).cast("double").alias("seconds"))
+    cut = F.slice("fingerprint", (1 + F.col("id") % 9).cast("int"), F.size("fingerprint"))
+    noisy = v.where("id % 3 = 0").select((F.col("id") + 1000000).alias("id"), F.transform(cut, lambda x, i: F.when(i % 4 == 3, x.bitwiseXOR(F.lit(286331153))).otherwise(x)).alias("fingerprint"), (F.col("seconds") + 1).alias("seconds"))
+    return v.unionByName(noisy).unionByName(v.where("id % 5 = 0").withColumn("id", F.col("id") + 2000000))
+
+
+@query(PRINTS + "SELECT a, b, round(errors, 6)::DOUBLE AS errors FROM r")
+def recording_pairs(table):
+    """Pairs of one recording, among vectors read as fingerprints and copies of them."""
+    rows = _prints(table)
+    return recordings.same(rows, rows).where("a < b").select("a", "b", r6(F.col("errors")).alias("errors"))
+
+
+@query(PRINTS.replace("WITH v AS", "WITH RECURSIVE v AS") + """, e AS (SELECT a, b FROM r UNION SELECT b, a FROM r), c AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id)
+SELECT id, min(root) AS "group" FROM c GROUP BY 1""")
 def recording_groups(table):
-    """Groups of one recording among vectors read as fingerprints."""
-    rows = table("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor((F.coalesce(x, F.lit(0.0)) + 1) * 2147483647).cast("long")).alias("fingerprint"), (F.col("vec_id") % 50).cast("double").alias("seconds"))
-    return recordings.same(rows, rows)
+    return recordings.groups(_prints(table))
+
+
+@query(PRINTS + """, w AS (SELECT a AS id, b AS other FROM r UNION SELECT b, a FROM r)
+SELECT id AS a, min(other) AS b FROM w WHERE id >= 1000000 AND other < 1000000 GROUP BY 1""")
+def adopted_recordings(table):
+    """For each copy the first original that is the same recording."""
+    rows = _prints(table)
+    return recordings.first_same(rows.where("id >= 1000000"), rows.where("id < 1000000"))
 
 
 @query()

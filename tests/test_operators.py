@@ -163,6 +163,32 @@ def test_recordings(spark):
     assert all(list(r.f) == list(r.fingerprint) for r in coded)
 
 
+def test_recordings_by_index_are_those_of_all_pairs(spark):
+    """Copies shifted and spoilt up to the bound, silence of a third of the rows, and rows of silence alone."""
+    rng = np.random.default_rng(3)
+    prints = []
+    for k in range(30):
+        base = rng.integers(0, 1 << 32, int(rng.integers(60, 200)))
+        prints.append((10 * k, base, 200.0 + k % 4))
+        for j, share in enumerate((0.02, 0.1, 0.14)):
+            spoilt = base.copy()
+            for bit in range(32):
+                spoilt ^= (rng.random(len(base)) < share).astype(np.int64) << bit
+            prints.append((10 * k + j + 1, spoilt[int(rng.integers(0, 9)) :], 200.0 + k % 4 + 1))
+        if k % 3 == 0:
+            prints.append((10 * k + 5, np.concatenate([np.zeros(40, dtype=np.int64), rng.integers(0, 1 << 32, 60)]), 201.0))
+    prints += [(1000 + k, np.zeros(60 + k, dtype=np.int64), 201.0) for k in range(5)] + [(2000, np.zeros(20, dtype=np.int64), 201.0)]
+    table = spark.createDataFrame([(i, v.tolist(), s) for i, v, s in prints], "id long, fingerprint array<long>, seconds double")
+    want = {(a[0], b[0]): e for a, b in itertools.permutations(prints, 2) if abs(a[2] - b[2]) <= 3 and (e := recordings._errors(a[1], b[1])) <= 0.15}
+    assert all(recordings._errors(a[1], b[1]) == pytest.approx(plain_error(a[1].tolist(), b[1].tolist())) for a, b in zip(prints[::7], prints[1::7]))
+    pairs = recordings.candidates(recordings.usable(table), recordings.usable(table), longest=8)
+    assert pairs.count() < len(prints) ** 2 / 4
+    got = {(r.a, r.b): r.errors for r in recordings.same(table, table).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    crowded = {(r.a, r.b) for r in pairs.collect()}
+    assert want.keys() <= crowded  # lists that make no pairs lose none here: silence alone is compared by length
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (200, 200)]
     found = dict(rows(components.components(spark.createDataFrame(links, "a long, b long"))))
