@@ -1,8 +1,14 @@
 """Joins of names that are spelled differently, over shared words.
 
-Two names of two or more words only match when they share two, so each may leave out its most
-common word when partners are looked for: the words that half of all names hold never make
-candidates. Names of one word match names of that word alone, which is a join of their own.
+Names of several words only match when they share two, and 45 of a hundred words of the longer or 80
+of the shorter one. So of sizes x and y an overlap t(x, y) is asked for, and two names that have it
+share their two rarest common words inside the first x - t + 2 and y - t + 2 words by rarity. The pairs
+of these are the keys of the join: words that half of all names hold make no candidates unless
+another shared word stands beside them. Names of more than ``WIDE`` words, whose pairs would be many,
+go by single words of the first x - t + 1. Names of one word match names of that word alone.
+
+Names of equal words are one class; classes are joined, and their members only where pairs of rows are
+asked for.
 """
 
 from __future__ import annotations
@@ -13,35 +19,81 @@ from pyspark.sql import functions as F
 from crateflow.functions import text
 
 
+#: Words of a name up to which pairs of them are the keys.
+WIDE = 12
+
+
 def keyed(names: DataFrame, id_col: str, artist: str | None, title: str) -> DataFrame:
     """id, key (see ``text.name_key``) of rows that have a word to compare."""
     own = text.name_key(F.col(artist) if artist else F.lit(None).cast("string"), F.col(title))
     return names.select(F.col(id_col).alias("id"), own.alias("key")).where(F.size("key.tokens") > 0)
 
 
-def _rare_words(keys: DataFrame, counts: DataFrame) -> DataFrame:
-    """id, word: all words of a name but its most common one; the word of a name of one, with ``alone``."""
-    every = keys.select("id", F.size("key.tokens").alias("n"), F.explode("key.tokens").alias("word")).join(counts, "word")
-    most = every.where("n > 1").groupBy("id").agg(F.max(F.struct("count", "word"))["word"].alias("common"))
-    several = every.where("n > 1").join(most, "id").where(F.col("word") != F.col("common")).select("id", "word", F.lit(False).alias("alone"))
-    return several.union(every.where("n = 1").select("id", "word", F.lit(True).alias("alone")))
+def _plain(keys: DataFrame) -> DataFrame:
+    """id, tokens, remix, rep: the class of equal keys, by a hash of 256 bits."""
+    rows = keys.select("id", F.array_sort("key.tokens").alias("tokens"), F.array_sort("key.remix").alias("remix"))
+    return rows.withColumn("rep", F.sha2(F.concat(F.array_join("tokens", " "), F.lit("|"), F.array_join("remix", " ")), 256))
+
+
+def _classes(keys: DataFrame) -> DataFrame:
+    """rep, tokens, remix of each different key."""
+    return _plain(keys).select("rep", "tokens", "remix").distinct()
+
+
+def _asked(x: Column, y: Column) -> Column:
+    """The overlap that sizes of two words and more ask for, down to a power of two so that few differ."""
+    least = F.greatest(F.lit(2), F.least(F.ceil(F.lit(0.45) * F.greatest(x, y)), F.ceil(F.lit(0.8) * F.least(x, y))))
+    return F.pow(F.lit(2.0), F.floor(F.log2(least.cast("double")))).cast("int")
+
+
+def _word_keys(classes: DataFrame, counts: DataFrame) -> DataFrame:
+    """rep, x, asked, u, v: the keys of each class, for every overlap that a partner may ask for."""
+    by_word = classes.select("rep", F.explode("tokens").alias("word")).join(counts, "word")
+    ranked = by_word.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "word"))), lambda w: w["word"]).alias("words")).withColumn("x", F.size("words"))
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.log2(F.ceil(F.lit(0.8) * F.col("x")).cast("double"))).cast("int"))), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    several = ranked.where("x > 1").withColumn("asked", F.explode(steps))
+    prefix = lambda k: F.slice("words", F.lit(1), F.greatest(F.col("x") - F.col("asked") + k, F.lit(0)))
+    two = several.where(F.col("x") <= WIDE).withColumn("p", prefix(2))
+    pairs = F.flatten(F.transform("p", lambda u, i: F.transform(F.slice(F.col("p"), i + 2, F.size("p")), lambda v: F.struct(u.alias("u"), v.alias("v")))))
+    none = F.lit("")
+    return (
+        two.select("rep", "x", "asked", F.explode(pairs).alias("k")).select("rep", "x", "asked", "k.u", "k.v")
+        .union(several.select("rep", "x", "asked", F.explode(prefix(1)).alias("u"), none.alias("v")))
+        .union(ranked.where("x = 1").select("rep", "x", F.lit(1).alias("asked"), F.col("words")[0].alias("u"), none.alias("v")))
+    )
+
+
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b: classes of two tables of (id, key) that share words enough to be compared."""
+    counts = _classes(left).select("tokens").union(_classes(right).select("tokens")).select(F.explode("tokens").alias("word")).groupBy("word").count()
+    a, b = _word_keys(_classes(left), counts), _word_keys(_classes(right), counts)
+    both = a.withColumnRenamed("rep", "a").join(b.select(F.col("rep").alias("b"), F.col("x").alias("y"), "asked", "u", "v"), ["asked", "u", "v"])
+    x, y = F.col("x"), F.col("y")
+    wide = F.greatest(x, y) > WIDE
+    alone = (x == 1) & (y == 1)
+    fits = alone | ((x > 1) & (y > 1) & (F.col("asked") == _asked(x, y)) & (wide == (F.col("v") == "")))
+    return both.where(fits).select("a", "b").distinct()
+
+
+def _class_matches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, overlap of all matching classes."""
+    key = lambda side, name: _classes(side).select(F.col("rep").alias(name), F.struct("tokens", "remix").alias(f"key_{name}"))
+    both = candidates(left, right).join(key(left, "a"), "a").join(key(right, "b"), "b").where(text.names_match(F.col("key_a"), F.col("key_b")))
+    return both.select("a", "b", F.size(F.array_intersect("key_a.tokens", "key_b.tokens")).alias("overlap"))
 
 
 def matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id, overlap (shared words) of all matching names of two tables of (id, key)."""
-    counts = left.select("key").union(right.select("key")).select(F.explode("key.tokens").alias("word")).groupBy("word").count()
-    a, b = _rare_words(left, counts), _rare_words(right, counts)
-    # Words in the same order of rarity on both sides: what two names share beyond their common words meets here.
-    pairs = a.withColumnRenamed("id", "left_id").join(b.withColumnRenamed("id", "right_id"), ["word", "alone"]).select("left_id", "right_id").distinct()
-    x, y = left.select(F.col("id").alias("left_id"), F.col("key").alias("x")), right.select(F.col("id").alias("right_id"), F.col("key").alias("y"))
-    both = pairs.join(x, "left_id").join(y, "right_id").where(text.names_match(F.col("x"), F.col("y")))
-    return both.select("left_id", "right_id", F.size(F.array_intersect("x.tokens", "y.tokens")).alias("overlap"))
+    found = _class_matches(left, right)
+    x, y = _plain(left).select(F.col("rep").alias("a"), F.col("id").alias("left_id")), _plain(right).select(F.col("rep").alias("b"), F.col("id").alias("right_id"))
+    return found.join(x, "a").join(y, "b").select("left_id", "right_id", "overlap")
 
 
 def owned(names: DataFrame, collection: DataFrame) -> DataFrame:
     """id, owned of every row of ``names`` (id, key): whether a name of ``collection`` matches; null
     where there is no word to compare."""
-    hits = matches(names.where(F.size("key.tokens") > 0), collection).select(F.col("left_id").alias("hit")).distinct()
+    some = names.where(F.size("key.tokens") > 0)
+    hits = _class_matches(some, collection).select("a").distinct().join(_plain(some).select(F.col("rep").alias("a"), F.col("id").alias("hit")), "a").select("hit").distinct()
     return names.join(hits, names["id"] == hits["hit"], "left").select("id", F.when(F.size("key.tokens") > 0, F.col("hit").isNotNull()).alias("owned"))
 
 

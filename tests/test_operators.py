@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crateflow.functions import text
 from crateflow.operators import components, digest, fuzzy, library, merges, ranking, recordings, rules, scores, sets, taste, trends
 
 
@@ -84,6 +85,21 @@ def names_of(spark):
     return spark.createDataFrame([(k, ["Artist", "The Artist", None, "Other One"][k % 4], TITLES[k % len(TITLES)], 1000 * (200 + k)) for k in range(48)], "id long, artist string, title string, duration_ms long")
 
 
+def test_name_join_of_common_words_is_that_of_all_pairs(spark):
+    """Words that most names hold, names of one word and of many, copies; few pairs are compared."""
+    rng = random.Random(6)
+    hot = ["night", "club", "session", "live"]
+    titles = [" ".join(["dj", *rng.sample(hot, rng.randint(1, 4)), *[f"u{rng.randrange(400)}" for _ in range(rng.randint(1, 6))]]) for _ in range(150)]
+    titles += [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(13, 40))) for _ in range(25)] + [f"w{k}" for k in range(10)] + ["night", "dj", "night club", "dj night"] + titles[:10]
+    titles += [t + " (Alpha Edit)" for t in titles[:8]] + ["w1 w2 w3 " + " ".join(f"z{k}" for k in range(30)), "w1 w2 w3"]
+    names = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    keys = fuzzy.keyed(names, "id", None, "title")
+    x, y = keys.select(F.col("id").alias("left_id"), F.col("key").alias("x")), keys.select(F.col("id").alias("right_id"), F.col("key").alias("y"))
+    every = rows(x.crossJoin(y).where(text.names_match(F.col("x"), F.col("y"))), "left_id", "right_id")
+    assert rows(fuzzy.matches(keys, keys), "left_id", "right_id") == every
+    assert fuzzy.candidates(keys, keys).count() < 2.5 * len(every) < len(titles) ** 2 / 3
+
+
 def test_fuzzy_join_finds_what_comparing_all_finds(spark):
     from crateflow.functions import text
 
