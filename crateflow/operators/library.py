@@ -53,18 +53,36 @@ def explore(tracks: DataFrame, votes: DataFrame, snapshots: DataFrame, sort: str
     return ordered(rows, sort, descending), found.agg(F.count("*").alias("total"))
 
 
-def harmonic_neighbours(asked: DataFrame, tracks: DataFrame, tolerance: float = 3.0, centroid: tuple[float, float] | None = None) -> DataFrame:
-    """id, next_id, key_place, bpm_gap: admitted tracks whose key goes with an asked one's and whose tempo
-    differs by ``tolerance`` at most, joined on key and piece of tempo."""
-    piece = lambda c: F.floor(c / F.lit(tolerance)).cast("long")
-    keys = music.compatible_keys(F.col("key_camelot"))
-    a = asked.where(F.col("bpm").isNotNull()).select("id", "bpm", F.posexplode(keys).alias("key_place", "key"), piece(F.col("bpm")).alias("p")).withColumn("piece", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1)))
-    pool = tracks.where(admitted() & F.col("bpm").isNotNull())
+def harmonic_neighbours(asked: DataFrame, tracks: DataFrame, tolerance: float = 3.0, limit: int = 30, centroid: tuple[float, float] | None = None) -> DataFrame:
+    """id, next_id, place, key_place, bpm_gap: for each of ``asked`` (id, key_camelot, bpm) its ``limit`` best
+    partners among admitted ``tracks``: by the place of their key among those that go with its own, then
+    by the gap in tempo, ``tolerance`` at most (0: equal tempo), artist, title, path and id.
+
+    Partners depend on key and tempo alone, so they are looked up for each different pair of these.
+    Tracks of one key and tempo are cut to the first ``limit`` + 1 in order before they meet, and of one
+    key the ``limit`` + 1 next tempos to either side suffice: nothing grows with the square of the tracks."""
+    most = limit + 1  # one more, as a track is not its own partner
+    pool = tracks.where(admitted() & F.col("bpm").isNotNull() & F.col("key_camelot").isNotNull())
     if centroid:
         pool = pool.where(F.col("centroid").between(*centroid))
-    b = pool.select(F.col("id").alias("next_id"), F.col("bpm").alias("next_bpm"), F.col("key_camelot").alias("key"), piece(F.col("bpm")).alias("piece"))
-    gap = F.abs(F.col("next_bpm") - F.col("bpm"))
-    return a.join(b, ["key", "piece"]).where((F.col("id") != F.col("next_id")) & (gap <= tolerance)).select("id", "next_id", "key_place", gap.alias("bpm_gap"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    named = pool.select(F.col("id").alias("next_id"), F.col("key_camelot").alias("key"), F.col("bpm").cast("double").alias("tempo"), blank("artist"), blank("title"), blank("path"))
+    names = ["artist", "title", "path", "next_id"]
+    first = named.withColumn("k", F.row_number().over(Window.partitionBy("key", "tempo").orderBy(*names))).where(F.col("k") <= most).drop("k")
+    wanted = asked.where(F.col("bpm").isNotNull()).select(F.col("key_camelot").alias("own_key"), F.col("bpm").cast("double").alias("own_bpm")).distinct()
+    each = wanted.select("own_key", "own_bpm", F.posexplode(music.compatible_keys(F.col("own_key"))).alias("key_place", "key"))
+    # Different tempos of a key in order, those asked for among them: ``at`` counts the pool's up to each.
+    held = first.select("key", "tempo").distinct()
+    marks = held.select("key", "tempo", F.lit(1).alias("one")).union(each.select("key", F.col("own_bpm").alias("tempo"), F.lit(0).alias("one")).distinct())
+    counted = marks.groupBy("key", "tempo").agg(F.max("one").alias("one")).withColumn("at", F.sum("one").over(Window.partitionBy("key").orderBy("tempo")))
+    near = each.join(counted.select("key", F.col("tempo").alias("own_bpm"), "at"), ["key", "own_bpm"]).withColumn("at", F.explode(F.sequence(F.col("at") - most, F.col("at") + most)))
+    steps = near.join(counted.where("one = 1").select("key", "tempo", "at"), ["key", "at"]).withColumn("bpm_gap", F.abs(F.col("tempo") - F.col("own_bpm"))).where(F.col("bpm_gap") <= tolerance)
+    order = ["key_place", "bpm_gap", *names]
+    ranked = steps.join(first, ["key", "tempo"]).withColumn("k", F.row_number().over(Window.partitionBy("own_key", "own_bpm").orderBy(*order))).where(F.col("k") <= most)
+    lists = ranked.groupBy("own_key", "own_bpm").agg(F.array_sort(F.collect_list(F.struct("k", "next_id", "key_place", "bpm_gap"))).alias("partners"))
+    rows = asked.select("id", F.col("key_camelot").alias("own_key"), F.col("bpm").cast("double").alias("own_bpm")).join(lists, ["own_key", "own_bpm"])
+    others = F.slice(F.filter("partners", lambda p: p["next_id"] != F.col("id")), 1, limit)
+    return rows.select("id", F.posexplode(others).alias("place", "p")).select("id", "p.next_id", (F.col("place") + 1).alias("place"), "p.key_place", "p.bpm_gap")
 
 
 def set_candidates(tracks: DataFrame, ids: list[int] | None = None, avoid_uncertain: bool = False, least_bpm: float = 0.5, least_key: float = 0.05) -> DataFrame:

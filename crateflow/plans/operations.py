@@ -197,10 +197,11 @@ def last_runs_alarm(table):
 
 # --- the library ----------------------------------------------------------------------------
 @query("""
-WITH k AS (SELECT id, bpm, CAST(string_split(replace(replace(key_camelot, 'A', ' A'), 'B', ' B'), ' ')[1] AS INT) AS n, right(key_camelot, 1) AS l, status, quality_status FROM tracks WHERE key_camelot IS NOT NULL AND bpm IS NOT NULL)
-SELECT a.id, b.id AS next_id, CASE WHEN a.n = b.n AND a.l = b.l THEN 0 WHEN b.n = (a.n + 10) % 12 + 1 AND a.l = b.l THEN 1 WHEN b.n = a.n % 12 + 1 AND a.l = b.l THEN 2 ELSE 3 END AS key_place, abs(a.bpm - b.bpm) AS bpm_gap
-FROM k a JOIN k b ON a.id <> b.id AND abs(a.bpm - b.bpm) <= 3 AND ((a.l = b.l AND (b.n - a.n + 12) % 12 IN (0, 1, 11)) OR (a.l <> b.l AND a.n = b.n))
-WHERE b.status IS DISTINCT FROM 'rejected' AND (b.quality_status IS NULL OR b.quality_status = 'ok')""")
+WITH k AS (SELECT id, bpm, artist, title, path, CAST(string_split(replace(replace(key_camelot, 'A', ' A'), 'B', ' B'), ' ')[1] AS INT) AS n, right(key_camelot, 1) AS l, status, quality_status FROM tracks WHERE key_camelot IS NOT NULL AND bpm IS NOT NULL),
+p AS (SELECT a.id, b.id AS next_id, CASE WHEN a.n = b.n AND a.l = b.l THEN 0 WHEN b.n = (a.n + 10) % 12 + 1 AND a.l = b.l THEN 1 WHEN b.n = a.n % 12 + 1 AND a.l = b.l THEN 2 ELSE 3 END AS key_place, abs(a.bpm - b.bpm) AS bpm_gap, b.artist, b.title, b.path
+  FROM k a JOIN k b ON a.id <> b.id AND abs(a.bpm - b.bpm) <= 3 AND ((a.l = b.l AND (b.n - a.n + 12) % 12 IN (0, 1, 11)) OR (a.l <> b.l AND a.n = b.n))
+  WHERE b.status IS DISTINCT FROM 'rejected' AND (b.quality_status IS NULL OR b.quality_status = 'ok'))
+SELECT id, next_id, row_number() OVER (PARTITION BY id ORDER BY key_place, bpm_gap, artist, title, path) AS place, key_place, bpm_gap FROM p QUALIFY place <= 30""")
 def harmonic_neighbours(table):
     t = table("tracks")
     return library.harmonic_neighbours(t, t)

@@ -320,15 +320,25 @@ def test_explorer(spark):
 
 
 def test_neighbours_paths_and_duplicates(spark):
-    tracks = spark.createDataFrame([(k, 120.0 + k % 9, f"{k % 12 + 1}{'AB'[k % 2]}", "archive" if k % 5 else "rejected", "ok" if k % 7 else "clipped") for k in range(60)] + [(60, None, "8A", None, None), (61, 120.0, None, None, None)], "id long, bpm double, key_camelot string, status string, quality_status string")
-    data = tracks.collect()
+    rng = random.Random(8)
+    some = lambda *v: rng.choice(v)
+    data = [(k, 120.0 + rng.choice([0, 0.5, 1, 2.25, k % 9]), f"{k % 4 + 1}{'AB'[k % 2]}", some("a", "b", None), some("x", "y"), some("/m/p", "/m/q"), "archive" if k % 5 else "rejected", "ok" if k % 7 else "clipped") for k in range(150)]
+    data += [(200, None, "8A", None, None, None, None, None), (201, 120.0, None, None, None, None, None, None), (202, 120.0, "none", None, None, None, None, None)]
+    tracks = spark.createDataFrame(data, "id long, bpm double, key_camelot string, artist string, title string, path string, status string, quality_status string")
 
     def keys(k):
+        if not k or k == "none":
+            return []
         n, letter = int(k[:-1]), k[-1]
         return [k, f"{(n + 10) % 12 + 1}{letter}", f"{n % 12 + 1}{letter}", f"{n}{'B' if letter == 'A' else 'A'}"]
 
-    want = [(a.id, b.id, keys(a.key_camelot).index(b.key_camelot), abs(a.bpm - b.bpm)) for a in data for b in data if a.id != b.id and a.bpm and b.bpm and a.key_camelot and b.key_camelot in keys(a.key_camelot) and abs(a.bpm - b.bpm) <= 3 and b.status != "rejected" and b.quality_status not in library.POOR]
-    assert rows(library.harmonic_neighbours(tracks, tracks)) == sorted(want, key=str)
+    def best(a, tolerance, limit):
+        fits = [(keys(a[2]).index(b[2]), abs(a[1] - b[1]), b[3] or "", b[4] or "", b[5] or "", b[0]) for b in data if a[0] != b[0] and a[1] and b[1] and b[2] in keys(a[2]) and abs(a[1] - b[1]) <= tolerance and b[6] != "rejected" and b[7] not in library.POOR]
+        return [(a[0], f[5], k + 1, f[0], f[1]) for k, f in enumerate(sorted(fits)[:limit])]
+
+    for tolerance, limit in ((3.0, 30), (3.0, 2), (0.0, 5), (0.5, 1)):
+        got = rows(library.harmonic_neighbours(tracks, tracks, tolerance, limit))
+        assert got == sorted([r for a in data for r in best(a, tolerance, limit)], key=str)
     files = spark.createDataFrame([(1, "/m/[5] a.mp3", None, None), (2, "/m/x/[5] a_2.mp3", "8A", None), (3, "/m/x/[5] b.mp3", "8A", 150.0), (4, "/m/[6] c.mp3", None, None), (5, "/m/d.mp3", None, None)], "id long, path string, key_camelot string, bpm double")
     assert rows(library.duplicates_by_id(files)) == [(5, 1, False), (5, 2, False), (5, 3, True)]
     mapped = files.select("id", library.map_paths(files, {"/m": "C:/music", "/m/x": "D:\\x"}).alias("p")).collect()
