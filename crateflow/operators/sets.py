@@ -26,38 +26,43 @@ def costs(pool: DataFrame) -> DataFrame:
     return a.join(b, "pool").where("a <> b").select("pool", "a", "b", music.transition_cost(F.col("ka"), F.col("ba"), F.col("kb"), F.col("bb")).alias("cost"))
 
 
-def _chain(cost: np.ndarray, left: list[int], start: int, most: float) -> list[int]:
-    chain, left = [start], [k for k in left if k != start]
-    while left:
-        step = cost[chain[-1], left]
-        fit = [k for k, c in zip(left, step, strict=True) if c <= most]
-        if not fit:
-            break
-
-        def price(k: int) -> float:
-            others = [j for j in left if j != k]
-            after = cost[k, others].min() if others else 0.0
-            return cost[chain[-1], k] + AHEAD * min(after, most)
-
-        chain.append(min(fit, key=price) if len(fit) > 1 else fit[0])
-        left.remove(chain[-1])
-    return chain
-
-
-def _segments(cost: np.ndarray, bpm: np.ndarray, most: float) -> list[list[int]]:
-    left, out = list(range(len(bpm))), []
-    while left:
-        known = [k for k in left if not math.isnan(bpm[k])]
-        middle = float(np.median(bpm[known])) if known else 0.0
-        start = min(known, key=lambda k: abs(bpm[k] - middle)) if known else left[0]
-        out.append(_chain(cost, left, start, most))
-        left = [k for k in left if k not in out[-1]]
-
-    def tempo(own: list[int]) -> float:
-        values = bpm[own][~np.isnan(bpm[own])]
-        return math.fsum(values) / len(values) if len(values) else 0.0
-
-    return sorted(out, key=tempo, reverse=True)
+def _walk(cost: np.ndarray, bpm: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, turn) of each track of a pool: one walk over the cost matrix that starts anew wherever
+    no open track is within ``most``.
+
+    Columns of tracks that are taken are raised to infinity, so a row's least entry is the best way
+    on from there; a step is priced by its own cost and, at ``AHEAD``, by the best way on behind it
+    (``most`` at most, nothing where no track would be left). A start is the open track nearest to the
+    median tempo of the open ones, or the first where no tempo is known."""
+    n = len(bpm)
+    open_ = cost.copy()
+    np.fill_diagonal(open_, np.inf)
+    segment, turn, taken, at, now = np.zeros(n, dtype=int), np.zeros(n, dtype=int), np.zeros(n, dtype=bool), -1, 0
+    for t in range(n):
+        step = open_[at] if at >= 0 else np.full(n, np.inf)
+        if (step <= most).any():
+            ahead = np.minimum(open_.min(axis=1), most) if t < n - 1 else 0.0
+            at = int(np.argmin(np.where(step <= most, step + AHEAD * ahead, np.inf)))
+        else:
+            known = ~taken & ~np.isnan(bpm)
+            away = np.where(known, np.abs(bpm - np.median(bpm[known])), np.inf) if known.any() else np.where(taken, np.inf, 0.0)
+            at, now = int(np.argmin(away)), now + 1
+        segment[at], turn[at], taken[at] = now, t, True
+        open_[:, at] = np.inf
+    return segment, turn
+
+
+def _placed(cost: np.ndarray, bpm: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """(tracks in order, their segments): segments by falling mean tempo, the earlier first of equals."""
+    segment, turn = _walk(cost, bpm, most)
+    means = np.zeros(int(segment.max(initial=0)) + 1)
+    for k in np.unique(segment):
+        own = bpm[(segment == k) & ~np.isnan(bpm)]
+        means[k] = math.fsum(own) / len(own) if len(own) else 0.0
+    ranks = np.empty(len(means), dtype=int)
+    ranks[1 + np.argsort(-means[1:], kind="stable")] = np.arange(1, len(means))
+    order = np.lexsort((turn, ranks[segment]))
+    return order, ranks[segment][order]
 
 
 _RELATIONS = np.array(list(music.RELATION_COST.values()))
@@ -86,8 +91,8 @@ def order(tracks: DataFrame, most_cost: float = MOST_COST) -> DataFrame:
             raise ValueError(f"a pool of {len(pool)} tracks; at most {MOST} can be ordered")
         pool = pool.sort_values(["pos", "id"]).reset_index(drop=True)
         bpm = pool["bpm"].to_numpy(dtype=float)
-        rows = [(k + 1, i) for k, own in enumerate(_segments(_matrix(pool["key_camelot"], bpm), bpm, most_cost)) for i in own]
-        return pd.DataFrame({"pool": pool["pool"].iloc[0], "place": range(1, len(rows) + 1), "segment": [s for s, _ in rows], "id": [pool["id"].iloc[i] for _, i in rows]})
+        order, segment = _placed(_matrix(pool["key_camelot"], bpm), bpm, most_cost)
+        return pd.DataFrame({"pool": pool["pool"].iloc[0], "place": range(1, len(order) + 1), "segment": segment, "id": pool["id"].to_numpy()[order]})
 
     kinds = dict(tracks.dtypes)
     return tracks.select("pool", "pos", "id", "key_camelot", F.col("bpm").cast("double").alias("bpm")).groupBy("pool").applyInPandas(work, f"pool {kinds['pool']}, place int, segment int, id {kinds['id']}")
