@@ -78,6 +78,50 @@ def playlists(tracks: DataFrame) -> DataFrame:
     return tracks.select("id", F.explode(each).alias("p")).select("p.kind", "p.name", "id", "p.sort").where("name is not null")
 
 
+def library_lines(tracks: DataFrame, mapping: dict[str, str], archive_only: bool = False) -> DataFrame:
+    """section, sort, name, place, line: the whole library file in order, tracks first, then the tree of
+    playlists: a folder for each kind, in it its playlists by ``sort`` and name, in these the tracks by id.
+    Only tracks that are in the file stand in playlists; counts are those of what follows."""
+    rows = library_tracks(tracks, mapping, archive_only)
+    live = tracks.join(rows.select(F.col("_TrackID").alias("id")), "id", "left_semi")
+    spark, plain = tracks.sparkSession, lambda c: F.regexp_replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    line = lambda df, section, sort, name, place, text_: df.select(F.lit(section).alias("section"), sort.cast("long").alias("sort"), name.cast("string").alias("name"), place.cast("long").alias("place"), text_.alias("line"))
+    zero, none, one = F.lit(0), F.lit(""), spark.range(1)
+    attributes = F.concat(*[F.concat(F.lit(f' {c[1:]}="'), plain(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit('"')) for c in rows.columns if c.startswith("_")])
+    mark = lambda m: F.concat(F.lit('<POSITION_MARK Name="'), plain(m["_Name"]), F.lit('" Type="0" Start="'), m["_Start"], F.lit('" Num="'), m["_Num"], F.lit('"/>'))
+    grid = F.when(F.col("TEMPO").isNotNull(), F.concat(F.lit('<TEMPO Inizio="0.000" Bpm="'), F.col("TEMPO._Bpm"), F.lit('" Metro="4/4" Battito="1"/>'))).otherwise("")
+    track = F.concat(F.lit("<TRACK"), attributes, F.lit(">"), grid, F.array_join(F.transform(F.coalesce("POSITION_MARK", F.expr("cast(array() as array<struct<_Name: string, _Type: string, _Start: string, _Num: string>>)")), mark), ""), F.lit("</TRACK>"))
+    lists = playlists(live)
+    sized = lists.groupBy("kind", "name").agg(F.min("sort").alias("sort"), F.count("*").alias("n"))
+    kinds = sized.groupBy("kind").agg(F.count("*").alias("n"))
+    place = F.col("kind")
+    section = lambda df: df.withColumn("s", F.when(place == "week", 4).when(place == "bpm", 6).when(place == "key", 8).otherwise(10))
+    at = lambda df, offset, sort, name, number, text_: section(df).select((F.col("s") + offset).alias("section"), sort.cast("long").alias("sort"), name.cast("string").alias("name"), number.cast("long").alias("place"), text_.alias("line"))
+    entries = lists.join(sized.select("kind", F.col("name"), F.col("sort").alias("first_")), ["kind", "name"])
+    parts = [
+        line(one, 0, zero, none, zero, F.lit('<?xml version="1.0" encoding="UTF-8"?>')), line(one, 0, F.lit(1), none, zero, F.lit('<DJ_PLAYLISTS Version="1.0.0">')),
+        line(rows.agg(F.count("*").alias("n")), 1, zero, none, zero, F.concat(F.lit('<COLLECTION Entries="'), F.col("n").cast("string"), F.lit('">'))),
+        line(rows, 2, zero, none, F.col("_TrackID"), track), line(one, 3, zero, none, zero, F.lit("</COLLECTION><PLAYLISTS>")),
+        line(kinds.agg(F.count("*").alias("n")), 3, F.lit(1), none, zero, F.concat(F.lit('<NODE Type="0" Name="ROOT" Count="'), F.col("n").cast("string"), F.lit('">'))),
+        at(kinds, 0, F.lit(-(2**62)), none, F.lit(-1), F.concat(F.lit('<NODE Type="0" Name="'), place, F.lit('" Count="'), F.col("n").cast("string"), F.lit('">'))),
+        at(sized, 0, F.col("sort"), F.col("name"), F.lit(-(2**62)), F.concat(F.lit('<NODE Type="1" KeyType="0" Name="'), plain(F.col("name")), F.lit('" Entries="'), F.col("n").cast("string"), F.lit('">'))),
+        at(entries, 0, F.col("first_"), F.col("name"), F.col("id"), F.concat(F.lit('<TRACK Key="'), F.col("id").cast("string"), F.lit('"/>'))),
+        at(sized, 0, F.col("sort"), F.col("name"), F.lit(2**62), F.lit("</NODE>")),
+        at(kinds, 1, zero, none, zero, F.lit("</NODE>")), line(one, 12, zero, none, zero, F.lit("</NODE></PLAYLISTS></DJ_PLAYLISTS>")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def write_library(tracks: DataFrame, mapping: dict[str, str], path: str, archive_only: bool = False) -> None:
+    """The library file with its tree of playlists as one document: lines are worked out and sorted in
+    many tasks, and one streams them to the file, which a single document needs."""
+    order = ["section", "sort", "name", "place"]
+    library_lines(tracks, mapping, archive_only).repartition(1).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
+
+
 def pack(rows: DataFrame, group: str, order: list[str], line: Column, most_chars: int = 3900, most_lines: int = 10) -> DataFrame:
     """group, page, message: the lines of each group, in order, on pages of bounded length. Lines of one
     group, a digest of one run, go through one task."""
