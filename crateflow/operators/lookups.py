@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,12 +72,12 @@ def gates_to_fill(seen: DataFrame, gates: DataFrame, stores: DataFrame, items: D
 
 
 def title_matches(title: Column, patterns: list[str]) -> Column:
-    """Whether one of the patterns that can be compiled occurs in a title, whatever its case."""
-    out = F.lit(False)
+    """Whether one of the patterns that the engine can compile occurs in a title, whatever its case."""
+    out, java = F.lit(False), SparkContext._active_spark_context._jvm.java.util.regex
     for p in patterns:
         try:
-            re.compile(p)
-        except re.error:
+            java.Pattern.compile(p)
+        except IllegalArgumentException:
             continue
         out |= F.coalesce(title, F.lit("")).rlike(f"(?i){p}")
     return out
@@ -144,7 +144,7 @@ def operations(disk_free_gb: Column, backup_hours: Column, canary_ok: Column) ->
 
 def preview_start(drop: Column, loudest: Column, riser: float = 8.0) -> Column:
     """Where a preview begins: ``riser`` seconds before the drop, else at the loudest window, else at 0."""
-    return F.coalesce(F.greatest(F.lit(0.0), drop - riser), loudest, F.lit(0.0))
+    return F.coalesce(F.when(drop.isNotNull(), F.greatest(F.lit(0.0), drop - riser)), loudest, F.lit(0.0))
 
 
 def cue_marks(hot: Column, memory: Column) -> Column:

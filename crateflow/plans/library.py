@@ -6,13 +6,9 @@ from .sqlplan import shared
 
 # --- filters and projections --------------------------------------------------------------
 shared("bpm_window_keep_unknown", "SELECT id, bpm, bpm IS NULL AS unknown_bpm FROM tracks WHERE bpm BETWEEN 130 AND 145 OR bpm IS NULL")
-shared("genre_relevant", "SELECT id, genre FROM tracks WHERE contains(lower(genre), 'a') OR contains(lower(title), 'steel')")
 shared("quality_admission", """
 SELECT id FROM tracks WHERE coalesce(status, '') <> 'rejected' AND coalesce(quality_status, '') NOT IN ('fake_transcode', 'clipped', 'corrupt')""")
 shared("duration_window", "SELECT id, duration FROM tracks WHERE duration BETWEEN 200 - 20 AND 200 + 20")
-shared("needs_audit", """
-SELECT t.id FROM tracks t LEFT JOIN (SELECT id, size FROM tracks WHERE id % 4 <> 0) c ON c.id = t.id
-WHERE c.id IS NULL OR c.size + CASE WHEN t.id % 9 = 0 THEN 1 ELSE 0 END <> t.size""")
 shared("labelled_tracks", """
 SELECT t.id FROM tracks t WHERE t.feedback IN ('like', 'dislike') OR t.adopted IS NOT NULL OR t.rb_rating >= 1
   OR EXISTS (SELECT 1 FROM votes v WHERE v.sc_id = t.sc_id AND v.value <> 'later')""")
@@ -36,9 +32,6 @@ SELECT t.id, t.path, v.value FROM (SELECT id, path, try_cast(regexp_extract(path
 LEFT JOIN votes v ON v.sc_id = t.path_id""")
 shared("not_seen", "SELECT i.id FROM items i LEFT ANTI JOIN (SELECT id FROM seen WHERE id % 2 = 0) s ON s.id = i.id".replace("LEFT ANTI", "ANTI"),
        "SELECT i.id FROM items i LEFT ANTI JOIN (SELECT id FROM seen WHERE id % 2 = 0) s ON s.id = i.id")
-shared("watch_candidates", """
-SELECT v.sc_id FROM votes v WHERE v.value = 'like' AND NOT EXISTS (SELECT 1 FROM tracks t WHERE t.sc_id = v.sc_id)
-  AND NOT EXISTS (SELECT 1 FROM store_items s WHERE s.sc_id = v.sc_id AND s.last_seen > s.first_seen + INTERVAL 2000 DAY)""")
 shared("without_embedding", "SELECT t.id FROM tracks t WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = t.id)")
 shared("watch_count", "SELECT count(*) AS n FROM store_items s WHERE NOT EXISTS (SELECT 1 FROM tracks t WHERE t.sc_id = s.sc_id)")
 shared("backfill_artists", """
@@ -47,7 +40,7 @@ FROM seen s LEFT JOIN (SELECT sc_id, max(artist) AS artist FROM tracks WHERE sc_
 LEFT JOIN (SELECT id, max(artist) AS artist FROM items GROUP BY id) u ON u.id = s.id""")
 shared("known_status", """
 SELECT i.id, CASE WHEN t.id IS NOT NULL THEN 'library' WHEN s.id IS NOT NULL THEN 'seen' ELSE 'new' END AS known
-FROM items i LEFT JOIN (SELECT sc_id AS id FROM tracks WHERE sc_id IS NOT NULL) t ON t.id = i.id LEFT JOIN (SELECT id FROM seen WHERE id % 3 = 0) s ON s.id = i.id""")
+FROM items i LEFT JOIN (SELECT sc_id AS id FROM tracks WHERE sc_id IS NOT NULL) t ON t.id = i.id LEFT JOIN (SELECT id FROM seen WHERE reason IS NOT NULL) s ON s.id = i.id""")
 shared("track_timeline", """
 SELECT s.id, 1 AS step, 'seen' AS what FROM seen s
 UNION ALL SELECT sc_id, 2, 'vote ' || value FROM votes UNION ALL SELECT sc_id, 3, 'store' FROM store_items
@@ -60,19 +53,13 @@ UNION ALL SELECT 'quality', quality_status, count(*) FROM tracks WHERE coalesce(
 UNION ALL SELECT 'format', regexp_extract(path, '([a-z0-9]+)$', 1), count(*) FROM tracks GROUP BY 2""")
 shared("tag_counts", "SELECT tag, count(DISTINCT sc_id) AS n FROM snapshots GROUP BY tag")
 shared("top_collection_artists", """
-SELECT artist_key, min_by(artist, rank_key) AS artist, CAST(sum(n) AS BIGINT) AS n FROM (
-  SELECT lower(artist) AS artist_key, artist, count(*) AS n, lpad(CAST(1000000000 - count(*) AS STRING), 12, '0') || artist AS rank_key
-  FROM tracks WHERE status = 'archive' OR adopted IS NOT NULL GROUP BY 1, 2) x GROUP BY artist_key HAVING sum(n) >= 3 ORDER BY n DESC, artist LIMIT 20""")
+SELECT artist_key, max(CASE WHEN place = 1 THEN artist END) AS artist, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY artist_key ORDER BY n DESC, artist) AS place FROM (
+    SELECT lower(artist) AS artist_key, artist, count(*) AS n FROM tracks WHERE status = 'archive' OR adopted IS NOT NULL GROUP BY 1, 2) x) y
+GROUP BY artist_key HAVING sum(n) >= 3 ORDER BY n DESC, artist LIMIT 20""")
 shared("curator_overview", """
 SELECT artist, count(*) AS n, CAST(count(*) FILTER (WHERE rb_rating >= 4) AS DOUBLE) / count(*) AS liked_share, round(avg(bpm), 6) AS mean_bpm FROM tracks
 WHERE status IN ('archive', 'inbox') GROUP BY artist HAVING count(*) >= 3""")
-shared("period_kpis", """
-WITH p AS (SELECT max(finished_at) AS now FROM runs)
-SELECT count(*) FILTER (WHERE finished_at > now - INTERVAL 30 DAY) AS runs_now,
-  count(*) FILTER (WHERE finished_at > now - INTERVAL 60 DAY AND finished_at <= now - INTERVAL 30 DAY) AS runs_before,
-  CAST(coalesce(sum(found) FILTER (WHERE finished_at > now - INTERVAL 30 DAY), 0) AS BIGINT) AS found_now,
-  CAST(coalesce(sum(found) FILTER (WHERE finished_at > now - INTERVAL 60 DAY AND finished_at <= now - INTERVAL 30 DAY), 0) AS BIGINT) AS found_before
-FROM runs CROSS JOIN p WHERE mode = 'discover'""")
 shared("job_summary", """
 SELECT job_type, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running,
   count(*) FILTER (WHERE status = 'completed') AS completed, max(updated_at) FILTER (WHERE status IN ('running', 'completed')) AS heartbeat FROM jobs GROUP BY job_type""")
@@ -90,7 +77,7 @@ SELECT * FROM (SELECT 1 AS pos, 'inbox' AS what, count(*) AS n FROM tracks WHERE
 shared("import_summary", """
 SELECT count(*) FILTER (WHERE id % 2 = 0) AS by_path, count(*) FILTER (WHERE rb_rating > 0) AS rated, count(*) FILTER (WHERE rb_play_count > 0) AS played,
   count(*) FILTER (WHERE feedback IS NULL AND (rb_rating >= 4 OR rb_play_count >= 2)) AS auto_liked FROM tracks""")
-shared("dominant_label", "SELECT min_by(label, rank_key) AS label FROM (SELECT label, lpad(CAST(1000000000 - count(*) AS STRING), 12, '0') || CAST(label AS STRING) AS rank_key FROM embeddings GROUP BY label) x")
+shared("dominant_label", "SELECT label FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) x ORDER BY n DESC, CAST(label AS STRING) LIMIT 1")
 shared("audit_summary", "SELECT coalesce(quality_status, 'unknown') AS verdict, count(*) AS n, count(*) FILTER (WHERE id % 4 = 0) AS cached FROM tracks GROUP BY 1")
 
 # --- windows -----------------------------------------------------------------------------
@@ -106,7 +93,6 @@ SELECT day, n, CASE WHEN before > 0 THEN round(100 * CAST(n - before AS DOUBLE)
 shared("second_drop", """
 SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase') x WHERE k = 2""")
 # --- orders ------------------------------------------------------------------------------
-shared("sorted_page", "SELECT id, artist, bpm FROM tracks ORDER BY lower(artist) ASC NULLS LAST, id LIMIT 100 OFFSET 50")
 shared("camelot_order", """
 SELECT id, key_camelot, bpm FROM tracks ORDER BY bpm NULLS LAST, CASE WHEN key_camelot IS NULL THEN 2 ELSE 1 END,
   CAST(regexp_extract(coalesce(key_camelot, '0A'), '^([0-9]+)', 1) AS BIGINT), key_camelot, id""")
@@ -116,31 +102,14 @@ shared("watch_order", "SELECT sc_id, profile_id, last_seen FROM store_items ORDE
 # --- lookups and rules -------------------------------------------------------------------
 shared("backlog_energy", "SELECT id FROM tracks WHERE energy IS NULL ORDER BY id LIMIT 100")
 shared("active_job", "SELECT track_id, job_type, min(id) AS id FROM jobs WHERE status IN ('pending', 'running') GROUP BY 1, 2")
-shared("quality_routing", """
-SELECT id, CASE WHEN quality_status = 'corrupt' THEN 'drop' WHEN quality_status = 'fake_transcode' THEN 'rejected' WHEN quality_status = 'clipped' THEN 'clipped'
-  WHEN id % 20 = 0 THEN 'duplicate' ELSE 'keep' END AS route FROM tracks""")
-shared("assignment_diff", """
-SELECT action, count(*) AS n FROM (SELECT CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' WHEN o.v = n.v THEN 'unchanged' ELSE 'replace' END AS action
-  FROM (SELECT id, genre AS v FROM tracks WHERE id % 3 <> 0) n FULL OUTER JOIN (SELECT id, CASE WHEN id % 7 = 0 THEN 'old' ELSE genre END AS v FROM tracks WHERE id % 4 <> 0) o ON o.id = n.id) x GROUP BY action""")
 shared("stuck_work", """
 SELECT id, 'stale' AS rule FROM jobs WHERE status = 'running' AND updated_at < (SELECT max(updated_at) FROM jobs) - INTERVAL 2 DAY
 UNION ALL SELECT track_id, 'conflict' FROM jobs WHERE status = 'pending' GROUP BY track_id HAVING count(DISTINCT job_type) >= 2""")
 
 # --- merges and queues -------------------------------------------------------------------
-shared("track_upsert", """
-SELECT coalesce(n.path, o.path) AS path, coalesce(n.bpm, o.bpm) AS bpm, coalesce(n.title, o.title) AS title, o.feedback
-FROM (SELECT * FROM tracks WHERE id % 3 <> 1) o FULL OUTER JOIN (SELECT path, CASE WHEN id % 2 = 0 THEN bpm + 1 END AS bpm, title FROM tracks WHERE id % 4 <> 0) n ON n.path = o.path""")
-shared("vote_upsert", """
-SELECT sc_id, max_by(value, k) AS value, max_by(url, k) FILTER (WHERE url IS NOT NULL) AS url FROM (
-  SELECT sc_id, value, url, 1 AS k FROM votes UNION ALL SELECT sc_id, 'later', CAST(NULL AS STRING), 2 FROM votes WHERE sc_id % 5 = 0) x GROUP BY sc_id""")
-shared("store_upsert", """
-SELECT sc_id, min(first_seen) AS first_seen, max(last_seen) AS last_seen, count(*) AS times FROM store_items GROUP BY sc_id""")
 shared("override_fold", """
 SELECT sc_id, kind FROM (SELECT sc_id, max_by(kind, k) AS kind FROM (SELECT sc_id, 'not_duplicate' AS kind, 1 AS k FROM votes
   UNION ALL SELECT sc_id, CASE WHEN sc_id % 2 = 0 THEN 'clear' ELSE 'already_in_collection' END, 2 FROM votes WHERE sc_id % 3 = 0) x GROUP BY sc_id) y WHERE kind <> 'clear'""")
-shared("adoption_update", """
-SELECT t.id, CASE WHEN t.feedback = 'dislike' THEN t.feedback WHEN a.id IS NOT NULL THEN 'like' ELSE t.feedback END AS feedback, coalesce(t.sc_id, a.id) AS sc_id
-FROM tracks t LEFT JOIN (SELECT id FROM seen WHERE id % 4 = 0) a ON a.id = t.id WHERE t.status = 'archive'""")
 shared("auto_like", "SELECT id, CASE WHEN feedback IS NULL AND (rb_rating >= 4 OR rb_play_count >= 2) THEN 'like' ELSE feedback END AS feedback FROM tracks")
 shared("activity_ttl", "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
 shared("tag_add_remove", """
@@ -151,11 +120,6 @@ shared("claim_jobs", "SELECT id, job_type FROM (SELECT *, row_number() OVER (PAR
 shared("alarm_transitions", """
 SELECT id, mode, CASE WHEN bad AND NOT was THEN 'alarm' ELSE 'recovery' END AS message FROM (
   SELECT id, mode, bad, coalesce(lag(bad) OVER (PARTITION BY mode ORDER BY id), FALSE) AS was FROM (SELECT id, mode, NOT ok AS bad FROM runs) r) x WHERE bad <> was""")
-shared("availability_transitions", """
-SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) x
-WHERE event_type = 'purchase' AND before IS NOT NULL AND before <> 'purchase'""")
-shared("retry_queue", """
-SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS attempts, CASE WHEN count(*) FILTER (WHERE event_type = 'error') >= 5 THEN 'failed' ELSE 'open' END AS status FROM events GROUP BY user_id""")
 shared("enqueue_backlog", """
 SELECT t.id FROM tracks t WHERE t.energy IS NULL AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.track_id = t.id AND j.status IN ('pending', 'running')) ORDER BY t.id LIMIT 50""")
 shared("dead_man", "SELECT mode, max(finished_at) AS last_at, (SELECT max(finished_at) FROM runs) - INTERVAL 1 DAY > max(finished_at) AS overdue FROM runs GROUP BY mode")
@@ -172,10 +136,3 @@ SELECT id, greatest(1, least(5, CASE WHEN bpm IS NULL THEN 3 WHEN bpm < 138 THEN
 shared("rating_step", "SELECT id, CASE WHEN rb_rating IS NULL THEN NULL ELSE least(5, greatest(0, CAST(floor((rb_rating * 51 + 25) / 51.0E0) AS INT))) END AS stars FROM tracks")
 shared("url_host", "SELECT page_id, regexp_extract(lower(url), '^https?://(?:www\\.)?([^/:?#]+)', 1) AS host FROM pages".replace("\\\\", "\\"),
        "SELECT page_id, regexp_extract(lower(url), r'^https?://(?:www\\.)?([^/:?#]+)', 1) AS host FROM pages")
-shared("artist_title", """
-SELECT conv_id, turn, CASE WHEN strpos(text, ' - ') > 0 THEN substr(text, 1, strpos(text, ' - ') - 1) END AS artist, CASE WHEN strpos(text, ' - ') > 0 THEN substr(text, strpos(text, ' - ') + 3) ELSE text END AS title FROM conversations""",
-       """
-SELECT conv_id, turn, CASE WHEN locate(' - ', text) > 0 THEN substr(text, 1, locate(' - ', text) - 1) END AS artist, CASE WHEN locate(' - ', text) > 0 THEN substr(text, locate(' - ', text) + 3) ELSE text END AS title FROM conversations""")
-shared("training_labels", """
-SELECT e.vec_id, CASE WHEN v.value = 'like' OR t.rb_rating >= 4 THEN 1 ELSE 0 END AS label FROM embeddings e LEFT JOIN votes v ON v.sc_id = e.vec_id LEFT JOIN tracks t ON t.id = e.vec_id
-WHERE v.value IN ('like', 'dislike') OR t.rb_rating >= 4""")
