@@ -156,8 +156,8 @@ def evict(files: DataFrame, most_bytes: int) -> DataFrame:
     """Files (id, size, in the order of age: id) to delete, oldest first, until at most ``most_bytes`` are left."""
     from . import ranking
 
-    total = files.agg(F.sum("size")).first()[0] or 0
-    return ranking.running_sum(files, "size", "id", "before").where(F.lit(total) - F.col("before") > most_bytes).select("id")
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total_"))  # one row
+    return ranking.running_sum(files, "size", "id", "older_").join(F.broadcast(total)).where(F.col("total_") - F.col("older_") > most_bytes).select("id")
 
 
 def latest_by(df: DataFrame, key: str, *order: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Fewest examples of either class, and most examples that are fitted on (by a hash of the id).
 LEAST, FIT_ROWS = 5, 20_000
+#: Parts that a model's ids are cut in before the first of them meet.
+SALTS = 64
 
 
 def examples(embedded: DataFrame, tracks: DataFrame, votes: DataFrame) -> DataFrame:
@@ -44,7 +46,11 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, epochs: int = 500, rate: float = 0.
 def fit(labelled: DataFrame, epochs: int = 500, rate: float = 0.1, l2: float = 0.01) -> DataFrame:
     """model, parameters (JSON), n of each model's examples (id, model, vector, label), at most ``FIT_ROWS`` of
     them. Models with too few examples of a class have no row; vectors of another length than most are left out."""
-    some = labelled.withColumn("k_", F.row_number().over(Window.partitionBy("model").orderBy(F.xxhash64("id"), "id"))).where(F.col("k_") <= FIT_ROWS)
+    # The first by hash, ids alone, in salted parts before the parts of a model meet.
+    ids = labelled.select("model", "id", F.xxhash64("id").alias("h_")).withColumn("salt_", F.pmod(F.col("h_"), F.lit(SALTS)))
+    first = lambda df, *by: df.withColumn("k_", F.row_number().over(Window.partitionBy(*by).orderBy("h_", "id"))).where(F.col("k_") <= FIT_ROWS)
+    chosen = first(first(ids, "model", "salt_").drop("k_"), "model").select("model", "id").distinct()
+    some = labelled.join(chosen, ["model", "id"], "left_semi")
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")

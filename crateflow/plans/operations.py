@@ -250,8 +250,8 @@ def cache_eviction(table):
 @query("SELECT id, CASE WHEN status = 'running' AND updated_at < (SELECT max(updated_at) FROM jobs) - CASE job_type WHEN 'embedding' THEN INTERVAL 120 MINUTE ELSE INTERVAL 30 MINUTE END THEN 'pending' ELSE status END AS status FROM jobs")
 def requeue_stale(table):
     jobs = table("jobs")
-    newest = jobs.agg(F.max("updated_at")).first()[0]
-    return merges.requeue_stale(jobs, F.lit(newest), {"embedding": 120}).select("id", "status")
+    newest = jobs.agg(F.max("updated_at").alias("newest_"))  # one row
+    return merges.requeue_stale(jobs.join(F.broadcast(newest)), F.col("newest_"), {"embedding": 120}).select("id", "status")
 
 
 # --- functions ------------------------------------------------------------------------------

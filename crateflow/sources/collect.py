@@ -38,12 +38,13 @@ def collect(pages: DataFrame, starts: DataFrame, most_pages: int = MOST_PAGES, l
     """(items: place, source, pos, item; outcomes: place, source, status, error, items) of ``starts`` (place, source,
     path). Status is ok, failed or not asked; at most ``limit`` items of the first ``most_pages`` pages count."""
     held = pages.select(F.col("path").alias("at_"), "body")
-    asked, chain = starts.select("place", "source", "path", F.lit(0).alias("hop")), []
+    asked, chain = starts.select("place", "source", "path", F.lit(0).alias("hop"), F.array("path").alias("read")), []
     for hop in range(most_pages):
-        p = asked.join(held, F.col("path") == F.col("at_"), "left").select("place", "source", "path", "hop", F.col("body").isNull().alias("missing"), _page(F.col("body")).alias("p"))
-        chain.append(p)
+        p = asked.join(held, F.col("path") == F.col("at_"), "left").select("place", "source", "path", "hop", "read", F.col("body").isNull().alias("missing"), _page(F.col("body")).alias("p"))
+        chain.append(p.drop("read"))
         beside = F.concat(F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), F.col("p.next_href"))
-        asked = p.where(F.col("p.next_href").isNotNull()).select("place", "source", beside.alias("path"), F.lit(hop + 1).alias("hop"))
+        fresh = F.col("p.next_href").isNotNull() & ~F.array_contains("read", beside)  # a chain that comes back ends
+        asked = p.where(fresh).select("place", "source", beside.alias("path"), F.lit(hop + 1).alias("hop"), F.array_append("read", beside).alias("read"))
     every = reduce(DataFrame.unionByName, chain)
     kind = F.when(F.col("missing"), "missing page").when(F.col("p.broken").isNotNull(), "broken page").when(F.col("p.error").isNotNull(), F.coalesce("p.error.class", F.lit("error"))).when(F.col("p.collection").isNull() & (F.col("hop") == 0), "no collection")
     said = F.concat(kind, F.lit(": "), F.coalesce("p.error.message", F.col("path")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
@@ -10,59 +9,21 @@ from urllib.parse import urljoin, urlparse
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
+from . import collect
 
-class _Start(InputPartition):
-    def __init__(self, place: int, path: str):
-        self.place, self.path = place, path
 
-
-class _PagesReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.starts = [p for p in (options.get("path") or options.get("starts") or "").split(",") if p]
-        self.limit = int(options.get("limit", "200"))
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Start(k, p) for k, p in enumerate(self.starts)]
-
-    def read(self, partition: _Start) -> Iterator[tuple]:
-        import os
-
-        path, n, known = partition.path, 0, set()
-        while path and n < self.limit and path not in known:
-            known.add(path)
-            with open(path, encoding="utf-8") as f:
-                page = json.load(f)
-            for item in page.get("collection", []):
-                if n >= self.limit:
-                    return
-                yield (partition.place, n, json.dumps(item, ensure_ascii=False))
-                n += 1
-            nxt = page.get("next_href")
-            path = os.path.join(os.path.dirname(path), nxt) if nxt else None
-
-
-class PagedJson(DataSource):
-    """Recorded pages ``{"collection": [...], "next_href": ...}``: one partition a first page (option
-    ``path``, comma-separated), at most ``limit`` items of each; next pages lie beside the first."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_json"
-
-    def schema(self) -> str:
-        return "start int, pos int, item string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PagesReader(self.options)
-
-
-def read_pages(spark: SparkSession, starts: list[str], limit: int = 200) -> DataFrame:
-    """start, pos, item (JSON) of the pages that begin at ``starts``."""
-    spark.dataSource.register(PagedJson)
-    return spark.read.format("paged_json").option("starts", ",".join(starts)).option("limit", str(limit)).load()
+def read_pages(spark: SparkSession, starts: list[str], limit: int = 200, most_pages: int = collect.MOST_PAGES) -> DataFrame:
+    """start, pos, item (JSON) of the recorded pages that begin at ``starts``, files of one folder or of
+    folders below it, by any path that Spark can read; next pages lie beside the first. A source that
+    fails has no items here; ``collect`` gives the outcomes as well."""
+    folder = starts[0].rpartition("/")[0]
+    while not all(s.startswith(folder + "/") for s in starts):
+        folder = folder.rpartition("/")[0]
+    first = [(k, s, s[len(folder) + 1 :]) for k, s in enumerate(starts)]
+    found, _ = collect.collect(collect.read_pages(spark, folder), spark.createDataFrame(first, "place int, source string, path string"), most_pages, limit)
+    return found.select(F.col("place").alias("start"), "pos", "item")
 
 
 _ITEM = """kind string, id long, title string, permalink_url string, user struct<username: string, permalink_url: string>, created_at string, full_duration long, duration long,

@@ -415,7 +415,7 @@ def test_vectors_alike(spark):
     data = [(k, k % 2, rng.normal(0, 1, 4).round(1).tolist()) for k in range(60)] + [(60, 0, [0.0] * 4), (61, 0, [1.0]), (62, 0, None)]
     data[4] = (4, 0, data[2][2])
     rows_ = spark.createDataFrame(data, "id long, model int, vector array<double>")
-    got = [(r.query_id, r.rank, r.id, r.score) for r in vectors.similar(rows_.where("id % 20 = 0"), rows_, top=3, cells=5).collect()]
+    got = [(r.query_id, r.rank, r.id, r.score) for r in vectors.similar(rows_.where("id % 20 = 0"), rows_, top=3, cell_rows=30).collect()]
     want = []
     for q, m, v in data:
         if q % 20 == 0:
