@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crateflow.functions import music, scoring, segments, style, text, urls
-from crateflow.operators import components, digest, fuzzy, library, lookups, merges, models, ranking, reports, taste
+from crateflow.operators import components, digest, fuzzy, library, lookups, merges, models, overview, ranking, reports, sets, taste
 from crateflow.sinks import tables
 from crateflow.streaming import states
 
@@ -455,3 +455,109 @@ def preview_starts(table):
 def running_sizes(table):
     t = table("tracks").select("id", "size")
     return ranking.running_sum(t, "size", "id", "b").select("id", F.when(F.col("b") > 0, F.col("b")).alias("before"))
+
+
+# --- reports over many tables ----------------------------------------------------------------------------
+@query("""
+WITH t AS (SELECT *, TIMESTAMP '1998-08-01' - to_hours(id) AS made FROM tracks), n AS (SELECT * FROM t WHERE made > TIMESTAMP '1998-08-01' - INTERVAL 30 DAY),
+a AS (SELECT artist AS name, count(*) AS current FROM n WHERE status = 'inbox' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+SELECT 'quality' AS section, 0 AS place, coalesce(quality_status, 'unknown') AS name, count(*) AS current FROM n WHERE status = 'rejected' GROUP BY 3
+UNION ALL SELECT 'artist', CAST(row_number() OVER (ORDER BY current DESC, name) AS INT), name, current FROM a""")
+def weekly_breakdown(table):
+    now = ntz("1998-08-01 00:00:00")
+    at = lambda c: (now - F.make_dt_interval(hours=F.col(c).cast("int")))
+    runs = table("runs").withColumn("finished_at", F.col("finished_at").cast("timestamp_ntz"))
+    rows = overview.weekly(runs, table("tracks").withColumn("created_at", at("id")), table("votes").withColumn("updated_at", at("sc_id")), now, 30)
+    return rows.where("section <> 'kpi'").select("section", "place", "name", "current")
+
+
+@query("""
+WITH f AS (SELECT e.track_id, e.user_id, 'Fan' || e.user_id AS spelt, CASE WHEN e.user_id % 3 = 0 THEN 2 ELSE 1 END AS kinds FROM edges e JOIN tracks t ON t.id = e.track_id AND t.feedback = 'like'),
+c AS (SELECT lower(spelt) AS slug, CAST(sum(kinds) AS BIGINT) AS n, CASE WHEN user_id % 2 = 0 THEN 'User ' || user_id ELSE any_value(spelt) END AS name FROM f WHERE user_id % 50 <> 0 GROUP BY 1, user_id HAVING sum(kinds) >= 2),
+a AS (SELECT artist, lower(replace(artist, '#', '-')) AS slug, count(*) AS n FROM tracks WHERE status = 'archive' GROUP BY 1, 2)
+SELECT 'fans' AS source, slug, name, n FROM c UNION ALL SELECT 'collection', slug, artist, n FROM a WHERE slug <> 'brand-11'""")
+def curator_candidates(table):
+    e = table("edges")
+    link = F.concat(F.lit("https://sc.com/Fan"), F.col("user_id").cast("string"), F.lit("/"))
+    user = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("User "), F.col("user_id").cast("string")))
+    fans = e.select("track_id", F.lit("like").alias("kind"), F.col("user_id").alias("pos"), link.alias("permalink"), user.alias("username")).union(e.where("user_id % 3 = 0").select("track_id", F.lit("repost"), "user_id", link, user))
+    liked = table("tracks").where("feedback = 'like'").select(F.col("id").alias("sc_id"))
+    known = e.where("user_id % 50 = 0").select(F.concat(F.lit("http://sc.com/FAN"), F.col("user_id").cast("string")).alias("account")).distinct().union(table("tracks").limit(1).select(F.lit("Brand-11").alias("account")))
+    favourites = table("tracks").where("status = 'archive'").groupBy("artist").agg(F.count("*").alias("n"))
+    return overview.curators(fans, liked, favourites, known)
+
+
+@query("""
+WITH w AS (SELECT sc_id, last_seen, CASE WHEN sc_id % 4 = 0 THEN first_seen END AS available_at, CASE WHEN sc_id % 4 = 0 THEN 'store' ELSE 'none' END AS k FROM store_items WHERE profile_id = 'p0'),
+s AS (SELECT sc_id, max_by(artist, id) AS artist, max_by(title, id) AS title FROM snapshots GROUP BY 1)
+SELECT w.sc_id, coalesce(s.artist, t.artist) AS artist, coalesce(s.title, t.title) AS title, k AS last_kind, available_at, available_at IS NOT NULL AS is_available FROM w LEFT JOIN s USING (sc_id) LEFT JOIN tracks t ON t.id = w.sc_id
+ORDER BY available_at IS NULL, available_at DESC, last_seen DESC, w.sc_id""")
+def watch_list(table):
+    s = table("store_items").where("profile_id = 'p0'")
+    four = F.col("sc_id") % 4 == 0
+    w = s.select("sc_id", F.col("last_seen").alias("last_checked"), F.when(four, F.col("first_seen")).alias("available_at"), F.when(four, "store").otherwise("none").alias("last_kind"))
+    return overview.watch_list(w, table("snapshots"), table("tracks").select(F.col("id").alias("sc_id"), "artist", "title"))
+
+
+@query("""
+WITH r AS (SELECT id, CASE WHEN id % 5 = 0 THEN ' ' WHEN id % 5 = 1 THEN 'own' END AS artist FROM seen), t AS (SELECT id, CASE WHEN id % 3 = 0 THEN id END AS sc_id, CASE WHEN id % 2 = 0 THEN id END AS u, CASE WHEN id % 9 <> 0 THEN artist END AS artist FROM tracks)
+SELECT r.id, CASE WHEN r.artist = 'own' THEN 'own' WHEN a.id IS NOT NULL THEN a.artist ELSE b.artist END AS artist,
+  CASE WHEN r.artist = 'own' THEN 'kept' WHEN a.id IS NOT NULL THEN CASE WHEN a.artist IS NULL THEN 'none' ELSE 'id' END WHEN b.artist IS NULL THEN 'none' ELSE 'url' END AS how FROM r LEFT JOIN t a ON a.sc_id = r.id LEFT JOIN t b ON b.u = r.id""")
+def artist_backfill(table):
+    k = F.col("id")
+    rows = table("seen").select("id", F.concat(F.lit("https://www.sc.com/T/"), k.cast("string"), F.lit("/?a=b")).alias("url"), F.when(k % 5 == 0, " ").when(k % 5 == 1, "own").alias("artist"))
+    tracks = table("tracks").select("id", F.when(k % 3 == 0, k).alias("sc_id"), F.when(k % 2 == 0, F.concat(F.lit("http://m.sc.com/t/"), k.cast("string"))).alias("source_url"), F.when(k % 9 != 0, F.concat(F.lit(" "), "artist")).alias("artist"))
+    return overview.backfill_artists(rows, tracks)
+
+
+@query("""
+WITH t AS (SELECT id, path, status, CASE WHEN id % 15 = 0 THEN 'day ' || id END AS adopted_at, bpm, key_camelot, 'm' || id AS modified, CASE WHEN id % 10 = 3 THEN id WHEN id % 10 = 5 THEN id - 2 END AS own, CASE WHEN id % 3 = 0 THEN id END AS named FROM tracks),
+w AS (SELECT own AS sc_id, 0 AS way, * EXCLUDE (own, named) FROM t WHERE own IS NOT NULL UNION ALL SELECT named, 1, * EXCLUDE (own, named) FROM t WHERE named IS NOT NULL),
+r AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY sc_id ORDER BY way, CASE WHEN adopted_at IS NOT NULL THEN 0 WHEN status = 'inbox' THEN 1 WHEN status = 'archive' THEN 2 ELSE 3 END, id) = 1),
+x AS (SELECT sc_id, min(first_seen) AS "at" FROM store_items GROUP BY 1),
+l AS (SELECT id AS sc_id, 'found' AS step, 'r' || id AS "at", NULL AS detail FROM seen UNION ALL SELECT sc_id, 'rated', NULL, value FROM votes UNION ALL SELECT sc_id, 'store', CAST("at" AS VARCHAR), 'p' || sc_id FROM x
+  UNION ALL SELECT id, 'rejected', 'x' || id, reason FROM seen WHERE reason IS NOT NULL UNION ALL SELECT sc_id, 'inbox', modified, path FROM r WHERE status = 'inbox' OR adopted_at IS NOT NULL
+  UNION ALL SELECT sc_id, 'analyzed', NULL, CAST(bpm AS INT) || ' BPM · ' || key_camelot FROM r WHERE bpm IS NOT NULL AND key_camelot IS NOT NULL UNION ALL SELECT sc_id, 'archive', NULL, path FROM r WHERE status = 'archive' AND adopted_at IS NULL UNION ALL SELECT sc_id, 'adopted', adopted_at, NULL FROM r WHERE adopted_at IS NOT NULL)
+SELECT sc_id, step, "at", detail FROM l WHERE sc_id % 2 = 1""")
+def track_life(table):
+    k, s = F.col("id"), lambda p: F.concat(F.lit(p), F.col("id").cast("string"))
+    seen = table("seen")
+    tracks = table("tracks").withColumns({"adopted_at": F.when(k % 15 == 0, s("day ")), "modified": s("m"), "sc_id": F.when(k % 10 == 3, k).when(k % 10 == 5, k - 2)})
+    ids = table("tracks").select(k.alias("sc_id")).union(seen.select("id")).union(table("votes").select("sc_id")).where("sc_id % 2 = 1")
+    stores = table("store_items").select("sc_id", F.col("first_seen"), F.concat(F.lit("p"), F.col("sc_id").cast("string")).alias("link"))
+    life = overview.track_life(ids, seen.select("id", s("r").alias("reported_at")), seen.where("reason is not null").select("id", s("x").alias("rejected_at"), "reason"), table("votes").withColumn("updated_at", F.lit(None).cast("string")), stores.where("false"), stores, tracks)
+    return life.select("sc_id", "step", "at", "detail")
+
+
+@query("""
+WITH o AS (SELECT id, artist, title, rb_rating FROM tracks WHERE status IN ('archive', 'inbox') AND coalesce(quality_status, '') NOT IN ('fake_transcode', 'clipped', 'corrupt')),
+k AS (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY rb_rating DESC, id) AS k FROM o)
+SELECT artist, count(*) AS n, count(*) FILTER (WHERE rb_rating >= 4) / count(*) AS liked_share, list_slice(list(id ORDER BY k), 1, 5) AS ids FROM k GROUP BY artist HAVING count(*) >= 3""")
+def collectors(table):
+    return overview.collectors(table("tracks")).select("artist", "n", "liked_share", F.transform("tracks", lambda t: t["id"]).alias("ids"))
+
+
+@query("SELECT tag, uses, successes FROM (SELECT tag, count(*) AS uses, count(*) FILTER (WHERE likes > 50) AS successes, max(CASE WHEN likes > 50 THEN recorded_at END) AS last_at FROM snapshots GROUP BY tag) x WHERE successes >= 2 AND last_at >= (SELECT max(recorded_at) FROM snapshots) - INTERVAL 1 DAY")
+def top_exploration(table):
+    s = table("snapshots")
+    none = s.limit(0).select("tag", F.lit(0).cast("long").alias("uses"), F.lit(0).cast("long").alias("successes"), F.lit(None).cast("timestamp_ntz").alias("last_success"))
+    newest = s.agg(F.max("recorded_at").alias("newest_"))
+    counted = merges.count_uses(none, s.select("tag", (F.col("likes") > 50).alias("success"), F.col("recorded_at").alias("at")))
+    return overview.top_exploration(counted.join(F.broadcast(newest)), F.col("newest_"), 1).select("tag", "uses", "successes")
+
+
+@query("""
+SELECT section, name, n, share, detail FROM (
+  SELECT 'pool' AS section, unnest(['tracks', 'bpm', 'key', 'sure_bpm', 'sure_key', 'anchors']) AS name, unnest([c, b, k, sb, sk, an]) AS n, unnest([NULL, round(100.0 * b / c, 4), round(100.0 * k / c, 4), round(100.0 * sb / c, 4), round(100.0 * sk / c, 4), round(100.0 * an / c, 4)])::DOUBLE AS share, NULL AS detail FROM (
+    SELECT count(*) AS c, count(bpm) AS b, count(key_camelot) AS k, count(*) FILTER (WHERE bpm IS NOT NULL AND bpm_confidence >= 0.5) AS sb, count(*) FILTER (WHERE key_camelot IS NOT NULL AND id % 10 >= 5) AS sk,
+      count(*) FILTER (WHERE bpm IS NOT NULL AND bpm_confidence >= 0.5 AND key_camelot IS NOT NULL AND id % 10 >= 5) AS an FROM tracks) x
+  UNION ALL SELECT 'unsure', CAST(id AS VARCHAR), NULL, NULL, concat_ws('; ', CASE WHEN bpm IS NULL OR bpm_confidence IS NULL OR bpm_confidence < 0.5 THEN 'tempo ' || coalesce(printf('%.1f', bpm), '--') END, CASE WHEN key_camelot IS NULL OR id % 10 < 5 THEN 'key ' || coalesce(key_camelot, '--') END)
+    FROM tracks WHERE bpm IS NULL OR bpm_confidence IS NULL OR bpm_confidence < 0.5 OR key_camelot IS NULL OR id % 10 < 5
+  UNION ALL SELECT 'key', key_camelot, count(*), NULL, NULL FROM tracks WHERE bpm IS NOT NULL AND key_camelot IS NOT NULL GROUP BY 2) y""")
+def set_report_rows(table):
+    """The report of sets over pools of fifty ids; shape, relations and warnings are left to the tests."""
+    pool = table("tracks").withColumn("key_margin", F.col("id") % 10 / 100)
+    own = library.set_candidates(pool).withColumn("pool", F.floor(F.col("id") / 50).cast("long"))
+    ordered = sets.order(own.withColumn("pos", F.col("id")))
+    rows = overview.set_report(pool, ordered, sets.transitions(ordered, own))
+    return rows.where("section in ('pool', 'unsure', 'key')")

@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 from crateflow.functions import music, text
 from crateflow.operators import library
 
-SET_COLUMNS = ("pos", "artist", "title", "bpm", "camelot", "duration_s", "score", "path")
+#: The columns of a set's table, in the order that other programs read.
+SET_COLUMNS = ("pos", "artist", "title", "bpm", "bpm_confidence", "bpm_octave", "camelot", "key_name", "key_confidence", "key_margin", "duration_s", "score", "path")
 
 
 def m3u8_lines(tracks: DataFrame, order: list[str], segment: str | None = None) -> DataFrame:
@@ -52,7 +53,7 @@ def library_tracks(tracks: DataFrame, mapping: dict[str, str], archive_only: boo
     cues = F.transform(F.array_sort(F.transform("cues", lambda c: F.struct(c["time"].alias("t"), c["pad"].alias("p"), c["name"].alias("n")))), lambda c: F.struct(c["n"].alias("_Name"), F.lit("0").alias("_Type"), F.format_string("%.3f", c["t"]).alias("_Start"), c["p"].cast("string").alias("_Num")))
     grid = F.when(F.col("bpm").isNotNull(), F.struct(F.lit("0.000").alias("_Inizio"), F.format_string("%.2f", "bpm").alias("_Bpm"), F.lit("4/4").alias("_Metro"), F.lit("1").alias("_Battito")))
     return rows.select(
-        F.col("id").alias("_TrackID"), F.col("title").alias("_Name"), F.col("artist").alias("_Artist"), F.format_string("%.2f", "bpm").alias("_AverageBpm"), F.col("key_camelot").alias("_Tonality"),
+        F.col("id").alias("_TrackID"), F.col("title").alias("_Name"), F.col("artist").alias("_Artist"), F.when(F.col("bpm").isNotNull(), F.format_string("%.2f", "bpm")).alias("_AverageBpm"), F.col("key_camelot").alias("_Tonality"),
         (F.coalesce("rb_rating", F.lit(0)) * 51).alias("_Rating"), F.round("duration").cast("long").alias("_TotalTime"), library.file_location(F.col("location")).alias("_Location"), grid.alias("TEMPO"), cues.alias("POSITION_MARK"),
     )
 

@@ -138,6 +138,7 @@ def test_library_file_with_its_playlists(spark, tmp_path):
     assert root.tag == "DJ_PLAYLISTS" and root.find("COLLECTION").get("Entries") == "6"
     assert [t.get("TrackID") for t in root.find("COLLECTION")] == [str(k) for k in range(6)] and root.find("COLLECTION")[2].get("Artist") == "A & <2>"
     assert root.find("COLLECTION")[3].find("POSITION_MARK").get("Start") == "1.500" and root.find("COLLECTION")[3].find("TEMPO").get("Bpm") == "143.00"
+    assert [t.get("AverageBpm") for t in root.find("COLLECTION")][:2] == ["", "141.00"]
     tree = root.find("PLAYLISTS")[0]
     folders = {n.get("Name"): n for n in tree}
     assert tree.get("Name") == "ROOT" and tree.get("Count") == str(len(folders)) and list(folders) == ["week", "bpm", "key", "style"]
