@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import library, operations, series, workflows  # noqa: F401  (they register their queries)
+    from . import feeds, library, operations, series, workflows  # noqa: F401  (they register their queries)
