@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about this many characters, which bounds a worker's memory.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 300_000
 #: Least partitions of a step over few rows, and rows that are worth another one.
 LEAST_PARTS, ROWS_A_PART = 12, 4000
 
@@ -79,3 +79,17 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS) -> Itera
             size += len(t or "")
         if ids:
             yield ids, texts
+
+
+def by_parts(texts: pa.Array, rows: int, limit: int = SLICE_CHARS) -> Iterator[list[str | None]]:
+    """The texts of an Arrow column in lists of at most ``rows``, each of about ``limit`` characters at most."""
+    part, held = [], 0
+    for t in texts:
+        t = t.as_py()
+        if part and (len(part) == rows or held + len(t or "") > limit):
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t or "")
+    if part:
+        yield part

@@ -165,9 +165,8 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is not rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def rejected(texts):
-        out = [shared.value.predict(texts[k : k + _ROWS].tolist())[2] for k in range(0, len(texts), _ROWS)]
-        return pd.Series(np.concatenate(out) if out else [], dtype=bool)
+    @F.arrow_udf("boolean")
+    def rejected(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0, dtype=bool), *[shared.value.predict(part)[2] for part in common.by_parts(texts, _ROWS)]]), pa.bool_())
 
     return docs.where(~rejected(F.col("text").cast("string")))

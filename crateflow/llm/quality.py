@@ -105,16 +105,25 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, confidence: float = 0.1) -> flo
 
 def fit_risk(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = EPOCHS) -> np.ndarray:
     """Weights of the least non-negative unbiased risk; the last one is the bias."""
-    p, u = np.hstack([p, np.ones((len(p), 1))]), np.hstack([u, np.ones((len(u), 1))])
 
     def grad(w: np.ndarray) -> np.ndarray:
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        up = -prior * p.T @ (1 - sp) / len(p)
+        sp, su = _sigmoid(_linear(p, w)), _sigmoid(_linear(u, w))
+        up = -prior * _pulled(p, 1 - sp)
         rest = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
-        down = u.T @ su / len(u) - prior * p.T @ sp / len(p)
+        down = _pulled(u, su) - prior * _pulled(p, sp)
         return (up + down if rest >= 0 else -down) + DECAY * w
 
-    return _adam(grad, p.shape[1], epochs, STEP)
+    return _adam(grad, p.shape[1] + 1, epochs, STEP)
+
+
+def _linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ weights + bias, without a wider copy of x."""
+    return (x @ w[:-1].astype(x.dtype)).astype(float) + w[-1]
+
+
+def _pulled(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The mean of the rows of x and 1 for the bias, weighted."""
+    return np.append((by.astype(x.dtype) @ x).astype(float), by.sum()) / len(x)
 
 
 class Model:
@@ -130,21 +139,28 @@ def fit_arrays(p: np.ndarray, u: np.ndarray) -> Model:
     """A model from positives' and unlabelled texts' features."""
     if not len(p) or not len(u):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1), 0.5)
-    mean, scale = u.mean(axis=0), u.std(axis=0) + 1e-3
-    p, u = np.clip((p - mean) / scale, -5, 5), np.clip((u - mean) / scale, -5, 5)
+    mean, scale = u.mean(axis=0, dtype=float), u.std(axis=0, dtype=float) + 1e-3
+    p, u = _scaled(p, mean, scale), _scaled(u, mean, scale)
     if len(p) < 20 or len(u) < 20:
         prior = 0.5
     else:
         # Against the unlabelled, with the prior set to one half, on every other row; scored on the rest.
         w = _adam(lambda w: _against(p[::2], u[::2], w), p.shape[1] + 1, EPOCHS // 2, STEP)
-        prior = estimate_prior(p[1::2] @ w[:-1] + w[-1], u[1::2] @ w[:-1] + w[-1])
+        prior = estimate_prior(_linear(p[1::2], w), _linear(u[1::2], w))
     return Model(mean, scale, fit_risk(p, u, prior), prior)
 
 
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features around 0, cut at 5, in 32 bits: the driver holds no wider copy."""
+    out = x.astype(np.float32)
+    out -= mean.astype(np.float32)
+    out /= scale.astype(np.float32)
+    return np.clip(out, -5, 5, out=out)
+
+
 def _against(p: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    sp, su = _sigmoid(p @ w[:-1] + w[-1]), _sigmoid(u @ w[:-1] + w[-1])
-    g = u.T @ su / len(u) - p.T @ (1 - sp) / len(p)
-    return np.append(g, np.mean(su) - np.mean(1 - sp)) + 1e-2 * w
+    sp, su = _sigmoid(_linear(p, w)), _sigmoid(_linear(u, w))
+    return _pulled(u, su) - _pulled(p, 1 - sp) + 1e-2 * w
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1) -> Model:
@@ -184,11 +200,8 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, that score at least ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        out = [shared.value.score(texts[k : k + _ROWS].tolist()) for k in range(0, len(texts), _ROWS)]
-        return pd.Series(np.concatenate(out) if out else [], dtype=float)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *[shared.value.score(part) for part in common.by_parts(texts, _ROWS)]]), pa.float64())
 
     return docs.where(score(F.col("text").cast("string")) >= least)
