@@ -13,8 +13,8 @@ period as long as their sum, so releases, deadlines and the bound above hold for
 given, over any number of periods. That one period is scheduled on the driver from one row a
 source, in time in proportion to its slots, and is broadcast. It has at most ``SLOTS`` slots and
 sources; weights whose period is longer are refused, not rounded. By default a source weighs
-the square root of its number of documents, rounded up (in units that keep the sum of all near
-``UNITS``, which matters beyond some 10**9 documents).
+the square root of its number of documents, rounded up. These, too, are refused where their
+period is longer, which begins at some 10**13 documents: give weights of a smaller sum then.
 
 Ranks inside a source come from counts of hash buckets and row numbers inside a bucket, so that
 no task holds a source.
@@ -37,8 +37,8 @@ from pyspark.sql.window import Window
 
 #: Documents of a block, and most rows aimed at in a hash bucket.
 BLOCK_DOCS, BUCKET_ROWS = 8, 1_000_000
-#: Most slots of a period, and the sum of weights that the default ones keep near.
-SLOTS, UNITS = 1 << 22, 1 << 20
+#: Most slots of a period.
+SLOTS = 1 << 22
 
 
 def _whole(a: Column, b: Column) -> Column:
@@ -58,9 +58,7 @@ def _weighed(counts: list[tuple[str, int]], weights: dict[str, int] | None) -> l
     """(skey, n, weight) of every source. ``weights`` are whole numbers by source (None: the null one; missing: 1)."""
     if weights is not None:
         return [(k, n, max(1, int(weights.get(k[1:] if k else None, 1)))) for k, n in counts]
-    roots = [math.isqrt(n - 1) + 1 for _, n in counts]
-    unit = max(1, -(-sum(roots) // UNITS))
-    return [(k, n, -(-r // unit)) for (k, n), r in zip(counts, roots, strict=True)]
+    return [(k, n, math.isqrt(n - 1) + 1) for k, n in counts]
 
 
 def earliest_deadline_first(quota: list[int], slots: int) -> list[list[int]]:
@@ -155,8 +153,7 @@ SQL = f"""
 WITH RECURSIVE counts AS (
   SELECT CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS skey, count(*) AS n FROM documents GROUP BY 1),
 roots AS (SELECT skey, CAST(ceil(sqrt(n)) AS BIGINT) AS r FROM counts),
-unit AS (SELECT greatest(1, CAST(ceil(sum(r) / {UNITS}.0) AS BIGINT)) AS u FROM roots),
-weighed AS (SELECT skey, CAST(ceil(r / (u * 1.0)) AS BIGINT) AS w FROM roots, unit),
+weighed AS (SELECT skey, r AS w FROM roots),
 shared AS (SELECT list_reduce(list(w), lambda a, b: gcd(a, b)) AS g FROM weighed),
 quota AS (SELECT skey, CAST(w // g AS BIGINT) AS quota FROM weighed, shared),
 named AS (

@@ -169,14 +169,23 @@ def test_weights_whose_period_is_too_long_are_refused(spark, docs):
         mixing.schedule(many, {"s0": 10**9 + 7, "s1": 1}, block_docs=1)
 
 
-def test_default_weights_are_square_roots_in_bounded_units():
+def test_default_weights_are_exact_square_roots():
     small = mixing._weighed([("=a", 10), ("=b", 16), ("", 1)], None)
     assert [w for _, _, w in small] == [4, 4, 1]
-    large = mixing._weighed([(f"={k}", 10**14) for k in range(1000)], None)
-    assert sum(w for _, _, w in large) <= mixing.UNITS + 1000
+    large = mixing._weighed([("=big", 10**13), ("=light", 1)], None)
+    assert [w for _, _, w in large] == [3162278, 1]  # a light source is not raised by coarser units
     assert [w for _, _, w in mixing._weighed([("=a", 5), ("", 5)], {"a": 3, None: 2})] == [3, 2]
 
 
+def test_repeated_documents_are_joined_once(spark):
+    """A doc_id that comes thousands of times, with one text and with another that links."""
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    docs = spark.range(3000).selectExpr("7 AS doc_id", f"'{text}' AS text").union(spark.range(40).selectExpr("7 AS doc_id", f"'{near}' AS text")).union(spark.createDataFrame([(3, near), (9, text), (11, "one two")], "doc_id long, text string"))
+    found = ngram_join.link_classes(docs).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, found)) == [(3, 3, 1), (7, 3, 3040), (9, 3, 1), (11, 11, 1)]
+
+
 def test_mix_of_one_heavy_and_many_light_sources(spark):
     rows = [(k, "t", "heavy" if k < 2000 else f"s{k % 600}") for k in range(3800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
