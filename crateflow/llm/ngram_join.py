@@ -99,7 +99,7 @@ def _survivors(sets: DataFrame, parts: int) -> DataFrame:
 
 def _whole(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """set, rep, tokens of the documents ``wanted`` (doc_id), and of few others: a set may come
-    more than once, under ids of its own class, which adds comparisons and no link."""
+    more than once, where an id is repeated or the filter takes another id of its class for it."""
     filter_ = docs.sparkSession.sparkContext.broadcast(bitmap.bitmap(wanted, "doc_id"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +229,10 @@ def link_classes(docs: DataFrame) -> DataFrame:
     # The whole sets of the representatives that may link.
     wanted = common.stored(classes.join(_survivors(sets, parts).withColumnRenamed("set", "lo"), "lo").where("rep is not null").select(F.col("rep").alias("doc_id")).coalesce(parts).distinct(), "wanted", parts)
     full = common.stored(_whole(docs, wanted), "sets")
+    times = full.groupBy("set").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (times or 0) > 1:  # copies would be compared with copies: each set once, by its class's least id
+        many, full = full, common.stored(full.groupBy("set").agg(F.min("rep").alias("rep"), F.min_by("tokens", "rep").alias("tokens")), "sets")
+        common.remove(many)
     tree = component_stars(full, parts)
     common.remove(wanted, full)
     labels = classes.join(tree, classes["rep"] == tree["node"], "left").select("hi", "lo", F.coalesce("root", "rep").alias("component"))
