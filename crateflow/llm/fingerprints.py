@@ -35,6 +35,8 @@ ROWS = PERMUTATIONS // BANDS
 #: Rounds in which the members of a band are compared with one of them; members of a band that are
 #: compared with each other after that.
 PIVOTS, FEW = 3, 16
+#: Likeness of two texts of one class; the prefix join has the same.
+LEAST = 0.8
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -205,26 +207,26 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, ["id", "lo"]).select("id", "s")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """u, v of the pairs (a, b) whose exact likeness reaches ``least``."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v of the pairs (a, b) whose exact likeness reaches ``LEAST``."""
     left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return pairs.join(left, "a").join(right, "b").where(both >= F.lit(LEAST) * (F.size("x") + F.size("y") - both)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def classes(docs: DataFrame, rows: DataFrame, least: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, class_id of the documents that share a class with another set or text: the least id that
-    equal shingle sets and pairs of at least ``least`` that share a band lead to. ``rows``: ``signed(docs)``.
+    equal shingle sets and pairs of a likeness of ``LEAST`` that share a band lead to. ``rows``: ``signed(docs)``.
 
     In ``PIVOTS`` rounds the members of a band are compared with one of them only, first the
     smallest id, then one of any component. Where members of different components still share a
     band, those of small bands (``FEW``) are compared with each other, but for those whose sizes
-    rule ``least`` out; those of larger bands, which share common passages, go through the exact
-    prefix join of ``ngram_join`` (at ``least`` 0.8, its own), which makes no pairs of a group."""
+    rule it out; those of larger bands, which share common passages, go through the exact prefix
+    join of ``ngram_join``, whose likeness is the same, which makes no pairs of a group."""
     shared = docs.sparkSession.sparkContext.broadcast
 
     def alike(n: str, m: str) -> Column:
-        return F.least(n, m) / F.greatest(n, m) >= least
+        return F.least(n, m) / F.greatest(n, m) >= LEAST
 
     known = rows.where("n > 0 AND doc_id IS NOT NULL")
     reps = common.stored(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sign").alias("sign"), F.count("*").alias("copies")), "reps")
@@ -246,7 +248,7 @@ def classes(docs: DataFrame, rows: DataFrame, least: float = 0.8) -> DataFrame:
             a, b = mixed.where(F.col("size") <= FEW).alias("a"), mixed.alias("b")
             meets = (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.rep") < F.col("b.rep")) & alike("a.n", "b.n")
             pairs = a.join(b, meets).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-        found = common.stored(_verified(pairs.coalesce(parts).distinct(), sets, least), "found", parts)
+        found = common.stored(_verified(pairs.coalesce(parts).distinct(), sets), "found", parts)
         if tree is None:
             tree = components.components(found)
         elif not found.isEmpty():
@@ -261,11 +263,11 @@ def classes(docs: DataFrame, rows: DataFrame, least: float = 0.8) -> DataFrame:
     return common.stored(known.select("doc_id", "hi", "lo").join(grouped, ["hi", "lo"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "classes")
 
 
-def fingerprints(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (see
     ``signed``) and class_id (see ``classes``; a document alone is its own class)."""
     rows = common.stored(signed(docs), "signatures")
-    found = classes(docs, rows, least).withColumnRenamed("doc_id", "member")
+    found = classes(docs, rows).withColumnRenamed("doc_id", "member")
     return rows.join(found, rows["doc_id"] == found["member"], "left").select(
         "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("sign")).alias("fingerprint"), F.lower(F.hex("edited_sign")).alias("edited_fingerprint"), "near_edited", "near_next", F.coalesce("class_id", "doc_id").alias("class_id")
     )
