@@ -36,7 +36,7 @@ from . import common, units
 #: Characters of a leaf of a text's tree, and bytes of a leaf inside one piece.
 LEAF_CHARS, LEAF_BYTES = 4096, 32
 #: Units, and pieces, whose ids a worker keeps.
-UNITS, PIECES = 300_000, 600_000
+UNITS, PIECES = 150_000, 300_000
 _LONG = 64
 _NONE = 1 << 40
 
