@@ -410,3 +410,30 @@ def read(files: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> Da
 
     found = files.mapInArrow(work, "part long, doc_id long, start long, n_tokens long, ids_crc32 long")
     return found.join(F.broadcast(totals), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_documents(files: DataFrame, wanted: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit, the end id included) of the ``wanted`` documents (doc_id).
+
+    Only the shards that hold one are opened, and in these only the symbols that cover it are expanded.
+    The shards' lists of documents are looked through without their sequences. Repeated rows of a doc_id all
+    come back; ids that no shard holds, and null, give nothing."""
+    import public_tokenizers
+
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    held = files.select("part", "block", F.explode("docs").alias("doc_id")).join(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # At most a shard's documents each.
+    hits = held.groupBy(F.col("part").alias("of_part"), F.col("block").alias("of_block")).agg(F.collect_set("doc_id").alias("asked"))
+    shards = files.join(hits, (F.col("part") == F.col("of_part")) & (F.col("block") == F.col("of_block"))).select(*_KINDS, "asked")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terminals = max(encoder(path).terminals, end_id + 1)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in (*_KINDS, "asked")}
+                shard, asked = Shard(*(row[n] for n in ("width", "rules", "lengths", "sequence", "marks")), terminals), set(row["asked"])
+                starts = np.cumsum(row["sizes"]) - row["sizes"]
+                found = [(i, n, shard.ids(int(a), n)) for i, n, a in zip(row["docs"], row["sizes"], starts, strict=True) if i in asked]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_tokens", "ids"])
+
+    return shards.mapInArrow(work, "doc_id long, n_tokens long, ids binary")

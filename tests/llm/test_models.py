@@ -68,9 +68,40 @@ def test_label_model_does_not_count_a_repeated_voter_twice():
     assert auc(post, truth.astype(int)) > 0.8 and (chance[1, :3] > chance[0, :3]).all()
 
 
-def test_risk_is_fitted_without_negatives():
-    rng = np.random.default_rng(2)
-    p = rng.normal(1.5, 1, (400, 4)).astype(np.float32)
-    u = np.concatenate([rng.normal(1.5, 1, (200, 4)), rng.normal(-1.5, 1, (200, 4))]).astype(np.float32)
-    model = quality.fit_arrays(np.pad(p, ((0, 0), (0, quality.WIDTH - 4))), np.pad(u, ((0, 0), (0, quality.WIDTH - 4))))
-    assert 0.1 < model.prior < 0.9
+def wide(x):
+    return np.pad(x, ((0, 0), (0, quality.WIDTH - x.shape[1]))).astype(np.float32)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.7])
+def test_risk_is_fitted_without_negatives(share):
+    rng, n = np.random.default_rng(3), 3000
+    p, good = rng.normal(0, 1, (n, 6)), rng.random(n) < share
+    p[:, 0] += 2.5
+    u = rng.normal(0, 1, (n, 6))
+    u[good, 0] += 2.5
+    model = quality.fit_arrays(wide(p), wide(u))
+    assert abs(model.prior - share) < 0.1
+    z = np.clip((wide(u) - model.mean) / model.scale, -5, 5) @ model.weights[:-1] + model.weights[-1]
+    assert np.mean((z > 0) == good) > 0.87  # the best line between the two is right in 89 of a hundred
+
+
+def test_a_risk_below_zero_goes_up_its_gradient(monkeypatch):
+    """Unlabelled rows that are all positives, with a prior too high for them: the second term falls below
+    zero, and from there the step goes against the unlabelled part instead of after it."""
+    rng = np.random.default_rng(5)
+    p = rng.normal(1, 0.1, (200, 3)).astype(np.float32)
+    grads, plain = [], quality._adam
+    monkeypatch.setattr(quality, "_adam", lambda grad, width, epochs, step: grads.append(grad) or plain(grad, width, epochs, step))
+    quality.fit_risk(p, p, 0.9, epochs=5)
+    (grad,) = grads
+    w = np.array([2.0, 2.0, 2.0, 1.0])  # rates all rows positive, so R_u(-) = R_p(-) and 0.1 of it is left: above zero
+    sp = 1 / (1 + np.exp(-(p @ w[:-1] + w[-1])))
+    mean = lambda v: np.append(v @ p, v.sum()) / len(p)
+    assert np.allclose(grad(w), -0.9 * mean(1 - sp) + mean(sp) - 0.9 * mean(sp) + quality.DECAY * w, atol=1e-4)
+    far = rng.normal(-3, 0.1, (200, 3)).astype(np.float32)  # rated negative: R_u(-) is near 0 and less than 0.9 * R_p(-)
+    grads.clear()
+    quality.fit_risk(p, far, 0.9, epochs=1)
+    su = 1 / (1 + np.exp(-(far @ w[:-1] + w[-1])))
+    down = np.append(su @ far, su.sum()) / len(far) - 0.9 * mean(sp)
+    assert np.mean(-np.log(1 - su + 1e-12)) < 0.9 * np.mean(-np.log(1 - sp + 1e-12))
+    assert np.allclose(grads[0](w), -down + quality.DECAY * w, atol=1e-4)

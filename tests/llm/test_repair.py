@@ -58,3 +58,15 @@ def test_encoder_gives_what_the_library_gives():
     for _ in range(2):  # once more from memory
         got = own.batch(pa.array(texts, pa.string()))
         assert [np.frombuffer(r, "<u4").tolist() for r in got] == [own.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_chosen_documents_are_read_from_their_shards_alone(spark, docs, texts):
+    own = repair.Encoder(public_tokenizers.path("byte_bpe_50k.json")).library
+    files = repair.write(docs, shard_ids=300)
+    assert files.count() > 5
+    wanted = spark.createDataFrame([(3,), (7,), (7,), (len(texts) - 1,), (99_999,), (None,)], "doc_id long")
+    got = sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in repair.read_documents(files, wanted).collect())
+    ids = lambda k: own.encode(texts[k] or "", add_special_tokens=False).ids + [2]
+    assert got == sorted([(3, ids(3))] * 3 + [(7, ids(7)), (len(texts) - 1, ids(len(texts) - 1))])  # the row of doc 3 comes three times
+    opened = repair.read_documents(files, wanted.limit(1))
+    assert opened.count() == 3 and repair.read_documents(files, wanted.limit(0)).count() == 0
