@@ -7,6 +7,7 @@ otherwise. Nothing here runs Python on rows.
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -41,16 +42,14 @@ def _accents() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def fold(name: Column) -> Column:
-    """Lower case, with letters of ``LETTERS`` spelled out and accents dropped."""
-    out = F.lower(name)
-    for base, spelled in (("a", "ae"), ("o", "oe"), ("u", "ue")):
-        out = F.replace(out, F.lit(base + "̈"), F.lit(spelled))
-    for letter, spelled in LETTERS.items():
-        out = F.replace(out, F.lit(letter), F.lit(spelled))
+    """Lower case, with letters of ``LETTERS`` spelled out and accents dropped. Names of ASCII letters,
+    which most are, are done once they are lower-cased; of others each character is looked up."""
+    out = F.regexp_replace(F.lower(name), "([aou])\u0308", "$1e")
     marked, plain, several = _accents()
-    for c, letters in several:
-        out = F.replace(out, F.lit(c), F.lit(letters))
-    return F.regexp_replace(F.translate(out, marked, plain), r"\p{Mn}", "")
+    spelled = F.from_json(F.lit(json.dumps(LETTERS | dict(several))), "map<string, string>")
+    each = F.transform(F.regexp_extract_all(out, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(spelled, c), c))
+    full = F.regexp_replace(F.translate(F.array_join(each, ""), marked, plain), r"\p{Mn}", "")
+    return F.when(out.rlike(r"[^\x00-\x7f]"), full).otherwise(out)
 
 
 def words(name: Column) -> Column:
