@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from crateflow.functions import text
 
+from . import storage
+
 
 #: Words of a name up to which pairs of them are the keys.
 WIDE = 12
@@ -30,14 +32,15 @@ def keyed(names: DataFrame, id_col: str, artist: str | None, title: str) -> Data
 
 
 def _plain(keys: DataFrame) -> DataFrame:
-    """id, tokens, remix, rep: the class of equal keys, by a hash of 256 bits."""
+    """id, tokens, remix, rep: the class of equal keys, by a hash of 256 bits. Stored, as words are cut
+    by many expressions and read by several steps."""
     rows = keys.select("id", F.array_sort("key.tokens").alias("tokens"), F.array_sort("key.remix").alias("remix"))
-    return rows.withColumn("rep", F.sha2(F.concat(F.array_join("tokens", " "), F.lit("|"), F.array_join("remix", " ")), 256))
+    return storage.stored(rows.withColumn("rep", F.sha2(F.concat(F.array_join("tokens", " "), F.lit("|"), F.array_join("remix", " ")), 256)), "names")
 
 
-def _classes(keys: DataFrame) -> DataFrame:
+def _classes(plain: DataFrame) -> DataFrame:
     """rep, tokens, remix of each different key."""
-    return _plain(keys).select("rep", "tokens", "remix").distinct()
+    return plain.select("rep", "tokens", "remix").distinct()
 
 
 def _asked(x: Column, y: Column) -> Column:
@@ -65,6 +68,10 @@ def _word_keys(classes: DataFrame, counts: DataFrame) -> DataFrame:
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b: classes of two tables of (id, key) that share words enough to be compared."""
+    return _candidates(_plain(left), _plain(right))
+
+
+def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     counts = _classes(left).select("tokens").union(_classes(right).select("tokens")).select(F.explode("tokens").alias("word")).groupBy("word").count()
     a, b = _word_keys(_classes(left), counts), _word_keys(_classes(right), counts)
     both = a.withColumnRenamed("rep", "a").join(b.select(F.col("rep").alias("b"), F.col("x").alias("y"), "asked", "u", "v"), ["asked", "u", "v"])
@@ -76,24 +83,24 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _class_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b, overlap of all matching classes."""
+    """a, b, overlap of all matching classes of two tables of ``_plain``."""
     key = lambda side, name: _classes(side).select(F.col("rep").alias(name), F.struct("tokens", "remix").alias(f"key_{name}"))
-    both = candidates(left, right).join(key(left, "a"), "a").join(key(right, "b"), "b").where(text.names_match(F.col("key_a"), F.col("key_b")))
+    both = _candidates(left, right).join(key(left, "a"), "a").join(key(right, "b"), "b").where(text.names_match(F.col("key_a"), F.col("key_b")))
     return both.select("a", "b", F.size(F.array_intersect("key_a.tokens", "key_b.tokens")).alias("overlap"))
 
 
 def matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id, overlap (shared words) of all matching names of two tables of (id, key)."""
-    found = _class_matches(left, right)
-    x, y = _plain(left).select(F.col("rep").alias("a"), F.col("id").alias("left_id")), _plain(right).select(F.col("rep").alias("b"), F.col("id").alias("right_id"))
-    return found.join(x, "a").join(y, "b").select("left_id", "right_id", "overlap")
+    left, right = _plain(left), _plain(right)
+    x, y = left.select(F.col("rep").alias("a"), F.col("id").alias("left_id")), right.select(F.col("rep").alias("b"), F.col("id").alias("right_id"))
+    return _class_matches(left, right).join(x, "a").join(y, "b").select("left_id", "right_id", "overlap")
 
 
 def owned(names: DataFrame, collection: DataFrame) -> DataFrame:
     """id, owned of every row of ``names`` (id, key): whether a name of ``collection`` matches; null
     where there is no word to compare."""
-    some = names.where(F.size("key.tokens") > 0)
-    hits = _class_matches(some, collection).select("a").distinct().join(_plain(some).select(F.col("rep").alias("a"), F.col("id").alias("hit")), "a").select("hit").distinct()
+    some = _plain(names.where(F.size("key.tokens") > 0))
+    hits = _class_matches(some, _plain(collection)).select("a").distinct().join(some.select(F.col("rep").alias("a"), F.col("id").alias("hit")), "a").select("hit").distinct()
     return names.join(hits, names["id"] == hits["hit"], "left").select("id", F.when(F.size("key.tokens") > 0, F.col("hit").isNotNull()).alias("owned"))
 
 
