@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 MAJOR = np.array([6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88])
 MINOR = np.array([6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17])
 
+#: Seconds from which on the upper end of a spectrum is measured twice.
+LONG = 150
+
 
 def spectrogram(samples: np.ndarray, size: int, hop: int) -> np.ndarray:
     """Magnitudes, frequency x frames, under a Hann window; shorter signals are padded."""
@@ -108,6 +111,31 @@ def cutoff_of(samples: np.ndarray, rate: int, silence: float = 1e-4) -> float:
     return float(freq[active[-1]]) if len(active) else 0.0
 
 
+def cutoff_windows(seconds_long: float, seconds: int = 30) -> tuple[int, ...]:
+    """Where the upper end of a spectrum is measured: at one minute, in tracks of ``LONG`` seconds and more
+    also at three fifths, behind the first window and inside the track."""
+    if seconds_long < LONG:
+        return (60,)
+    return 60, max(60 + seconds, min(int(0.6 * seconds_long), int(seconds_long) - seconds))
+
+
+def widest_cutoff(samples: np.ndarray, rate: int, starts: tuple[int, ...] | None = None, seconds: int = 30) -> float:
+    """The highest ``cutoff_of`` over windows of ``seconds`` from ``starts`` on, by default ``cutoff_windows``: a quiet
+    beginning hides what a loud part shows. A window needs five seconds (nine tenths of a shorter one); where
+    none has them, the beginning is measured if it has three. 0 where nothing can be."""
+    starts = cutoff_windows(len(samples) / rate, seconds) if starts is None else starts
+    parts = [samples[s * rate : (s + seconds) * rate] for s in {max(0, int(s)) for s in starts}]
+    whole = [p for p in parts if len(p) >= int(min(5.0, 0.9 * seconds) * rate)]
+    if not whole and len(samples) >= int(min(3.0, 0.9 * seconds) * rate):
+        whole = [samples[: seconds * rate]]
+    return max((cutoff_of(p, rate) for p in whole), default=0.0)
+
+
+def cutoff(samples: Column | str, rate: int = 44_100, starts: tuple[int, ...] | None = None, seconds: int = 30) -> Column:
+    """``widest_cutoff`` of arrays of samples; 0 for null."""
+    return F.pandas_udf(lambda rows: pd.Series([widest_cutoff(np.asarray(r if r is not None else [], dtype=np.float32), rate, starts, seconds) for r in rows], dtype=float), "double")(samples)
+
+
 def analysis(samples: Column | str, rate: int = 44_100, window: tuple[float, float] | None = None, seconds: int = 90) -> Column:
     """struct(bpm, bpm_confidence, key_camelot, key_margin, centroid, rms, cutoff) of the first ``seconds`` of
     samples; all null for null or less than three seconds."""

@@ -48,8 +48,9 @@ def percent_ranks(df: DataFrame, columns: list[str], ranges: int = RANGES) -> Da
 
 
 def running_sum(df: DataFrame, value: str, order: str, out: str, descending: bool = False, ranges: int = RANGES) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over the rows that come before in ``order``, a column
-    without repeats and nulls, dealt to ranges as in ``percent_ranks``."""
+    """``df`` with ``out``: the sum of ``value`` over the rows that come before in ``order``, dealt to
+    ranges as in ``percent_ranks``. Rows without an order come first (last, if descending); of equal ones
+    any comes first."""
     edges = sorted(set(df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []))
     placed = df.withColumn("range_", _range_of(F.col(order), edges))
     by = F.col("range_").desc() if descending else F.col("range_").asc()

@@ -34,6 +34,14 @@ def test_percent_ranks_are_shares_of_values_not_above(spark):
         assert both[k] == (up, down, 100.0)
 
 
+def test_running_sum_of_missing_orders(spark):
+    df = spark.createDataFrame([(None, 10), (None, 1), (3, 2), (1, 5)], "k int, n long")
+    up = {(r.k, r.n): r.s for r in ranking.running_sum(df, "n", "k", "s", ranges=3).collect()}
+    down = {(r.k, r.n): r.s for r in ranking.running_sum(df, "n", "k", "s", descending=True, ranges=3).collect()}
+    assert (up[1, 5], up[3, 2]) == (11, 16) and {up[None, 10], up[None, 1]} in ({0, 10}, {0, 1}, {0, 10, 1})  # missing ones come first
+    assert (down[3, 2], down[1, 5]) == (0, 2) and min(down[None, 10], down[None, 1]) == 7
+
+
 def test_running_sum_and_eviction(spark):
     files = spark.createDataFrame([(k, 10 * k + 1) for k in range(100)], "id long, size long")
     got = {r.id: r.before for r in ranking.running_sum(files, "size", "id", "before", ranges=9).collect()}

@@ -93,3 +93,24 @@ def test_key_brightness_and_cutoff(spark):
     df = spark.createDataFrame([(1, chord([57, 60, 64]).tolist()), (2, None), (3, [0.1] * 10)], "id int, y array<float>")
     got = {r.id: r.a for r in df.select("id", signal.analysis("y", rate).alias("a")).collect()}
     assert got[1].centroid > 0 and got[2].bpm is None and got[3].rms is None
+
+
+def test_cutoff_is_the_widest_of_several_windows(spark):
+    rate = 1000 * 18
+    rng = np.random.default_rng(2)
+
+    def band(top, seconds):
+        spec = np.fft.rfft(rng.normal(0, 0.1, rate * seconds))
+        spec[np.fft.rfftfreq(rate * seconds, 1 / rate) > top] = 0
+        return np.fft.irfft(spec).astype(np.float32)
+
+    assert signal.cutoff_windows(149.9) == (60,) and signal.cutoff_windows(300) == (60, 180) and signal.cutoff_windows(150) == (60, 90) and signal.cutoff_windows(155) == (60, 93)
+    y = np.concatenate([np.zeros(rate * 4, np.float32), band(5000, 6), band(7000, 6)])
+    wide = lambda *starts, seconds=6: signal.widest_cutoff(y, rate, starts, seconds)
+    assert abs(wide(4) - 5000) < 200 and abs(wide(4, 10) - 7000) < 200 and abs(wide(10, 4, 4, -3) - 7000) < 200
+    assert abs(wide(4, 13) - 5000) < 200  # the second window has three seconds left, too few
+    assert wide(99, seconds=4) == 0.0  # behind the end: the silent beginning is measured
+    assert abs(signal.widest_cutoff(band(5000, 4), rate) - 5000) < 200 and signal.widest_cutoff(band(5000, 2), rate) == 0.0
+    df = spark.createDataFrame([(1, band(6000, 4).tolist()), (2, None), (3, [])], "id int, y array<float>")
+    got = {r.id: r.c for r in df.select("id", signal.cutoff("y", rate).alias("c")).collect()}
+    assert abs(got[1] - 6000) < 200 and got[2] == got[3] == 0.0
