@@ -105,6 +105,24 @@ def first_kicks(frames: DataFrame, seconds: float, share: float = KICK) -> DataF
     return loud.groupBy("track_id").agg(F.bround(F.min("k") * F.lit(seconds), 3).alias("first_kick"))
 
 
+def kicks(frames: DataFrame, seconds: float, share: float = 0.15, near: int = 3, wait: int = 8) -> DataFrame:
+    """track_id, t of frames whose energy rises by more than around them: the rise from the frame before is the
+    largest among ``near`` frames before and ``near`` - 1 behind, and ``share`` of the track's largest rise above
+    their mean; after one, none counts within ``wait`` frames. What ``trends.kick_segments`` takes.
+
+    Candidates that follow each other within ``wait`` frames are few; each row of them is gone through in order."""
+    by = Window.partitionBy("track_id").orderBy("k")
+    around = by.rowsBetween(-near, near - 1)
+    rises = frames.withColumn("rise", F.greatest(F.lit(0.0), F.coalesce(F.col("energy") - F.lag("energy").over(by), F.lit(0.0))))
+    top = rises.groupBy("track_id").agg(F.max("rise").alias("top")).where("top > 0")
+    marked = rises.withColumns({"most": F.max("rise").over(around), "mean": F.avg("rise").over(around)}).join(top, "track_id")
+    found = marked.where((F.col("rise") > 0) & (F.col("rise") == F.col("most")) & (F.col("rise") >= F.col("mean") + share * F.col("top"))).select("track_id", "k")
+    rows = found.withColumn("fresh", F.coalesce(F.col("k") - F.lag("k").over(by) > wait, F.lit(True)).cast("int")).withColumn("row", F.sum("fresh").over(by))
+    own = rows.groupBy("track_id", "row").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    kept = F.aggregate("ks", F.array().cast("array<bigint>"), lambda done, k: F.when((F.size(done) == 0) | (k - F.try_element_at(done, F.lit(-1)) > wait), F.array_append(done, k)).otherwise(done))
+    return own.select("track_id", F.explode(kept).alias("k")).select("track_id", (F.col("k") * F.lit(seconds)).alias("t"))
+
+
 def drops(frames: DataFrame, searches: DataFrame, beats: DataFrame | None, seconds: float, share: float = DROP, within: float = SEARCH, around: float = AROUND) -> DataFrame:
     """track_id, searched, start, energy_ratio, corrected, offset: where the energy comes back after
     ``searched`` (searches: track_id, searched), ``within`` seconds at most.

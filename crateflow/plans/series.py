@@ -76,3 +76,11 @@ def bass_drops(table):
 @query(FRAMES + "k AS (SELECT track_id, min(k) * 0.5::DOUBLE AS first_kick FROM f JOIN t USING (track_id) WHERE energy >= 0.9 * peak GROUP BY 1) SELECT * FROM k")
 def first_kicks(table):
     return samples.first_kicks(_frames(table), STEP / RATE, share=0.9)
+
+
+@query(FRAMES + """
+d AS (SELECT track_id, k, greatest(0, energy - coalesce(lag(energy) OVER (PARTITION BY track_id ORDER BY k), energy)) AS rise FROM f),
+g AS (SELECT *, max(rise) OVER (PARTITION BY track_id ORDER BY k ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS most, avg(rise) OVER (PARTITION BY track_id ORDER BY k ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS mean, max(rise) OVER (PARTITION BY track_id) AS top FROM d)
+SELECT track_id, k * 0.5::DOUBLE AS t FROM g WHERE rise > 0 AND rise = most AND rise >= mean + 0.15 * top""")
+def kick_times(table):
+    return samples.kicks(_frames(table), STEP / RATE, wait=0)

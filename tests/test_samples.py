@@ -142,3 +142,20 @@ def test_report_puts_them_together(spark):
     (q,), (d,), (k,) = quiet.collect(), drops.collect(), kicks.collect()
     assert (q.kind, q.start, q.ratio) == ("silence", 10.0, 0.0) and 19 < q.stop < 20
     assert d.searched == q.stop and d.corrected and d.start == pytest.approx(21.9, abs=0.3) and k.first_kick == 0.0
+
+
+@pytest.mark.parametrize("wait", [0, 4, 30])
+def test_kicks_by_a_plain_walk(spark, series, wait):
+    env = samples.envelope(cut(spark, series, 97), FRAME, HOP)
+    want = []
+    for track, x in series.items():
+        e = envelope(x)
+        rise = [0.0] + [max(0.0, b - a) for a, b in zip(e, e[1:])]
+        last = None
+        for k, r in enumerate(rise):
+            part = rise[max(0, k - 3) : k + 3]
+            if r > 0 and r == max(part) and r >= sum(part) / len(part) + 0.15 * max(rise) and (last is None or k - last > wait):
+                want.append((track, k * SECONDS))
+                last = k
+    got = sorted(rows(samples.kicks(env, SECONDS, wait=wait)))
+    assert len(want) > 5 and [g[0] for g in got] == [w[0] for w in sorted(want)] and [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)])
