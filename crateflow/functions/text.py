@@ -114,6 +114,17 @@ def artist_title(raw: Column) -> Column:
     return F.struct(F.when(hyphen, a).when(dash, b).alias("artist"), F.when(hyphen, t).when(dash, u).otherwise(F.trim(raw)).alias("title"))
 
 
+def guessed_artist_title(stem: Column) -> Column:
+    """struct(artist, title) of a file's name without its ending: cut at the first of `` - ``, `` – ``, `` — `` and
+    ``-`` that it holds, in this order; no artist where it holds none."""
+    out = F.struct(F.lit("").alias("artist"), F.trim(stem).alias("title"))
+    for mark in ("-", " — ", " – ", " - "):
+        at = F.instr(stem, mark)
+        cut = F.struct(F.trim(F.substring(stem, F.lit(1), at - 1)).alias("artist"), F.trim(F.substring(stem, at + len(mark), F.length(stem))).alias("title"))
+        out = F.when(at > 0, cut).otherwise(out)
+    return F.when(stem.isNotNull(), out)
+
+
 def from_file_name(path: Column) -> Column:
     """struct(artist, title) of a file's name: without folders, ending and a leading ``[id]``."""
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")

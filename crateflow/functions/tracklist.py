@@ -59,3 +59,18 @@ def duration(page: Column) -> Column:
     """Seconds of the first table cell h:mm:ss that has a line of its own, else null."""
     part = lambda k: F.regexp_extract(page, r"(?m)^\|\s*(\d{1,2}):(\d{2}):(\d{2})\s*$", k).try_cast("int")
     return part(1) * 3600 + part(2) * 60 + part(3)
+
+
+def page_text(answer: Column) -> Column:
+    """The text of a wiki page from the answer (JSON) to a request for it, in either of its forms; null
+    where the page is missing or the answer is none."""
+    at = F.try_variant_get(F.try_parse_json(answer), "$.parse.wikitext", "variant")
+    plain = F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(at, "$", "string"))
+    return F.coalesce(F.try_variant_get(at, "$['*']", "string"), plain)
+
+
+def found_pages(answer: Column) -> Column:
+    """The titles that the answer (JSON) to a search names, in order; an empty array for anything else."""
+    hits = F.try_variant_get(F.try_parse_json(answer), "$.query.search", "array<variant>")
+    titles = F.filter(F.transform(hits, lambda h: F.try_variant_get(h, "$.title", "string")), lambda t: t.isNotNull())
+    return F.coalesce(titles, F.array().cast("array<string>"))

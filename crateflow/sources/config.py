@@ -5,6 +5,15 @@ from __future__ import annotations
 import copy
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: What a track of a source's answer must have.
+TRACK_FIELDS = (
+    "id", "kind", "title", "permalink_url", "created_at", "duration", "playback_count", "likes_count", "reposts_count", "comment_count", "downloadable",
+    "tag_list", "description", "user.username", "user.permalink_url", "media.transcodings",
+)
+
 
 def deep_merge(base: dict, own: dict) -> dict:
     """``own`` over ``base``: dicts are merged, everything else is replaced."""
@@ -82,13 +91,26 @@ def check(config: dict, schema: dict[str, dict]) -> tuple[list[str], list[str]]:
 
 
 def missing_fields(payload: dict, required: list[str]) -> list[str]:
-    """The dotted paths of ``required`` that a payload lacks or holds null."""
+    """The dotted paths of ``required`` that a payload lacks; a null at the end of a path is there."""
     def has(path: str) -> bool:
         at: Any = payload
         for part in path.split("."):
-            if not isinstance(at, dict) or at.get(part) is None:
+            if not isinstance(at, dict) or part not in at:
                 return False
             at = at[part]
         return True
 
     return [p for p in required if not has(p)]
+
+
+def payload_gaps(payload: Column, required: list[str] | tuple[str, ...] = TRACK_FIELDS) -> Column:
+    """array of what a search answer (JSON text) lacks: ``search.collection`` where there is no list, or an empty
+    one; ``search.collection[kind=track]`` where none of its items is a track; else the ``required`` dotted
+    paths that its first track lacks, in their order. A null at the end of a path is there."""
+    items = F.try_variant_get(F.try_parse_json(payload), "$.collection", "array<variant>")
+    track = F.try_element_at(F.filter(items, lambda v: F.try_variant_get(v, "$.kind", "string") == "track"), F.lit(1))
+    lacks = [F.when(F.try_variant_get(track, "$." + path, "variant").isNull(), f"search[0].{path}") for path in required]
+    return (
+        F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.array(F.lit("search.collection")))
+        .when(track.isNull(), F.array(F.lit("search.collection[kind=track]"))).otherwise(F.array_compact(F.array(*lacks)))
+    )

@@ -127,7 +127,7 @@ def test_settings():
     schema = {"s.bpm_min": {"type": float, "least": 60}, "s.bpm_max": {"type": float}, "s.mode": {"type": str, "choices": ["a"]}, "s.host": {"type": str, "pattern": "[a-z]+"}, "s.n": {"type": int}}
     problems, warnings = config.check({"s": {"bpm_min": 170, "bpm_max": 150, "mode": "b", "host": "X!", "n": True, "other": 1, "weights": {"x": 0.5, "y": 0.4}}}, schema)
     assert [p.split(":")[0] for p in problems] == ["s.mode", "s.host", "s.n", "s.bpm_min", "weights"] and warnings == ["s.other: unknown", "s.weights.x: unknown", "s.weights.y: unknown"]
-    assert config.missing_fields({"a": {"b": None}, "c": 1}, ["a.b", "c", "a.x", "d"]) == ["a.b", "a.x", "d"]
+    assert config.missing_fields({"a": {"b": None}, "c": 1}, ["a.b", "c", "a.x", "d", "c.e"]) == ["a.x", "d", "c.e"]
 
 
 def run_stream(spark, build, folder, schema, name):
@@ -169,3 +169,29 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     day = lambda r: (r[0], r[1].date())
     first = merges.daily_snapshots(snaps(df).limit(0), snaps(df)).collect()
     assert sorted(map(day, got)) == sorted(map(day, [tuple(r) for r in first]))
+
+
+def test_gaps_of_answers(spark):
+    track = {"id": 1, "kind": "track", "title": None, "user": {"username": "x"}}
+    answers = [json.dumps(a) if not isinstance(a, str) else a for a in ({"collection": [{"kind": "playlist"}, track, {"kind": "track"}]}, {"collection": []}, {"collection": {"a": 1}}, {"collection": [{"kind": "user"}, 5]}, [], "{broken")] + [None]
+    need = ["id", "title", "user.username", "user.permalink_url", "media.transcodings", "title.x"]
+    got = spark.createDataFrame(list(enumerate(answers)), "k int, a string").select("k", config.payload_gaps(F.col("a"), need).alias("g")).orderBy("k").collect()
+    whole = ["search.collection"]
+    assert [list(r.g) for r in got] == [["search[0].user.permalink_url", "search[0].media.transcodings", "search[0].title.x"], whole, whole, ["search.collection[kind=track]"], whole, whole, whole]
+
+
+def test_wiki_answers(spark):
+    from crateflow.functions import tracklist
+
+    pages = [{"parse": {"wikitext": {"*": "== x =="}}}, {"parse": {"wikitext": "plain"}}, {"error": {"code": "missingtitle"}}, {"parse": {"wikitext": 5}}, {"query": {"search": [{"title": "B"}, {"x": 1}, {"title": "A"}, 7]}}]
+    df = spark.createDataFrame([(k, json.dumps(p)) for k, p in enumerate(pages)] + [(5, "no json"), (6, None)], "k int, a string")
+    got = df.select("k", tracklist.page_text(F.col("a")).alias("t"), tracklist.found_pages(F.col("a")).alias("f")).orderBy("k").collect()
+    assert [r.t for r in got] == ["== x ==", "plain", None, None, None, None, None] and [list(r.f) for r in got] == [[], [], [], [], ["B", "A"], [], []]
+
+
+def test_titles_guessed_from_file_names(spark):
+    from crateflow.functions import text
+
+    names = [("A-B - C – D", "A-B", "C – D"), ("A – B — C-D", "A", "B — C-D"), ("A — B-C", "A", "B-C"), (" A-B-C ", "A", "B-C"), (" plain ", "", "plain"), ("", "", "")]
+    got = spark.createDataFrame([(k, n[0]) for k, n in enumerate(names)], "k int, n string").select("k", text.guessed_artist_title(F.col("n")).alias("g")).orderBy("k").collect()
+    assert [(r.g.artist, r.g.title) for r in got] == [n[1:] for n in names]
