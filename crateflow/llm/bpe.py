@@ -44,13 +44,13 @@ _NONE = 1 << 40
 class Codec:
     """Encoder and decoder over one rank file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES, kept: float = 1.0):
         self.ranks, self.pattern = ranks, pattern
         self.leaf_chars, self.leaf_bytes = max(1, leaf_chars), max(1, leaf_bytes)
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for raw, i in ranks.items():
             self.bytes_of[i] = raw
-        self.units, self.pieces, self._stays = units.Memory(UNITS), units.Memory(PIECES), units.Memory(UNITS)
+        self.units, self.pieces, self._stays = (units.Memory(int(kept * n)) for n in (UNITS, PIECES, UNITS))
 
     # --- inside one piece -------------------------------------------------------------
     def _merge(self, raw: bytes) -> list[int]:
@@ -178,11 +178,11 @@ class Codec:
 
 
 @functools.cache
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, kept: float = 1.0) -> Codec:
     """One codec a worker process; the vocabulary is read where the worker runs."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Codec(ranks, pattern)
+    return Codec(ranks, pattern, kept=kept)
 
 
 _OUTPUTS = {
@@ -193,12 +193,13 @@ _OUTPUTS = {
 }
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), carried: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), carried: tuple[str, ...] = (), kept: float = 1.0) -> DataFrame:
     """Encode and decode every text of ``docs`` (doc_id, text).
 
     Returns doc_id, the whole-number columns ``carried``, n_tokens and ``outputs``: ``ids`` (little-endian unsigned 32-bit),
     ``decoded`` (the bytes the ids stand for) or the SHA-256 of either (``ids_sha256``,
-    ``decoded_sha256``), so that the long columns need not leave the worker.
+    ``decoded_sha256``), so that the long columns need not leave the worker. ``kept``: the share of
+    ``UNITS`` and ``PIECES`` that a worker keeps, where its memory is shared with other steps.
     """
     import public_tokenizers
 
@@ -209,7 +210,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
     decodes = any(o.startswith("decoded") for o in outputs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, kept)
         for ids, texts in common.slices(batches):
             rows = []
             for i, t in zip(ids, texts, strict=True):
