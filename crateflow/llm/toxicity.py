@@ -71,6 +71,21 @@ PATTERNS = [
     re.compile(r"\b(?:halt die fresse|ferme ta gueule|cállate la boca|sta' zitto)\b", re.I),
     re.compile(r"\b[a-z]*[@$#0][a-z]*(?:hole|tch|ck|unt)\b", re.I),
 ]
+#: What a text in lower case must hold (any of these) for each pattern to match; it is looked for first.
+NEEDED = [
+    ("!!!",), ("**",), ("you",), ("kill you", "kill them", "hate you", "hate them", "hurt you", "hurt them"), ("shut up", "get lost", "go to hell", "drop dead"),
+    ("find you", "find them", "hurt you", "hurt them", "kill you", "kill them", "end you", "end them", "destroy you", "destroy them"), ("nobody ", "no one "),
+    (" in hell", " in a fire"), ("du bist ", "du seid ", "ihr bist ", "ihr seid "), ("tu es ", "t'es ", "vous êtes "), ("eres ",),
+    ("halt die fresse", "ferme ta gueule", "cállate la boca", "sta' zitto"), ("@", "$", "#", "0"),
+]
+#: Letters that match an ASCII one whatever its case and do not become it in lower case.
+_ODD_CASE = re.compile("[\u0130\u0131\u017f\u212a]")
+
+
+def patterns_in(text: str, lower: str) -> list[int]:
+    """The numbers of the patterns that match a text."""
+    odd = _ODD_CASE.search(text) is not None
+    return [k for k, (p, needed) in enumerate(zip(PATTERNS, NEEDED, strict=True)) if (odd or any(n in lower for n in needed)) and p.search(text)]
 
 
 def word_features(word: str) -> list[str]:
@@ -102,15 +117,18 @@ class Lexicon:
         """Entries a text holds, then patterns, as sorted numbers."""
         if self.memory is None:
             self.memory = units.Memory(200_000)
+        if not text:
+            return []
         out: set[int] = set()
-        for w in _words(text):
+        lower = text.lower()
+        for w in set(_WORD.findall(lower)):
             own = self.memory.get(w)
             if own is None:
                 own = tuple(self.index[f] for f in word_features(w) if f in self.index)
                 self.memory.put(w, own)
             if own:
                 out.update(own)
-        out.update(len(self.entries) + k for k, p in enumerate(PATTERNS) if text and p.search(text))
+        out.update(len(self.entries) + k for k in patterns_in(text, lower))
         return sorted(out)
 
     @property

@@ -57,6 +57,15 @@ def test_label_model_trusts_voters_that_agree():
     assert auc(post, truth.astype(int)) > 0.95
 
 
+def test_patterns_are_those_of_a_plain_search():
+    rng = np.random.default_rng(9)
+    parts = ["you", "You're a", "are such an", "idiot", "RAT", "kill", "Hate", "hurt", "them all", "yourself", "shut up", "GET LOST", "i will", "we'll", "find", "destroy", "you", "them", "nobody", "no one", "likes", "die in", "rot in", "hell", "a fire", "du", "bist", "ihr seid", "ein", "Versager", "tu es", "t'es", "VOUS ÊTES", "un", "nul",
+             "eres", "una", "basura", "halt die fresse", "Cállate la boca", "!!", "!!!", "f**k", "a*", "b@tch", "sh0ck", "#unt", "10", "$", "k\u0130ll", "\u212aill you", "lo\u017fer", "\u0131diot", "die", "in"]
+    for _ in range(6000):
+        text = (" " if rng.random() < 0.8 else "").join(rng.choice(parts, rng.integers(1, 7)))
+        assert toxicity.patterns_in(text, text.lower()) == [k for k, p in enumerate(toxicity.PATTERNS) if p.search(text)], text
+
+
 def test_label_model_does_not_count_a_repeated_voter_twice():
     rng = np.random.default_rng(4)
     truth = rng.random(2000) < 0.3
