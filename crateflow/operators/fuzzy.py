@@ -21,8 +21,8 @@ from crateflow.functions import text
 from . import storage
 
 
-#: Words of a name up to which pairs of them are the keys.
-WIDE = 12
+#: Words of a name up to which pairs of them are the keys; overlaps up to which each has keys of its own.
+WIDE, EXACT = 12, 8
 
 
 def keyed(names: DataFrame, id_col: str, artist: str | None, title: str) -> DataFrame:
@@ -44,16 +44,19 @@ def _classes(plain: DataFrame) -> DataFrame:
 
 
 def _asked(x: Column, y: Column) -> Column:
-    """The overlap that sizes of two words and more ask for, down to a power of two so that few differ."""
-    least = F.greatest(F.lit(2), F.least(F.ceil(F.lit(0.45) * F.greatest(x, y)), F.ceil(F.lit(0.8) * F.least(x, y))))
-    return F.pow(F.lit(2.0), F.floor(F.log2(least.cast("double")))).cast("int")
+    """The overlap that sizes of two words and more ask for, beyond ``EXACT`` down to a power of two so that
+    few differ."""
+    least = F.greatest(F.lit(2), F.least(F.ceil(F.lit(0.45) * F.greatest(x, y)), F.ceil(F.lit(0.8) * F.least(x, y)))).cast("int")
+    return F.when(least <= EXACT, least).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(least.cast("double")))).cast("int"))
 
 
 def _word_keys(classes: DataFrame, counts: DataFrame) -> DataFrame:
     """rep, x, asked, u, v: the keys of each class, for every overlap that a partner may ask for."""
     by_word = classes.select("rep", F.explode("tokens").alias("word")).join(counts, "word")
     ranked = by_word.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "word"))), lambda w: w["word"]).alias("words")).withColumn("x", F.size("words"))
-    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.log2(F.ceil(F.lit(0.8) * F.col("x")).cast("double"))).cast("int"))), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    most = F.greatest(F.lit(2), F.ceil(F.lit(0.8) * F.col("x")).cast("int"))
+    powers = F.filter(F.array(*[F.lit(EXACT << k) for k in range(1, 25)]), lambda p: p <= most)
+    steps = F.concat(F.sequence(F.lit(2), F.least(most, F.lit(EXACT))), powers)
     several = ranked.where("x > 1").withColumn("asked", F.explode(steps))
     prefix = lambda k: F.slice("words", F.lit(1), F.greatest(F.col("x") - F.col("asked") + k, F.lit(0)))
     two = several.where(F.col("x") <= WIDE).withColumn("p", prefix(2))
