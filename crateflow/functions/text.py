@@ -79,23 +79,23 @@ def name_key(artist: Column, title: Column) -> Column:
     return F.struct(name_tokens(full).alias("tokens"), remixer_tokens(title).alias("remix"))
 
 
-def is_match(a: Column, b: Column) -> Column:
-    """Whether two token sets are alike enough to mean one track."""
-    n = F.size(F.array_intersect(a, b))
+def is_match(a: Column, b: Column, common: Column | None = None) -> Column:
+    """Whether two token sets are alike enough to mean one track. ``common``: their intersection, where it is known."""
+    n = F.size(F.array_intersect(a, b) if common is None else common)
     large, small = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
     alike = ((n / large >= 0.45) & (n >= 2)) | ((n / small >= 0.8) & (n >= 2)) | ((n >= 1) & (n / large >= 0.75))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), alike).otherwise(False)
 
 
-def names_match(a: Column, b: Column) -> Column:
-    """``is_match`` of two name keys, with edits kept apart from originals and from each other."""
+def names_match(a: Column, b: Column, common: Column | None = None) -> Column:
+    """``is_match`` of two name keys (``common``: see there), with edits kept apart from originals and from each other."""
     def has(k: Column) -> Column:
         return F.size(k["remix"]) > 0
 
     differ = has(a) & has(b) & ~F.arrays_overlap(a["remix"], b["remix"])
     differ |= has(a) & ~has(b) & ~F.arrays_overlap(a["remix"], b["tokens"])
     differ |= has(b) & ~has(a) & ~F.arrays_overlap(b["remix"], a["tokens"])
-    return is_match(a["tokens"], b["tokens"]) & ~differ
+    return is_match(a["tokens"], b["tokens"], common) & ~differ
 
 
 _FREE = r"^(?:\s*(?:\(\s*free\s*(?:download|dl)\s*\)|\[\s*free\s*(?:download|dl)\s*\]))+"

@@ -23,7 +23,7 @@ def rows(seen: DataFrame, tracks: DataFrame, votes: DataFrame, stores: DataFrame
     parsed = text.artist_title(F.coalesce("title", F.lit("")))
     own = F.when(F.trim("artist") != "", F.trim("artist"))
     named = parsed["artist"].isNotNull() | own.isNull()
-    base = seen.select(
+    base = seen.repartition("id").select(
         F.col("id").alias("sc_id"), "url", "reported_at", F.col("title").alias("raw_title"),
         F.when(named, parsed["artist"]).otherwise(own).alias("artist"), F.when(named, parsed["title"]).otherwise(F.col("title")).alias("title"), urls.normalize_url(F.col("url")).alias("address"),
     )
@@ -33,9 +33,9 @@ def rows(seen: DataFrame, tracks: DataFrame, votes: DataFrame, stores: DataFrame
     addresses = library.select("side", urls.normalize_url(F.col("source_url")).alias("address")).where("address <> ''").groupBy("address").agg(*_sides("by_url"))
     blank = F.concat(F.coalesce("artist", F.lit("")), F.coalesce("title", F.lit("")))
     stem = F.regexp_replace(F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", ""), r"^\[\d+\]\s*", "")
-    keys = library.select("id", "side", F.when(blank == "", text.name_key(F.lit(None).cast("string"), stem)).otherwise(text.name_key(F.col("artist"), F.col("title"))).alias("key")).where(F.size("key.tokens") > 0)
+    keys = library.repartition("id").select("id", "side", F.when(blank == "", text.name_key(F.lit(None).cast("string"), stem)).otherwise(text.name_key(F.col("artist"), F.col("title"))).alias("key")).where(F.size("key.tokens") > 0)
     asked = base.select(F.col("sc_id").alias("id"), F.struct(text.name_tokens(F.concat_ws(" ", "artist", "title")).alias("tokens"), text.remixer_tokens(F.col("title")).alias("remix")).alias("key")).where(F.size("key.tokens") > 0)
-    hits = fuzzy.matches(asked, keys.select("id", "key")).join(keys.select(F.col("id").alias("right_id"), "side"), "right_id").groupBy(F.col("left_id").alias("sc_id")).agg(*_sides("by_name"))
+    hits = fuzzy.related(asked, keys, "side").groupBy(F.col("left_id").alias("sc_id")).agg(*_sides("by_name"))
     newest = snapshots.groupBy("sc_id").agg(F.max_by(F.struct("plays", "likes", "reposts", "comments"), F.struct("recorded_at", "id")).alias("n")).select("sc_id", "n.*")
     joined = (
         base.join(ids, "sc_id", "left").join(addresses, "address", "left").join(hits, "sc_id", "left")

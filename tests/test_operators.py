@@ -436,3 +436,14 @@ def test_vectors_alike(spark):
                         scored.append((-c, k))
             want += [(q, r + 1, k, -c) for r, (c, k) in enumerate(sorted(scored)[:3])]
     assert [(a, b, c, pytest.approx(d, abs=2e-6)) for a, b, c, d in sorted(want)] == sorted(got)
+
+
+def test_names_meet_once_and_only_over_as_many_words_as_they_must_share(spark):
+    """Names of five words that match share three; two that all of them share make no candidates."""
+    names = spark.createDataFrame([(k, "red ring", f"a{k} b{k} c{k}") for k in range(60)] + [(100 + k, "red ring", f"z d{k} e{k}") for k in range(8)], "id long, artist string, title string")
+    keys = fuzzy.keyed(names, "id", "artist", "title")
+    found = rows(fuzzy.candidates(keys, keys))
+    assert len(found) == len(set(found)) == 60 + 8 * 8
+    own = keys.withColumn("side", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    got = rows(fuzzy.related(keys, own, "side"), "left_id", "side")
+    assert set(got) == {(k, "odd" if k % 2 else "even") for k in range(60)} | {(100 + k, s) for k in range(8) for s in ("even", "odd")} and len(got) == 76
