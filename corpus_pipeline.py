@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: five stages, each over all that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and reread as
-the next one's docs. All but the last return the columns of ``documents``. An empty table goes
+the next one's docs. All but the last return the columns of ``documents``, the fourth with ``position`` beside them. An empty table goes
 through empty; null texts are rejected by the first stage.
 """
 
@@ -30,16 +30,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mix."""
-    return mixing.mixed(docs)
+    """The documents in the order of the mix, with their positions in it, as files keep no order."""
+    return mixing.positioned(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' positions in the mix, their token ids and the bytes these decode to.
-
-    Files keep no order, so the position comes as a column. It depends on doc_id and source
-    only, hence it is the one that ``source_mixing`` sorted by."""
-    return bpe.encode_documents(mixing.numbered(docs), outputs=("ids", "decoded"), carried=("position",), kept=0.5)
+    """The documents' positions in the mix, as ``source_mixing`` gave them, their token ids and the bytes these
+    decode to."""
+    docs = docs if "position" in docs.columns else mixing.numbered(docs)  # a table that was not mixed
+    return bpe.encode_documents(docs, outputs=("ids", "decoded"), carried=("position",), kept=0.5)
 
 
 STAGES = [

@@ -63,3 +63,8 @@ def test_last_stage_decodes_the_texts(spark, docs):
     given = sorted((-1 if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in docs.collect())
     assert sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.decoded)) for r in out) == given
     assert all(len(r.ids) == 4 * r.n_tokens for r in out)
+
+
+def test_the_last_stage_keeps_the_positions_it_is_given(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", "en", "s", 6, 1000 - k) for k in range(5)], "doc_id long, text string, lang string, source string, n_chars int, position long")
+    assert {(r.doc_id, r.position) for r in corpus_pipeline.byte_bpe(spark, docs, SF).collect()} == {(k, 1000 - k) for k in range(5)}
