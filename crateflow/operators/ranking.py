@@ -17,6 +17,12 @@ def _range_of(value: Column, cuts: list) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
 
 
+def dealt(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
+    """``df`` with ``range_``: the range of ``order`` that a row falls in, equal values in one, nulls in the first."""
+    edges = sorted(set(df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []))
+    return df.withColumn("range_", _range_of(F.col(order), edges))
+
+
 def percent_ranks(df: DataFrame, columns: list[str], ranges: int = RANGES) -> DataFrame:
     """``df`` with, for each of ``columns``, ``<column>_rank``: the share in per cent of all rows whose
     value is at most the row's. Null values have no rank and do not count. Columns of one call are
@@ -51,8 +57,7 @@ def running_sum(df: DataFrame, value: str, order: str, out: str, descending: boo
     """``df`` with ``out``: the sum of ``value`` over the rows that come before in ``order``, dealt to
     ranges as in ``percent_ranks``. Rows without an order come first (last, if descending); of equal ones
     any comes first."""
-    edges = sorted(set(df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []))
-    placed = df.withColumn("range_", _range_of(F.col(order), edges))
+    placed = dealt(df, order, ranges)
     by = F.col("range_").desc() if descending else F.col("range_").asc()
     sums = placed.groupBy("range_").agg(F.sum(value).alias("all_")).select("range_", (F.sum("all_").over(Window.orderBy(by)) - F.col("all_")).alias("before_"))
     inside = Window.partitionBy("range_").orderBy(F.col(order).desc() if descending else F.col(order).asc()).rowsBetween(Window.unboundedPreceding, -1)

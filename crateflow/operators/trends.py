@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranking
+
 from crateflow.functions import text
 
 
@@ -69,12 +71,24 @@ def retention(days: DataFrame, daily: int = 7, weekly: int = 4) -> DataFrame:
 
 def alarms(runs: DataFrame, threshold: int = 3) -> DataFrame:
     """id, mode, message (alarm or recovery) as runs (id, mode, ok, found) go by: an alarm once
-    ``threshold`` runs in a row were bad and none is on, a recovery at the next good run."""
+    ``threshold`` runs in a row were bad and none is on, a recovery at the next good run.
+
+    A mode's runs are dealt to ranges of ids. What a range needs of those before it is how many bad runs
+    they end with, from one row a mode and range."""
     bad = (~F.col("ok")) | (F.col("found") == 0)
-    per_mode = Window.partitionBy("mode").orderBy("id")
-    rows = runs.select("id", "mode", bad.alias("bad"), F.sum((~bad).cast("int")).over(per_mode).alias("good"))
-    run = Window.partitionBy("mode", "good").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.withColumn("streak", F.sum(F.col("bad").cast("int")).over(run)).withColumn("was", F.lag("streak").over(per_mode))
+    dealt = ranking.dealt(runs.select("id", "mode", bad.alias("bad")), "id")
+    inside = Window.partitionBy("mode", "range_").orderBy("id")
+    good = F.coalesce(F.sum((~F.col("bad")).cast("int")).over(inside), F.lit(0))
+    run = Window.partitionBy("mode", "range_", "good").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumn("good", good).withColumn("own", F.coalesce(F.sum(F.col("bad").cast("int")).over(run), F.lit(0)))
+    ends = own.groupBy("mode", "range_", "good").agg(F.max("own").alias("end")).groupBy("mode", "range_").agg(F.max_by("end", "good").alias("end"), F.max("good").alias("good"))
+    # Ranges without a good run carry on what the ones before them end with.
+    by = Window.partitionBy("mode").orderBy("range_")
+    since = ends.withColumn("row", F.sum((F.col("good") > 0).cast("int")).over(by)).withColumn("end", F.sum("end").over(Window.partitionBy("mode", "row").orderBy("range_")))
+    before = since.select(F.col("mode").alias("m"), F.col("range_").alias("r"), F.coalesce(F.lag("end").over(by), F.lit(0)).alias("before"))
+    rows = own.join(before, F.col("mode").eqNullSafe(F.col("m")) & (F.col("range_") == F.col("r")))
+    streaks = rows.withColumn("streak", F.col("own") + F.when(F.col("good") == 0, F.col("before")).otherwise(0))
+    counted = streaks.withColumn("was", F.coalesce(F.lag("streak").over(inside), F.col("before")))
     message = F.when(F.col("bad") & (F.col("streak") == max(threshold, 1)), "alarm").when(~F.col("bad") & (F.col("was") >= max(threshold, 1)), "recovery")
     return counted.select("id", "mode", message.alias("message")).where("message is not null")
 
