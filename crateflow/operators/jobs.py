@@ -59,10 +59,13 @@ def run(jobs: DataFrame, handlers: dict[str, Handler]) -> DataFrame:
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            reports = []
             for job in part.to_dict("records"):
                 began = datetime.now(timezone.utc)
                 status, result, error = outcome(job, handlers)
-                yield pd.DataFrame([(job["id"], status, result, error, began, datetime.now(timezone.utc))], columns=["id", "status", "result", "error", "started_at", "at"])
+                reports.append((job["id"], status, result, error, began, datetime.now(timezone.utc)))
+            # One frame for all: a frame for each job costs far more than a short job.
+            yield pd.DataFrame(reports, columns=["id", "status", "result", "error", "started_at", "at"])
 
     return jobs.select("id", "job_type", "payload").mapInPandas(work, REPORT)
 

@@ -194,7 +194,9 @@ def job_outcomes(table):
         return 2 * payload["job_id"]
 
     pending = table("jobs").where("status = 'pending' and job_type = 'cues'").withColumn("payload", F.lit("{}"))
-    return jobs.run(pending.repartition(8), {"cues": cues}).select("id", "status", "error", "result")
+    # A count of its own: small rows may be long jobs, and are not to be drawn together.
+    tasks = 2 * pending.sparkSession.sparkContext.defaultParallelism
+    return jobs.run(pending.repartition(tasks, "id"), {"cues": cues}).select("id", "status", "error", "result")
 
 
 @query("""
