@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from crateflow.operators import samples
 
@@ -27,7 +26,9 @@ z AS (SELECT track_id, min(k) AS first_k, max(k) AS last_k FROM q GROUP BY track
 
 def _blocks(table):
     v = table("embeddings").select(F.floor(F.col("vec_id") / 40).cast("long").alias("track_id"), (F.col("vec_id") % 40 * 64).alias("first"), F.transform("embedding", lambda x: F.floor(1000 * x.cast("double"))).alias("samples"))
-    return v.withColumn("total", F.sum(F.size("samples")).over(Window.partitionBy("track_id")))
+    # Lengths are few and are looked up: a window would sort all samples.
+    totals = v.groupBy("track_id").agg(F.sum(F.size("samples")).alias("total")).hint("shuffle_hash")
+    return v.join(totals, "track_id")
 
 
 def _frames(table):
