@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crateflow.functions import text
+from crateflow.functions import music, text
 from crateflow.operators import components, digest, fuzzy, library, merges, ranking, recordings, rules, scores, sets, taste, trends
 
 
@@ -447,3 +447,59 @@ def test_names_meet_once_and_only_over_as_many_words_as_they_must_share(spark):
     own = keys.withColumn("side", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
     got = rows(fuzzy.related(keys, own, "side"), "left_id", "side")
     assert set(got) == {(k, "odd" if k % 2 else "even") for k in range(60)} | {(100 + k, s) for k in range(8) for s in ("even", "odd")} and len(got) == 76
+
+
+def test_phrase_places_half_way_between_bars_are_those_of_the_definition(spark):
+    """Beats are seconds times tempo by 60, here a bar and a half exactly; seconds by the length of a beat lie beside it."""
+    got = spark.range(1).select(music.quantize_to_phrase(F.lit(197.3), F.lit(0.5), F.lit(125.0)).alias("t")).first().t
+    assert got == 196.34
+
+
+def test_every_neighbour_without_a_limit(spark):
+    tracks = spark.createDataFrame([(i, "8A", 140.0 + i % 2, "a", "t", "/p", "inbox", "ok") for i in range(40)] + [(90, "8A", 150.0, "a", "t", "/p", "inbox", "ok")], "id long, key_camelot string, bpm double, artist string, title string, path string, status string, quality_status string")
+    got = rows(library.harmonic_neighbours(tracks, tracks, limit=None), "id", "next_id", "key_place", "bpm_gap")
+    assert set(got) == {(a, b, 0, float((a + b) % 2)) for a in range(40) for b in range(40) if a != b} and len(got) == 40 * 39
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_upsert_holds_no_pairs_of_a_key(spark):
+    """A full join gives the pairs of one key on only once it has them all."""
+    old = spark.createDataFrame([("x", 1, "a"), ("x", 2, None), ("y", 3, "b")], "path string, bpm int, feedback string")
+    new = spark.createDataFrame([("x", 7), ("x", None), ("z", 9), (None, 4)], "path string, bpm int")
+    out = merges.upsert(old, new, ["path"])
+    assert "FullOuter" not in _plan(out)
+    assert set(rows(out)) == {("x", 7, "a"), ("x", 1, "a"), ("x", 7, None), ("x", 2, None), ("y", 3, "b"), ("z", 9, None), (None, 4, None)}
+
+
+def test_paths_that_many_tracks_share_are_joined_last(spark):
+    tracks = spark.createDataFrame([(1, "/a/x"), (2, "/a/x"), (3, "/b/x")], "id long, path string")
+    out = library.path_or_name(spark.createDataFrame([(1, "/a/x"), (2, "/c/x"), (3, "/c/y")], "id long, path string"), tracks)
+    assert set(rows(out)) == {(1, 1, "path"), (1, 2, "path"), (2, 1, "name"), (3, None, "none")}
+    first = next(line for line in _plan(out).splitlines() if "Join LeftOuter" in line)
+    assert "regexp_extract" not in first and " b#" not in first
+
+
+def test_alarms_over_ranges_are_those_of_one_walk(spark):
+    rng = random.Random(3)
+    runs = [(i, f"m{i % 2}", rng.random() < (0.0 if 200 < i < 420 else 0.5), 1) for i in range(900)]
+    df = spark.createDataFrame(runs, "id long, mode string, ok boolean, found int")
+    want, streak = set(), {}
+    for i, mode, ok, _ in runs:
+        if ok and streak.get(mode, 0) >= 3:
+            want.add((i, mode, "recovery"))
+        streak[mode] = 0 if ok else streak.get(mode, 0) + 1
+        if streak[mode] == 3:
+            want.add((i, mode, "alarm"))
+    out = trends.alarms(df, 3)
+    assert set(rows(out, "id", "mode", "message")) == want
+    assert all("range_" in line for line in _plan(out).splitlines() if "Window [" in line and "bad" in line)
+
+
+def test_jobs_of_a_query_are_dealt_to_all_cores(spark):
+    from crateflow.plans import registry
+
+    plan = _plan(registry.queries()["job_outcomes"](spark, "/root/testdata/sf0.001"))
+    assert "RepartitionByExpression [id#" in plan and f", {2 * spark.sparkContext.defaultParallelism}" in plan
