@@ -10,7 +10,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of ``links`` (a, b): the least node reachable. In each round a node
     takes the least root among its neighbours' and then its root's root, so rounds grow with the
     logarithm of a group's width; each is checkpointed. Needs a checkpoint folder."""
-    edges = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().checkpoint()
+    both = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = links.where("a <> b").select(both).distinct().checkpoint()
     roots = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")).checkpoint()
     for _ in range(rounds):
         near = edges.join(roots, edges["b"] == roots["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))

@@ -289,7 +289,7 @@ def groups(rows: DataFrame) -> DataFrame:
     own = usable(rows).withColumn("copy", F.xxhash64("fingerprint", "seconds"))
     reps = own.groupBy("copy", "fingerprint", "seconds").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     one = reps.select(F.col("rep").alias("id"), "fingerprint", "seconds")
-    tree = components.components(same(one, one).where("a < b").select("a", "b"))
+    tree = components.components(same_within(one).select("a", "b"))
     member = own.select("id", "copy", "seconds").join(reps.select("copy", "seconds", "rep", "copies"), ["copy", "seconds"])
     return member.join(tree, F.col("rep") == F.col("node"), "left").where(F.col("node").isNotNull() | (F.col("copies") > 1)).select("id", F.coalesce("root", "rep").alias("group"))
 
