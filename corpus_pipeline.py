@@ -13,19 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crateflow.llm import bpe, common, language, mixing, ngram_join, quality
 
+#: Most rows of a batch that goes to a Python worker: whole texts stand in it, in the executor and in the worker at once.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Set for the session, as a stage's result is planned by its reader. A lower number that the session has stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those rejected go."""
+    _small_batches(spark)
     return language.keep_identified(docs, language.fit(docs))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality; those rejected go."""
+    _small_batches(spark)
     return quality.keep_good(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones."""
+    _small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -37,8 +50,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' positions in the mix, as ``source_mixing`` gave them, their token ids and the bytes these
     decode to."""
+    _small_batches(spark)
     docs = docs if "position" in docs.columns else mixing.numbered(docs)  # a table that was not mixed
-    return bpe.encode_documents(docs, outputs=("ids", "decoded"), carried=("position",), kept=0.5)
+    return bpe.encode_documents(docs, outputs=("ids", "decoded"), carried=("position",), kept=0.5, lasting=False)
 
 
 STAGES = [

@@ -180,6 +180,11 @@ class Codec:
 @functools.cache
 def codec(path: str, pattern: str, kept: float = 1.0) -> Codec:
     """One codec a worker process; the vocabulary is read where the worker runs."""
+    return read_codec(path, pattern, kept)
+
+
+def read_codec(path: str, pattern: str, kept: float = 1.0) -> Codec:
+    """A codec of the caller's own, which goes with it."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return Codec(ranks, pattern, kept=kept)
@@ -193,13 +198,14 @@ _OUTPUTS = {
 }
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), carried: tuple[str, ...] = (), kept: float = 1.0) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), carried: tuple[str, ...] = (), kept: float = 1.0, lasting: bool = True) -> DataFrame:
     """Encode and decode every text of ``docs`` (doc_id, text).
 
     Returns doc_id, the whole-number columns ``carried``, n_tokens and ``outputs``: ``ids`` (little-endian unsigned 32-bit),
     ``decoded`` (the bytes the ids stand for) or the SHA-256 of either (``ids_sha256``,
     ``decoded_sha256``), so that the long columns need not leave the worker. ``kept``: the share of
-    ``UNITS`` and ``PIECES`` that a worker keeps, where its memory is shared with other steps.
+    ``UNITS`` and ``PIECES`` that a worker keeps, where its memory is shared with other steps. ``lasting``: whether it
+    keeps them, and the vocabulary, after a task, which then costs the steps that follow their memory.
     """
     import public_tokenizers
 
@@ -210,7 +216,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
     decodes = any(o.startswith("decoded") for o in outputs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern, kept)
+        own = (codec if lasting else read_codec)(path, pattern, kept)
         for ids, texts in common.slices(batches):
             rows = []
             for i, t in zip(ids, texts, strict=True):

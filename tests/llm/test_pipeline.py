@@ -2,10 +2,13 @@
 
 import hashlib
 import math
+import os
 from fractions import Fraction
 
+import pyarrow as pa
+
 import corpus_pipeline
-from crateflow.llm import mixing
+from crateflow.llm import bpe, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +71,36 @@ def test_last_stage_decodes_the_texts(spark, docs):
 def test_the_last_stage_keeps_the_positions_it_is_given(spark):
     docs = spark.createDataFrame([(k, f"text {k}", "en", "s", 6, 1000 - k) for k in range(5)], "doc_id long, text string, lang string, source string, n_chars int, position long")
     assert {(r.doc_id, r.position) for r in corpus_pipeline.byte_bpe(spark, docs, SF).collect()} == {(k, 1000 - k) for k in range(5)}
+
+
+def test_batches_to_workers_are_small_and_a_lower_number_stays(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(5000, numPartitions=1)
+    given = spark.conf.get(name)
+    try:
+        for own, most in (("10000", 1000), ("0", 1000), ("300", 300)):
+            for step, stage in corpus_pipeline.STAGES:
+                if step == "source_mixing":  # runs no Python
+                    continue
+                spark.conf.set(name, own)
+                stage(spark, spark.createDataFrame([(1, "a text", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars int"), SF)
+                got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+                assert sum(got) == 5000 and max(got) == most, (step, own)
+    finally:
+        spark.conf.set(name, given)
+
+
+def test_workers_keep_no_vocabulary_of_the_last_stage(spark, docs):
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([bpe.codec.cache_info().currsize])], names=["pid", "n"])
+
+    def by_worker():
+        return {r.pid: r.n for r in spark.range(64, numPartitions=64).mapInArrow(held, "pid long, n long").collect()}
+
+    before = by_worker()
+    corpus_pipeline.byte_bpe(spark, docs.repartition(16), SF).collect()
+    assert all(n <= before.get(pid, 0) for pid, n in by_worker().items())
