@@ -503,3 +503,18 @@ def test_jobs_of_a_query_are_dealt_to_all_cores(spark):
 
     plan = _plan(registry.queries()["job_outcomes"](spark, "/root/testdata/sf0.001"))
     assert "RepartitionByExpression [id#" in plan and f", {2 * spark.sparkContext.defaultParallelism}" in plan
+
+
+def _tasks_that_make(df, least):
+    """Partitions of ``df`` that hold ``least`` of its rows or more."""
+    return df.groupBy(F.spark_partition_id().alias("p")).count().where(F.col("count") >= least).count()
+
+
+def test_every_neighbour_is_made_on_all_cores(spark):
+    """Tracks of one key and tempo: their pairs come from lists that are dealt out, not from one task's join."""
+    tracks = spark.range(6000).select("id", F.lit("8A").alias("key_camelot"), F.lit(140.0).alias("bpm"), F.lit(None).cast("string").alias("status"), F.lit("ok").alias("quality_status"))
+    odd = spark.createDataFrame([(None, "8A", 140.0, None, "ok"), (7000, "8A", None, None, "ok"), (7001, None, 140.0, None, "ok")], "id long, key_camelot string, bpm double, status string, quality_status string")
+    out = library.harmonic_neighbours(tracks.union(odd), tracks.union(odd), limit=None)
+    got = out.agg(F.count("*"), F.count_distinct("id"), F.sum("next_id"), F.min(F.col("id") != F.col("next_id")), F.max("bpm_gap")).first()
+    assert tuple(got) == (6000 * 5999, 6000, 5999 * (5999 * 6000 // 2), True, 0.0)
+    assert _tasks_that_make(out, 1_000_000) >= 8
