@@ -518,3 +518,15 @@ def test_every_neighbour_is_made_on_all_cores(spark):
     got = out.agg(F.count("*"), F.count_distinct("id"), F.sum("next_id"), F.min(F.col("id") != F.col("next_id")), F.max("bpm_gap")).first()
     assert tuple(got) == (6000 * 5999, 6000, 5999 * (5999 * 6000 // 2), True, 0.0)
     assert _tasks_that_make(out, 1_000_000) >= 8
+
+
+def test_rows_of_a_shared_path_are_made_on_all_cores(spark):
+    """Also with ids and paths that are missing: a track without an id is no match, an asked row without one stays."""
+    tracks = spark.range(5000).select("id", F.lit("/a/x").alias("path")).union(spark.createDataFrame([(None, "/a/y"), (9, "/b/y"), (8, "/b/y"), (None, "/c/z"), (7, None)], "id long, path string"))
+    asked = [(None, "/a/x"), (-1, "/a/y"), (-2, "/b/y"), (-3, "/d/y"), (-4, "/c/z"), (-5, None), (-6, "/c/no"), (None, "/d/y"), (None, "/d/y")]
+    out = library.path_or_name(spark.range(4000).select((F.col("id") + 100).alias("id"), F.lit("/a/x").alias("path")).union(spark.createDataFrame(asked, "id long, path string")), tracks)
+    few = rows(out.where("id < 0 or (id is null and match_id between 8 and 9 and how = 'name') or match_id is null"))
+    assert few == sorted([(-1, 8, "name"), (-2, 8, "path"), (-2, 9, "path"), (-3, 8, "name"), (-4, None, "none"), (-5, None, "none"), (-6, None, "none"), (None, 8, "name"), (None, 8, "name")], key=str)
+    many = out.where("how = 'path' and (id >= 0 or id is null)").agg(F.count("*"), F.count_if(F.col("id").isNull()), F.sum("id"), F.sum("match_id")).first()
+    assert tuple(many) == (4001 * 5000, 5000, 5000 * sum(range(100, 4100)), 4001 * sum(range(5000)))
+    assert _tasks_that_make(out, 1_000_000) >= 4
