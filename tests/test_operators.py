@@ -530,3 +530,23 @@ def test_rows_of_a_shared_path_are_made_on_all_cores(spark):
     many = out.where("how = 'path' and (id >= 0 or id is null)").agg(F.count("*"), F.count_if(F.col("id").isNull()), F.sum("id"), F.sum("match_id")).first()
     assert tuple(many) == (4001 * 5000, 5000, 5000 * sum(range(100, 4100)), 4001 * sum(range(5000)))
     assert _tasks_that_make(out, 1_000_000) >= 4
+
+
+def test_changes_to_a_key_of_many_rows_are_made_on_all_cores(spark):
+    """Every row of a key meets every change to it, equal ones as often as they stand; also where columns are maps."""
+    old = spark.range(5000).select(F.lit("x").alias("path"), (F.col("id") % 3).cast("int").alias("bpm"), F.lit("t").alias("title"), F.when(F.col("id") % 2 == 0, "a").alias("feedback"))
+    new = spark.range(6000).select(F.lit("x").alias("path"), F.when(F.col("id") % 6 == 0, 9).alias("bpm"), F.lit("u").alias("title"))
+    more = spark.createDataFrame([("y", 5, "v"), ("y", 5, "v"), (None, None, "w")], "path string, bpm int, title string")
+    out = merges.upsert(old, new.union(more), ["path"], kept=("title",))
+    got = {tuple(r) for r in out.groupBy("path", "bpm", "title", "feedback").count().collect()}
+    want = {("y", 5, "v", None, 2), (None, None, "w", None, 1), ("x", 9, "t", "a", 2500 * 1000), ("x", 9, "t", None, 2500 * 1000)}
+    assert got == want | {("x", b, "t", f, sum(1 for i in range(5000) if i % 3 == b and (i % 2 == 0) == (f == "a")) * 5000) for b in range(3) for f in ("a", None)}
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large to be sent to all
+    try:
+        assert _tasks_that_make(merges.upsert(old, new.union(more), ["path"], kept=("title",)), 500_000) >= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    maps = spark.createDataFrame([("x", {"k": 1}, 1), ("x", {"k": 1}, 1), ("z", None, 3)], "path string, m map<string, int>, n int")
+    given = spark.createDataFrame([("x", {"k": 2}), ("x", None), ("w", {"k": 7})], "path string, m map<string, int>")
+    assert rows(merges.upsert(maps, given, ["path"])) == sorted(2 * [("x", {"k": 2}, 1), ("x", {"k": 1}, 1)] + [("z", None, 3), ("w", {"k": 7}, None)], key=str)
